@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("market",)
+_MODULES = ("market", "trading")
 
 
 def load_registry():
