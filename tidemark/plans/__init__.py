@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("market", "trading")
+_MODULES = ("market", "trading", "context")
 
 
 def load_registry():
