@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("market", "trading", "context")
+_MODULES = ("market", "trading", "context", "records")
 
 
 def load_registry():

@@ -249,12 +249,12 @@ def calendar_events(spark, sf) -> DataFrame:
     return o.select(
         F.concat(F.lit("occ"), F.floor(F.col("o_custkey") / 2).cast("string")).alias("occurrence_id"), F.concat(F.lit("rev"), key.cast("string")).alias("revision_id"),
         F.lit("CPI").alias("event_type"), F.lit("desk").alias("provider"), F.col("o_orderdate").cast("timestamp").alias("scheduled_at"),
-        F.timestamp_micros(micros("o_orderdate") - (key % 5000) * 60_000_000).alias("captured_at"),
+        F.timestamp_micros(micros("o_orderdate") - (key % 500) * 60_000_000).alias("captured_at"),
         F.expr("case o_orderkey % 4 when 0 then 'CANCELLED' when 1 then 'TENTATIVE' else 'CONFIRMED' end").alias("status"),
         F.when(key % 2 == 0, "short").otherwise("long").alias("profile_id"))
 
 
-_CAL = """c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, concat('rev', cast(o_orderkey as string)) as rev, o_orderdate as sched, o_orderdate - (o_orderkey % 5000) * interval '1' minute as cap,
+_CAL = """c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, concat('rev', cast(o_orderkey as string)) as rev, o_orderdate as sched, o_orderdate - (o_orderkey % 500) * interval '1' minute as cap,
   case o_orderkey % 4 when 0 then 'CANCELLED' when 1 then 'TENTATIVE' else 'CONFIRMED' end as status, case when o_orderkey % 2 = 0 then 30 else 2880 end as mins from orders),
 l as (select * from c qualify row_number() over (partition by occ order by cap desc, rev desc) = 1)"""
 
@@ -279,7 +279,7 @@ def calendar_revisions(spark, sf):
             .unionByName(kind("upcoming", calendar.upcoming(rev, ts("1996-01-01"), limit=7))).unionByName(active))
 
 
-@query("W4 P42", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, o_orderdate - (o_orderkey % 5000) * interval '1' minute as cap from orders)
+@query("W4 P42", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, o_orderdate - (o_orderkey % 500) * interval '1' minute as cap from orders)
 select occ as occurrence_id, 'duplicate_captured_at' as problem from c group by 1 having count(distinct cap) < count(*)
 union all select occ, 'duplicate_revision_id' from c group by 1 having count(distinct o_orderkey) < count(*)""")
 def calendar_problems(spark, sf):
@@ -300,13 +300,13 @@ def calendar_state(spark, sf):
 
 @query("J4 W15 F19", """with r as (select distinct date_trunc('week', o_orderdate) as release_at from orders), w as (select *, 'r' || cast(epoch_us(release_at) as varchar) as release_id,
   release_at - interval '90' minute as ws, release_at + interval '240' minute as we from r), t as (select distinct 'T' || cast(user_id % 10 as varchar) as ticker from events),
-p as (select event_id, timestamp '1994-01-01' + event_id * interval '37' minute as t from events)
+p as (select event_id, timestamp '1995-02-01' + event_id * interval '37' minute as t from events)
 select p.event_id, w.release_id, t.ticker from p join w on p.t between w.ws and w.we cross join t""")
 def release_windows(spark, sf):
     rel = table(spark, sf, "orders").select(F.date_trunc("week", F.col("o_orderdate").cast("timestamp")).alias("release_at")).distinct()
     rel = energy.windows(rel.withColumn("release_id", F.concat(F.lit("r"), micros("release_at").cast("string"))), pre_minutes=90, post_minutes=240)
     e = table(spark, sf, "events")
-    p = e.select("event_id", F.expr("timestamp_micros(757382400000000L + event_id * 2220000000L)").alias("evaluation_time"))
+    p = e.select("event_id", F.expr("timestamp_micros(791596800000000L + event_id * 2220000000L)").alias("evaluation_time"))
     tickers = e.select(F.concat(F.lit("T"), (F.col("user_id") % 10).cast("string")).alias("ticker")).distinct()
     return energy.release_flags(p, rel, tickers).select("event_id", "release_id", "ticker")
 
@@ -324,7 +324,7 @@ def release_lookup(spark, sf):
 @query("J6 A17", with_views("observations") + """, w as (select series, cast(date_trunc('week', observation_date) as date) as period, count(distinct value) > 1 as amb, min(value) as v from observations
   where extract('dow' from observation_date) in (1, 2) and not (series = 'MID' and extract('dow' from observation_date) = 2) group by 1, 2),
 g as (select * from w where not amb), f as (select g.series, g.period, g.v, p.v as pv from g left join g p on p.series = g.series and p.period = g.period - 7)
-select series, period, 'level' as kind, round(v, 6) as value from f union all select series, period, 'change_wow', round(v - pv, 6) from f where pv is not null
+select series, period, 'level' as kind, v as value from f union all select series, period, 'change_wow', v - pv from f where pv is not null
 union all select series, period, 'EXPECTED_PRIOR_PERIOD_MISSING', null from f where pv is null union all select series, period, 'CURRENT_PERIOD_INVALID', null from w where amb""")
 def weekly_change(spark, sf):
     o = view(spark, sf, "observations")
@@ -333,7 +333,7 @@ def weekly_change(spark, sf):
         "series", F.date_format(F.date_trunc("week", "observation_date"), "yyyy-MM-dd").alias("period"), F.col("value").cast("string").alias("value"),
         F.lit("MBBL").alias("units"), F.lit("MBBL").alias("expected_units"))
     facts, issues = energy.weekly_facts(energy.select_periods(rows))
-    return facts.select("series", "period", "kind", r6(F.col("value")).alias("value")).unionByName(
+    return facts.select("series", "period", "kind", "value").unionByName(
         issues.select("series", "period", F.col("issue_type").alias("kind"), F.lit(None).cast("double").alias("value")))
 
 
