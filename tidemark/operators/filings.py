@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,15 +45,18 @@ PLAN_FALSE = (r"\b(?:transactions?|sales?|purchases?|shares?)\b.{0,60}\b(?:was|w
 _CUT = "\x02"
 
 
-@F.pandas_udf("string")
-def unescape(text: pd.Series) -> pd.Series:
-    """HTML entities (the built-in functions have no entity table); rows without ``&`` pass through."""
+def _unescape(text: pd.Series) -> pd.Series:
     has = text.str.contains("&", regex=False, na=False)
     out = text.copy()
     out[has] = text[has].map(html.unescape)
     return out
 
 
+def unescape(c: Column) -> Column:
+    """HTML entities (the built-in functions have no entity table); rows without ``&`` pass through."""
+    return F.pandas_udf(_unescape, "string")(c)
+
+
 def document_text(c: Column | str) -> Column:
     """Readable text of an HTML string or its UTF-8 bytes (bad bytes are replaced)."""
     col = F.col(c) if isinstance(c, str) else c
@@ -171,23 +175,64 @@ def lineage_errors(events: DataFrame, filings: DataFrame) -> DataFrame:
 
 # --- ownership documents ------------------------------------------------------------------
 
-def _plain_xml(c: Column) -> Column:
-    """Namespace prefixes, declarations, comments and ``<value>`` wrappers removed."""
-    x = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"""\sxmlns(:\w+)?\s*=\s*("[^"]*"|'[^']*')""", "")
-    return F.regexp_replace(F.regexp_replace(x, r"<(/?)\w+:", "<$1"), r"\s*</?value\s*/?>\s*", "")
+# Elements read from one transaction.
+_TEXTS = ("transactionCode", "securityTitle", "transactionDate", "transactionShares", "transactionPricePerShare",
+          "transactionAcquiredDisposedCode", "directOrIndirectOwnership", "sharesOwnedFollowingTransaction", "conversionOrExercisePrice",
+          "expirationDate", "underlyingSecurityTitle", "underlyingSecurityShares", "tradingPlan10b5")
+_OWNER_TEXTS = ("rptOwnerCik", "rptOwnerName", "isDirector", "isOfficer", "isTenPercentOwner", "isOther", "officerTitle", "otherText")
+
+
+def _fields(names) -> str:
+    return ", ".join(f"{n}: string" for n in names)
+
+
+_PARSED = (f"issuer_ticker string, issuer_cik string, plan string, owners array<struct<{_fields(_OWNER_TEXTS)}>>, "
+           f"transactions array<struct<kind: string, notes: array<string>, {_fields(_TEXTS)}>>, notes array<struct<id: string, text: string>>")
+
+
+def _texts(element, names) -> dict:
+    """First non-blank text per wanted element name below ``element``, own or in a ``value`` child."""
+    found: dict = {}
+    for e in element.iter():
+        name = e.tag.rsplit("}", 1)[-1]
+        if name in names and name not in found:
+            inner = [e.text, *(v.text for v in e.iter() if v is not e and v.tag.rsplit("}", 1)[-1] == "value")]
+            text = next((t.strip() for t in inner if t and t.strip()), None)
+            if text:
+                found[name] = text
+    return {n: found.get(n) for n in names}
 
 
-def _blocks(c: Column, name: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"(?s)(<{name}(?:\s[^>]*)?>.*?</{name}>)"), F.lit(1))
+def _named(root, name):
+    return [e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == name]
 
 
-def _leaf(c: Column, name: str) -> Column:
-    """Text of the first element of that name which has any; the five XML entities are resolved."""
-    text = F.nullif(F.trim(F.regexp_extract(c, rf"<{name}(?:\s[^>]*)?>\s*([^<\s][^<]*)", 1)), F.lit(""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+def _read_ownership(xml: str) -> dict:
+    try:
+        root = ET.fromstring(xml)
+    except (ET.ParseError, TypeError):
+        return {}
+    head = _texts(root, ("issuerTradingSymbol", "issuerCik", "aff10b5One"))
+    kinds = (("NON_DERIVATIVE", "nonDerivativeTransaction"), ("DERIVATIVE", "derivativeTransaction"))
+    return {
+        "issuer_ticker": head["issuerTradingSymbol"], "issuer_cik": head["issuerCik"], "plan": head["aff10b5One"],
+        "owners": [_texts(e, _OWNER_TEXTS) for e in root if e.tag.rsplit("}", 1)[-1] == "reportingOwner"],
+        "transactions": [{"kind": kind, "notes": [(f.get("id") or "").strip() for f in _named(t, "footnoteId")], **_texts(t, _TEXTS)}
+                         for kind, name in kinds for t in _named(root, name)],
+        "notes": [{"id": (n.get("id") or "").strip(), "text": " ".join(n.itertext())} for n in _named(root, "footnote")]}
+
+
+def _read_all(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_read_ownership(x) for x in xml], columns=["issuer_ticker", "issuer_cik", "plan", "owners", "transactions", "notes"])
+
+
+def parse_ownership(c: Column | str) -> Column:
+    """Structure of an ownership document (namespaces ignored); malformed XML gives NULLs.
+
+    Only the reading of the XML is Python: a chain of regular expressions or a schema read per
+    field costs several times more and cannot follow the either-text-or-value rule.
+    """
+    return F.pandas_udf(_read_all, _PARSED)(c)
 
 
 def _flag(c: Column) -> Column:
@@ -205,65 +250,54 @@ def ownership(docs: DataFrame, *, xml: str = "xml") -> DataFrame:
     """One row per transaction of ownership documents joined to their filing columns.
 
     Needs accession_number, ticker, issuer_cik, form_type, amendment_of, acceptance_at, collected_at.
-    ``drift`` marks documents whose issuer is not the filing's issuer.
+    ``drift`` marks documents whose issuer is not the filing's issuer, or that cannot be read.
     """
-    x = docs.withColumn("_x", _plain_xml(F.col(xml)))
-    head = F.regexp_replace("_x", r"(?s)<(nonDerivativeTable|derivativeTable|footnotes)\b.*?</\1>", "")
-    notes = F.transform(
-        _blocks(F.regexp_replace("_x", r"(?s)<footnoteId\b[^>]*/?>", ""), "footnote"),
-        lambda b: F.struct(F.regexp_extract(b, r"""<footnote[^>]*\bid\s*=\s*["']([^"']*)""", 1).alias("k"), F.regexp_replace(b, ANY_TAG, " ").alias("v")))
-    # a repeated footnote id keeps its first text
-    notes = F.aggregate(notes, F.expr("cast(map() as map<string,string>)"), lambda m, n: F.when(
-        F.map_contains_key(m, n["k"]), m).otherwise(F.map_concat(m, F.create_map(n["k"], n["v"]))))
-    x = x.withColumns({"_head": head, "_owners": _blocks(F.col("_x"), "reportingOwner"), "_notes": notes})
-    kinds = F.concat(
-        F.transform(_blocks(F.col("_x"), "nonDerivativeTransaction"), lambda b: F.struct(F.lit("NON_DERIVATIVE").alias("kind"), b.alias("xml"))),
-        F.transform(_blocks(F.col("_x"), "derivativeTransaction"), lambda b: F.struct(F.lit("DERIVATIVE").alias("kind"), b.alias("xml"))))
-    codes = F.transform(_blocks(F.col("_x"), "nonDerivativeTransaction"), lambda b: _leaf(b, "transactionCode"))
+    x = docs.withColumn("_d", parse_ownership(xml))
+    notes = F.transform("_d.notes", lambda n: F.struct(n["id"].alias("id"), footnote_plan(n["text"]).alias("plan")))
+    promoted = F.size(F.filter("_d.transactions", lambda t: (t["kind"] == "NON_DERIVATIVE") & t["transactionCode"].isin("P", "S")))
     x = x.withColumns({
-        "issuer_ticker": F.coalesce(_leaf(F.col("_head"), "issuerTradingSymbol"), F.col("ticker")),
-        "document_cik": F.lpad(F.coalesce(_leaf(F.col("_head"), "issuerCik"), F.col("issuer_cik")), 10, "0"),
-        "filing_plan": _flag(_leaf(F.col("_head"), "aff10b5One")), "_promoted": F.size(F.filter(codes, lambda c: c.isin("P", "S")))})
-    rows = x.select("*", F.posexplode_outer(kinds).alias("transaction_index", "_t"))
-    refs = F.regexp_extract_all(F.col("_t.xml"), F.lit(r"""<footnoteId[^>]*\bid\s*=\s*["']([^"']*)"""), F.lit(1))
-    rows = rows.withColumns({"_b": F.col("_t.xml"), "_refs": refs})
-    leaf = lambda name: _leaf(F.col("_b"), name)
-    number = lambda name: finite(leaf(name).try_cast("double"))
-    rows = rows.withColumns({"_code": leaf("transactionCode"), "_shares": number("transactionShares"), "_price": number("transactionPricePerShare")})
-    code, shares, price = F.col("_code"), F.col("_shares"), F.col("_price")
-    promoted = F.when(F.col("_t.kind") == "NON_DERIVATIVE", F.when(code == "P", "SEC_FORM4_PURCHASE").when(code == "S", "SEC_FORM4_SALE"))
-    noted = F.array_distinct(F.array_compact(F.transform("_refs", lambda r: footnote_plan(F.try_element_at("_notes", F.trim(r))))))
+        "issuer_ticker": F.coalesce("_d.issuer_ticker", "ticker"), "document_cik": F.lpad(F.coalesce("_d.issuer_cik", "issuer_cik"), 10, "0"),
+        "filing_plan": _flag(F.col("_d.plan")), "_promoted": promoted, "_plans": notes, "owners": F.col("_d.owners"),
+        "_readable": F.col("_d.transactions").isNotNull()})
+    rows = x.select("*", F.posexplode_outer("_d.transactions").alias("transaction_index", "_t"))
+    t = F.col("_t")
+
+    def number(name):
+        return finite(t[name].try_cast("double"))
+
+    shares, price, code = number("transactionShares"), number("transactionPricePerShare"), t["transactionCode"]
+    event = F.when(t["kind"] == "NON_DERIVATIVE", F.when(code == "P", "SEC_FORM4_PURCHASE").when(code == "S", "SEC_FORM4_SALE"))
+    # a repeated footnote id keeps its first text
+    first_note = lambda r: F.try_element_at(F.filter("_plans", lambda n: (n["id"] == r) & (r != "")), F.lit(1))["plan"]
+    noted = F.array_distinct(F.array_compact(F.transform(t["notes"], first_note)))
     fallback = F.when(F.col("filing_plan") == F.lit(False), F.lit(False)).when(
-        F.col("filing_plan") & promoted.isNotNull() & (F.col("_promoted") == 1), F.lit(True))
-    plan = F.coalesce(_flag(leaf("tradingPlan10b5")), F.when(F.size(noted) == 1, F.element_at(noted, 1)), fallback)
+        F.col("filing_plan") & event.isNotNull() & (F.col("_promoted") == 1), F.lit(True))
+    rows = rows.withColumn("_noted", noted)
+    plan = F.coalesce(_flag(t["tradingPlan10b5"]), F.when(F.size("_noted") == 1, F.try_element_at("_noted", F.lit(1))), fallback)
     amendment = F.col("form_type") == "4/A"
+    drift = ~F.col("_readable") | (F.upper("issuer_ticker") != F.col("ticker")) | (F.col("document_cik") != F.col("issuer_cik"))
     return rows.select(
-        "accession_number", "ticker", "issuer_cik", "form_type", "issuer_ticker",
-        ((F.upper("issuer_ticker") != F.col("ticker")) | (F.col("document_cik") != F.col("issuer_cik"))).alias("drift"),
-        "filing_plan", F.col("_owners").alias("owner_xml"), F.size("_owners").alias("owner_count"), "transaction_index",
-        F.col("_t.kind").alias("security_kind"), code.alias("transaction_code"), leaf("securityTitle").alias("security_title"),
-        leading_date(leaf("transactionDate")).alias("transaction_date"), shares.alias("shares"), price.alias("price_per_share"),
-        (shares * price).alias("approximate_value"), leaf("transactionAcquiredDisposedCode").alias("acquired_disposed_code"),
-        leaf("directOrIndirectOwnership").alias("direct_or_indirect"),
-        number("sharesOwnedFollowingTransaction").alias("shares_owned_following"),
-        number("conversionOrExercisePrice").alias("exercise_price"),
-        leading_date(leaf("expirationDate")).alias("expiration_date"),
-        leaf("underlyingSecurityTitle").alias("underlying_security_title"),
-        number("underlyingSecurityShares").alias("underlying_shares"),
-        plan.alias("plan_10b5_1"), promoted.alias("event_type"), amendment.alias("is_amendment"), F.col("amendment_of").alias("amends_accession"),
+        "accession_number", "ticker", "issuer_cik", "form_type", "issuer_ticker", drift.alias("drift"), "filing_plan", "owners",
+        F.size("owners").alias("owner_count"), "transaction_index", t["kind"].alias("security_kind"), code.alias("transaction_code"),
+        t["securityTitle"].alias("security_title"), leading_date(t["transactionDate"]).alias("transaction_date"), shares.alias("shares"),
+        price.alias("price_per_share"), (shares * price).alias("approximate_value"),
+        t["transactionAcquiredDisposedCode"].alias("acquired_disposed_code"), t["directOrIndirectOwnership"].alias("direct_or_indirect"),
+        number("sharesOwnedFollowingTransaction").alias("shares_owned_following"), number("conversionOrExercisePrice").alias("exercise_price"),
+        leading_date(t["expirationDate"]).alias("expiration_date"), t["underlyingSecurityTitle"].alias("underlying_security_title"),
+        number("underlyingSecurityShares").alias("underlying_shares"), plan.alias("plan_10b5_1"), event.alias("event_type"),
+        amendment.alias("is_amendment"), F.col("amendment_of").alias("amends_accession"),
         F.when(~amendment, "ELIGIBLE").when(F.col("amendment_of").isNull(), "AMENDMENT_UNRESOLVED").otherwise("AMENDMENT_RESOLVED").alias("aggregate_eligibility"),
         F.coalesce("acceptance_at", "collected_at").alias("available_at"))
 
 
 def owners(transactions: DataFrame) -> DataFrame:
     """One row per filing and reporting owner with its roles."""
-    one = transactions.groupBy("accession_number").agg(F.first("owner_xml").alias("owner_xml"))
-    rows = one.select("accession_number", F.posexplode("owner_xml").alias("owner_index", "_o"))
-    leaf = lambda name: _leaf(F.col("_o"), name)
+    one = transactions.filter(F.coalesce("transaction_index", F.lit(0)) == 0)
+    rows = one.select("accession_number", F.posexplode("owners").alias("owner_index", "o"))
     roles = [("isDirector", "DIRECTOR"), ("isOfficer", "OFFICER"), ("isTenPercentOwner", "TEN_PERCENT_OWNER"), ("isOther", "OTHER")]
-    return rows.select("accession_number", "owner_index", leaf("rptOwnerCik").alias("owner_cik"), leaf("rptOwnerName").alias("owner_name"),
-                       F.array_compact(F.array(*[F.when(leaf(f) == "1", F.lit(r)) for f, r in roles])).alias("roles"),
-                       leaf("officerTitle").alias("officer_title"), leaf("otherText").alias("other_relationship_text"))
+    return rows.select("accession_number", "owner_index", F.col("o.rptOwnerCik").alias("owner_cik"), F.col("o.rptOwnerName").alias("owner_name"),
+                       F.array_compact(F.array(*[F.when(F.col(f"o.{f}") == "1", F.lit(r)) for f, r in roles])).alias("roles"),
+                       F.col("o.officerTitle").alias("officer_title"), F.col("o.otherText").alias("other_relationship_text"))
 
 
 def insider_events(transactions: DataFrame, *, aggregate: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -20,7 +20,8 @@ from tidemark.session import shared_dir
 from tidemark.sinks import ledger
 from tidemark.sources import feeds, files
 
-AT = F.lit("2024-01-31").cast
+def at() -> Column:
+    return F.lit("2024-01-31").cast("timestamp")
 
 
 # --- filings --------------------------------------------------------------------------------
@@ -48,7 +49,7 @@ def filing_rows(spark, sf):
     docs = rows.withColumn("page", F.crc32(F.col("r.primaryDocument")) % 8).groupBy("o_custkey", "page").agg(F.collect_list("r").alias("rs"))
     docs = docs.select(F.col("o_custkey").cast("string").alias("cik"), F.struct(F.struct(*[F.col("rs").getField(n).alias(n) for n in names]).alias("recent")).alias("filings"))
     issuers = o.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker")).distinct()
-    good, _ = feeds.filings(docs, issuers, start="1995-06-01", collected_at=AT("timestamp"))
+    good, _ = feeds.filings(docs, issuers, start="1995-06-01", collected_at=at())
     return good.select(F.col("issuer_cik").cast("long").alias("custkey"), "accession_number", "form_type", "filing_date", "filing_url", micros("acceptance_at").alias("acceptance_us"))
 
 
@@ -83,7 +84,7 @@ def classification_requests(spark, sf):
     sec = filings.prepare(filings.sections(docs.select("doc_id", "source", F.sha2("html", 256).alias("document_hash"), filings.document_text("html").alias("text")),
                                            key=["doc_id", "source", "document_hash"]), 2000)
     sec = sec.withColumns({"accession_number": F.lpad(F.col("doc_id").cast("string"), 18, "0"), "ticker": F.col("source"), "filing_url": F.lit("u"),
-                           "acceptance_at": AT("timestamp"), "collected_at": AT("timestamp")})
+                           "acceptance_at": at(), "collected_at": at()})
     out = filings.requests(sec, prompt_version="p1", max_characters=2000)
     return out.withColumn("fingerprint", filings.request_fingerprint(model="m1", response_schema_version="s1")).select(
         "source_locator", "raw_input_id", "source_document_id", "fingerprint", "rejection")
@@ -118,7 +119,7 @@ def insider_events(spark, sf):
         F.lit('<x:footnote id="F2">These shares were not sold under a Rule 10b5-1 plan.</x:footnote></x:footnotes></x:ownershipDocument>'))
     docs = table(spark, sf, "orders").select(
         k.cast("string").alias("accession_number"), F.lit("ABC").alias("ticker"), F.lit("0000000077").alias("issuer_cik"), F.when(k % 6 == 0, "4/A").otherwise("4").alias("form_type"),
-        F.when(k % 12 == 0, "X").alias("amendment_of"), F.lit(None).cast("timestamp").alias("acceptance_at"), AT("timestamp").alias("collected_at"), xml.alias("xml"))
+        F.when(k % 12 == 0, "X").alias("amendment_of"), F.lit(None).cast("timestamp").alias("acceptance_at"), at().alias("collected_at"), xml.alias("xml"))
     out = filings.insider_events(filings.ownership(docs))
     return out.select(F.col("accession_number").cast("long").alias("filing"), "transaction_index", "event_type", "shares", "price_per_share", "approximate_value",
                       "transaction_date", "aggregate_eligibility", "plan_10b5_1", "owner_count")
@@ -177,7 +178,7 @@ def classification_attempts(spark, sf):
     s = e.select(i.alias("classification_attempt_id"), i.alias("classification_request_id"), F.concat(F.lit("p"), (i % 2).cast("string")).alias("prompt_version"),
                  F.when(i % 3 == 0, "z").alias("trace_id"))
     v = e.select(i.alias("classification_attempt_id"), F.when(i % 11 == 0, i + 1).otherwise(i).alias("classification_request_id"), F.lit("v").alias("validation_result_id"),
-                 F.lit(True).alias("outcome"), F.array().cast("array<string>").alias("reason_codes"), AT("timestamp").alias("validated_at"), F.lit(None).cast("string").alias("trace_id"))
+                 F.lit(True).alias("outcome"), F.array().cast("array<string>").alias("reason_codes"), at().alias("validated_at"), F.lit(None).cast("string").alias("trace_id"))
     good, bad = classification.attempt_rows(q, s, v)
     cols = ["classification_attempt_id", "trace_id"]
     both = good.select(*cols, F.lit(None).cast("string").alias("linkage_error")).unionByName(bad.select(*cols[:1], F.lit(None).cast("string").alias("trace_id"), "linkage_error"))
@@ -292,7 +293,7 @@ def archive_write_once(spark, sf):
 @query("K10 K2", _RISK_SQL.split("select signal_id, decision, decision in")[0] + "select decision, count(*) as rows, count(distinct signal_id) as logged from d group by 1")
 def decision_log(spark, sf):
     d = _decisions(spark, sf).select(F.col("signal_id").alias("risk_decision_id"), F.lit("T").alias("ticker"), "decision", "approved",
-                                     F.split("reasons", ",").alias("reasons"), AT("timestamp").alias("decision_time"))
+                                     F.split("reasons", ",").alias("reasons"), at().alias("decision_time"))
     root = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     result = ledger.log_decisions(d, root)
     stored = ledger.read(spark, "risk_decisions", root).select("risk_decision_id", "decision")
