@@ -54,7 +54,7 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 def unescape(c: Column) -> Column:
     """HTML entities (the built-in functions have no entity table); rows without ``&`` pass through."""
-    return F.pandas_udf(_unescape, "string")(c)
+    return F.pandas_udf(_unescape, "string").asNondeterministic()(c)
 
 
 def document_text(c: Column | str) -> Column:
@@ -232,7 +232,8 @@ def parse_ownership(c: Column | str) -> Column:
     Only the reading of the XML is Python: a chain of regular expressions or a schema read per
     field costs several times more and cannot follow the either-text-or-value rule.
     """
-    return F.pandas_udf(_read_all, _PARSED)(c)
+    # marked non-deterministic so that a filter on its result does not run it a second time
+    return F.pandas_udf(_read_all, _PARSED).asNondeterministic()(c)
 
 
 def _flag(c: Column) -> Column:

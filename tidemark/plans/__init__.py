@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("market", "trading", "context", "records")
+_MODULES = ("market", "trading", "context", "records", "streams")
 
 
 def load_registry():
