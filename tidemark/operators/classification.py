@@ -71,14 +71,37 @@ SYMBOL_CASE = (
 )
 
 
+# Words without which a pattern cannot match: (words, ignore-case patterns, symbol patterns).
+_GATES = (
+    ("buy|sell|hold", ANY_CASE[0:7], SYMBOL_CASE[0:2]),
+    ("long|short", ANY_CASE[7:8], ()),
+    ("position", ANY_CASE[8:10] + ANY_CASE[14:17], ()),
+    ("order|trade", ANY_CASE[10:12] + ANY_CASE[21:22], ()),
+    ("leverage", ANY_CASE[12:14], ()),
+    ("exposure", ANY_CASE[17:18], ()),
+    ("price", ANY_CASE[18:21], ()),
+    ("quantity", ANY_CASE[22:23], ()),
+    ("broker|order|trade", ANY_CASE[23:24], ()),
+    ("enter|exit|open|close", (), SYMBOL_CASE[2:3]),
+    ("allocate|take", (), SYMBOL_CASE[3:4]),
+)
+
+
 def trading_instruction(c: Column | str) -> Column:
-    """TRUE when the text tells someone how to trade; NULL text gives FALSE."""
+    """TRUE when the text tells someone how to trade; NULL text gives FALSE.
+
+    A group of patterns runs only on texts with one of its words: one cheap pass over most
+    texts instead of one per pattern.
+    """
     col = F.col(c) if isinstance(c, str) else c
     hit = F.lit(False)
-    for p in ANY_CASE:
-        hit = hit | col.rlike("(?diU)" + p)
-    for p in SYMBOL_CASE:
-        hit = hit | col.rlike("(?dU)" + p)
+    for words, any_case, symbols in _GATES:
+        group = F.lit(False)
+        for p in any_case:
+            group = group | col.rlike("(?diU)" + p)
+        for p in symbols:
+            group = group | col.rlike("(?dU)" + p)
+        hit = hit | (col.rlike("(?iu)" + words) & group)
     return F.coalesce(hit, F.lit(False))
 
 

@@ -150,18 +150,18 @@ def _decision_keys(decisions: DataFrame) -> DataFrame:
 
 
 def select(decisions: DataFrame, evidence: DataFrame, *, at: str = "evaluation_time", max_age_us: int,
-           keep: Sequence[str] = ()) -> DataFrame:
+           keep: Sequence[str] = (), on: Sequence[str] = ()) -> DataFrame:
     """Decision x selected evidence rows; only rows that are results are produced.
 
     ``decisions``: ticker, sector, ``at`` and identifiers.  Scope is an equality key and time
-    an interval join, so no scope group is paired in full.
+    an interval join, so no scope group is paired in full.  ``on`` adds equality keys.
     """
     usable = evidence.filter(F.col("policy_eligible") & F.col("available_at").isNotNull())
     rows = _keys(usable.withColumns(_window(max_age_us))).filter(F.col("scope") != "BOTH")
-    rows = rows.select("scope", "target", "_from", "_to", F.col("tickers").alias("_tickers"), "evidence_id", "category", "source",
+    rows = rows.select("scope", "target", *on, "_from", "_to", F.col("tickers").alias("_tickers"), "evidence_id", "category", "source",
                        "source_record_id", "policy_match_key", F.col("available_at").alias("evidence_available_at"), *keep)
     probes = _decision_keys(decisions.withColumn("_at", micros(at))).filter(F.col("scope") != "BOTH")
-    out = interval_join(probes, rows, keys=["scope", "target"], at="_at", start="_from", end="_to")
+    out = interval_join(probes, rows, keys=["scope", "target", *on], at="_at", start="_from", end="_to")
     seen_by_ticker = (F.col("scope") == "SECTOR") & F.coalesce(F.array_contains("_tickers", F.col("ticker")), F.lit(False))
     return out.filter(~seen_by_ticker).drop("_from", "_to", "_at", "_tickers", "target")
 
@@ -284,20 +284,46 @@ class Policy:
         return spark.createDataFrame(rows, "ordinal int, rule_id string, policy_match_key string, action string, reason_code string, size_factor double")
 
 
-def evaluate(decisions: DataFrame, selected: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time") -> DataFrame:
-    """Hypothetical action per decision: the first rule with a matching selected row wins."""
-    spark = decisions.sparkSession
-    rules = policy.frame(spark)
-    hits = selected.join(F.broadcast(rules.select("ordinal", "policy_match_key")), "policy_match_key")
+def winning_rules(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
+                  max_age_us: int, sliced: bool | None = None) -> DataFrame:
+    """(id, ordinal) of the first rule with selected evidence, by running counts instead of pairs."""
+    rules = policy.frame(decisions.sparkSession)
+    usable = evidence.filter(F.col("policy_eligible") & F.col("available_at").isNotNull())
+    keyed = _keys(usable.join(F.broadcast(rules.select("ordinal", "policy_match_key")), "policy_match_key").withColumns(_window(max_age_us)))
+    moves = keyed.select("scope", "target", "ordinal", F.explode(F.array(
+        F.struct(F.col("_from").alias("_t"), F.col("_weight").alias("_change")),
+        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), (-F.col("_weight")).alias("_change")))).alias("_m"))
+    moves = moves.select("scope", "target", "ordinal", "_m.*").groupBy("scope", "target", "ordinal", "_t").agg(F.sum("_change").alias("_change"))
+    ordinals = F.array(*[F.lit(i) for i in range(len(policy.rules))])
+    probes = _decision_keys(decisions.select(id, "ticker", "sector", micros(at).alias("_t"))).select(
+        "scope", "target", F.explode(ordinals).alias("ordinal"), "_t", id)
+    timeline = moves.withColumns({"_kind": F.lit(0), id: F.lit(None).cast(decisions.schema[id].dataType)}).unionByName(
+        probes.withColumns({"_kind": F.lit(1), "_change": F.lit(0).cast("long")}))
+    live = OrderedScan(timeline, ["scope", "target", "ordinal"], ["_t", "_kind", id], sliced=sliced).running(
+        Running("_live", "sum", F.col("_change"))).result()
+    per = live.filter((F.col("_kind") == 1) & (F.col("_live") != 0)).groupBy(id, "ordinal").agg(F.sum("_live").alias("n"))
+    return per.filter("n > 0").groupBy(id).agg(F.min("ordinal").alias("ordinal"))
+
+
+def evaluate(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
+             max_age_us: int) -> DataFrame:
+    """Hypothetical action per decision: the first rule with a matching selected row wins.
+
+    The winner is found by counting; only the winning rule's evidence is then joined, because
+    only its identifiers are part of the result.
+    """
+    rules = policy.frame(decisions.sparkSession)
+    key_rule = rules.select("ordinal", "policy_match_key")
+    won = winning_rules(decisions, evidence, policy, id=id, at=at, max_age_us=max_age_us)
+    probes = decisions.select(id, "ticker", "sector", at).join(won, id)
+    hits = select(probes, evidence.join(F.broadcast(key_rule), "policy_match_key"), at=at, max_age_us=max_age_us, on=["ordinal"])
     item = F.struct("evidence_available_at", "category", "source", "source_record_id", "evidence_id")
-    per_rule = hits.groupBy(id, "ordinal").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    winner = per_rule.groupBy(id).agg(F.min("ordinal").alias("ordinal"), F.min_by("_items", "ordinal").alias("_items"))
+    items = hits.groupBy(id, "ordinal").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     heads = rules.select("ordinal", "rule_id", "action", "reason_code", "size_factor").dropDuplicates(["ordinal"])
-    won = winner.join(F.broadcast(heads), "ordinal")
-    out = decisions.join(won, id, "left")
+    out = decisions.join(items.join(F.broadcast(heads), "ordinal"), id, "left")
 
     def ids(*categories):
-        kept = F.filter(F.coalesce("_items", F.array().cast(winner.schema["_items"].dataType)), lambda e: e["category"].isin(*categories))
+        kept = F.filter(F.coalesce("_items", F.array().cast(items.schema["_items"].dataType)), lambda e: e["category"].isin(*categories))
         return F.transform(kept, lambda e: e["evidence_id"])
 
     out = out.withColumns({

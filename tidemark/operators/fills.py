@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import blank_to_null, finite, symbol
 from tidemark.functions.times import parse_utc_iso
 
-PAYLOAD = """execution_id string, activity_id string, id string, trade_id string, side string, qty string, quantity string,
-price string, fill_price string, avg_price string, transaction_time string, filled_at string, fill_time string,
-timestamp string, symbol string, ticker string, status string, type string,
-order struct<side: string, symbol: string, ticker: string>"""
+# Payload fields, in the order in which alternatives are tried.
+FIELDS = {
+    "fill_id": ("execution_id", "activity_id", "id", "trade_id"),
+    "side": ("side",),
+    "quantity": ("qty", "quantity"),
+    "fill_price": ("price", "fill_price", "avg_price"),
+    "fill_time": ("transaction_time", "filled_at", "fill_time", "timestamp"),
+    "ticker": ("symbol", "ticker"),
+    "broker_status": ("status", "type"),
+}
+NESTED = ("side", "symbol", "ticker")
 
 
 def slippage(side: Column, fill_price: Column, expected: Column) -> tuple[Column, Column]:
@@ -30,29 +37,32 @@ def with_slippage(df: DataFrame, *, explicit: str | None = None, arrival: str |
 
 
 def parse_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Fill rows from JSON payloads; ``error`` names the first missing or invalid field."""
-    p = df.withColumn("_p", F.from_json(column, PAYLOAD))
+    """Fill rows from JSON payloads; ``error`` names the first missing or invalid field.
 
-    def first(*names, nested=False):
-        top = [F.col(f"_p.{n}") for n in names]
-        inner = [F.col(f"_p.order.{n}") for n in names] if nested else []
-        return F.coalesce(*top, *inner)
+    ``json_tuple`` is a generator, so each payload is parsed once however many fields, filters
+    and error tests read it (``from_json`` would be repeated in every pushed-down filter).
+    """
+    names = sorted({f for group in FIELDS.values() for f in group})
+    top = df.select("*", F.json_tuple(column, *names, "order").alias(*[f"_{n}" for n in names], "_order"))
+    p = top.select("*", F.json_tuple("_order", *NESTED).alias(*[f"_order_{n}" for n in NESTED])).drop("_order")
+
+    def first(field, nested=False):
+        inner = [F.col(f"_order_{n}") for n in FIELDS[field]] if nested else []
+        return F.coalesce(*[F.col(f"_{n}") for n in FIELDS[field]], *inner)
 
     side = F.upper(F.trim(first("side", nested=True)))
-    quantity, price = finite(first("qty", "quantity").try_cast("double")), finite(
-        first("price", "fill_price", "avg_price").try_cast("double"))
-    at = parse_utc_iso(first("transaction_time", "filled_at", "fill_time", "timestamp"))
-    fill_id = blank_to_null(first("execution_id", "activity_id", "id", "trade_id"))
-    return p.withColumns({
-        "fill_id": fill_id, "side": side, "quantity": quantity, "fill_price": price, "fill_time": at,
-        "ticker": symbol(first("symbol", "ticker", nested=True)) if "ticker" not in df.columns else F.coalesce(
-            symbol(first("symbol", "ticker", nested=True)), symbol("ticker")),
-        "broker_status": F.coalesce(blank_to_null(first("status", "type")), F.lit("filled")),
-        "error": F.when(F.col("_p").isNull(), "invalid_payload").when(fill_id.isNull(), "missing_fill_id")
-        .when(~F.coalesce(side.isin("BUY", "SELL"), F.lit(False)), "invalid_side")
-        .when(~F.coalesce(quantity > 0, F.lit(False)), "invalid_quantity")
-        .when(~F.coalesce(price > 0, F.lit(False)), "invalid_fill_price").when(at.isNull(), "invalid_fill_time"),
-    }).drop("_p")
+    quantity, price = finite(first("quantity").try_cast("double")), finite(first("fill_price").try_cast("double"))
+    own = [symbol("ticker")] if "ticker" in df.columns else []
+    out = p.withColumns({
+        "fill_id": blank_to_null(first("fill_id")), "side": side, "quantity": quantity, "fill_price": price,
+        "fill_time": parse_utc_iso(first("fill_time")), "ticker": F.coalesce(symbol(first("ticker", nested=True)), *own),
+        "broker_status": F.coalesce(blank_to_null(first("broker_status")), F.lit("filled"))})
+    out = out.withColumn("error", F.when(F.col("fill_id").isNull(), "missing_fill_id")
+                         .when(~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False)), "invalid_side")
+                         .when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), "invalid_quantity")
+                         .when(~F.coalesce(F.col("fill_price") > 0, F.lit(False)), "invalid_fill_price")
+                         .when(F.col("fill_time").isNull(), "invalid_fill_time"))
+    return out.drop(*[f"_{n}" for n in names], *[f"_order_{n}" for n in NESTED])
 
 
 def broker_positions(df: DataFrame) -> DataFrame:

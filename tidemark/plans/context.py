@@ -217,10 +217,7 @@ i as (select s.decision_id, s.o, string_agg(evidence_id, ',' order by available_
 select d.decision_id, case o when 0 then 'BLOCK' when 1 then 'REDUCE_SIZE' when 2 then 'WARN_ONLY' else 'NO_CHANGE' end as hypothetical_action, case o when 1 then 0.25e0 end as proposed_size_factor,
   coalesce(case o when 0 then 'k3_seen' when 1 then 'k1_k4' when 2 then 'k2_seen' end, '') as reason_codes, coalesce(ids, '') as flag_ids from d left join i using (decision_id)""")
 def shadow_policy(spark, sf):
-    d, e = decisions(spark, sf), evidence_rows(spark, sf)
-    keys = sorted({k for r in _POLICY.rules for k in r.match_keys})
-    hits = ev.select(d, e.filter(F.col("policy_match_key").isin(*keys)), max_age_us=_AGE)
-    out = ev.evaluate(d, hits, _POLICY)
+    out = ev.evaluate(decisions(spark, sf), evidence_rows(spark, sf), _POLICY, max_age_us=_AGE)
     return out.select("decision_id", "hypothetical_action", "proposed_size_factor", F.array_join("reason_codes", ",").alias("reason_codes"),
                       F.array_join("matched_context_flag_ids", ",").alias("flag_ids"))
 

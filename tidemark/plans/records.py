@@ -16,7 +16,7 @@ from tidemark.plans.market import _cost_sql
 from tidemark.plans.registry import query
 from tidemark.plans.trading import _RISK_SQL, risk_decisions as _decisions
 from tidemark.plans.views import table, view, with_views
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, spread
 from tidemark.sinks import ledger
 from tidemark.sources import feeds, files
 
@@ -57,7 +57,7 @@ def filing_rows(spark, sf):
 u as (select page_id, replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), chr(160), ' ') as x from t)
 select page_id, length(x) as characters, sha256(x) as text_hash from u""")
 def page_text(spark, sf):
-    t = table(spark, sf, "pages").select("page_id", filings.document_text(F.col("html").cast("binary")).alias("x"))
+    t = spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", filings.document_text(F.col("html").cast("binary")).alias("x"))
     return t.select("page_id", F.length("x").cast("long").alias("characters"), F.sha2("x", 256).alias("text_hash"))
 
 
@@ -65,7 +65,7 @@ def eight_k(spark, sf) -> DataFrame:
     """Filing-shaped HTML around every document text."""
     html = F.concat(F.lit("<html><body><div>Item 2.02. Results</div><p>"), F.col("text"), F.lit("</p><DIV>\tITEM  8.01 - Other &amp; more</DIV><p>"),
                     F.col("source"), F.lit("&nbsp;note</p><div>Item 9.01 Exhibits</div><p>list</p><div>Item 2.02: again</div><p>short</p></body></html>"))
-    return table(spark, sf, "documents").select("doc_id", "source", html.alias("html"))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", html.alias("html"))
 
 
 @query("S16 W6 F8 P48", r"""with d as (select doc_id, source, '2.02' as item, 'Item 2.02. Results' || chr(10) || chr(10) || text as body from documents
@@ -117,7 +117,7 @@ def insider_events(spark, sf):
         F.when(k % 5 == 0, "<x:aff10b5One>1</x:aff10b5One>").when(k % 5 == 1, "<x:aff10b5One>false</x:aff10b5One>").otherwise(""),
         F.lit("<x:nonDerivativeTable>"), first, second, F.lit("</x:nonDerivativeTable><x:footnotes><x:footnote id=\"F1\">The sale was made pursuant to a\n Rule 10b5‑1 plan.</x:footnote>"),
         F.lit('<x:footnote id="F2">These shares were not sold under a Rule 10b5-1 plan.</x:footnote></x:footnotes></x:ownershipDocument>'))
-    docs = table(spark, sf, "orders").select(
+    docs = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select(
         k.cast("string").alias("accession_number"), F.lit("ABC").alias("ticker"), F.lit("0000000077").alias("issuer_cik"), F.when(k % 6 == 0, "4/A").otherwise("4").alias("form_type"),
         F.when(k % 12 == 0, "X").alias("amendment_of"), F.lit(None).cast("timestamp").alias("acceptance_at"), at().alias("collected_at"), xml.alias("xml"))
     out = filings.insider_events(filings.ownership(docs))
@@ -151,7 +151,7 @@ _SAID = ("We recommend that clients buy ACME.", "Traders must not sell-off early
 @query("P36", None)
 def trading_instruction(spark, sf):
     said = F.element_at(F.array(*[F.lit(s) for s in _SAID]), (F.col("doc_id") % len(_SAID) + 1).cast("int"))
-    d = table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", "text", said).alias("text"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.concat_ws("\n", "text", said).alias("text"))
     return d.select("doc_id", classification.trading_instruction("text").alias("is_instruction"))
 
 

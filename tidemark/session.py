@@ -90,3 +90,12 @@ def fits_broadcast(df: DataFrame) -> bool:
     """Count at most bound + 1 rows; True when the side is small enough to ship whole."""
     bound = max_broadcast_rows(df.sparkSession)
     return df.limit(bound + 1).count() <= bound
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for CPU-heavy row work when the input has fewer splits than cores.
+
+    A large input has many splits already and is left alone (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
