@@ -107,18 +107,24 @@ def decimal_value(c: Column | str) -> Column:
     return F.when((text != "") & (text != "."), text.try_cast("decimal(38,18)"))
 
 
+def _plain(c: Column) -> Column:
+    """Decimal as digits with all 18 places, never with an exponent."""
+    return F.regexp_replace(F.format_number(c.cast("decimal(38,18)"), 18), ",", "")
+
+
+def _trimmed(text: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(text.isin("-0", "0"), F.lit("0")).otherwise(text)
+
+
 def decimal_text(c: Column | str) -> Column:
     """Plain notation without trailing zeros; zero is ``0``."""
-    text = _c(c).cast("decimal(38,18)").cast("string")
-    plain = F.when(text.contains("E"), F.format_number(_c(c), 18)).otherwise(text)
-    plain = F.regexp_replace(F.regexp_replace(plain, ",", ""), r"(\.\d*?)0+$", "$1")
-    plain = F.regexp_replace(plain, r"\.$", "")
-    return F.when(plain.isin("-0", "0"), F.lit("0")).otherwise(plain)
+    return _trimmed(_plain(_c(c)))
 
 
 def quantity_text(c: Column | str) -> Column:
     """Order quantity: at most nine places, rounded down, no trailing zeros; not positive gives NULL."""
     x = finite(c)
     exact = F.when(x > 0, x.cast("string").try_cast("decimal(38,18)"))
-    floored = (F.floor(exact * F.lit(1_000_000_000).cast("decimal(10,0)")) / F.lit(1_000_000_000).cast("decimal(10,0)")).cast("decimal(38,9)")
-    return F.when(floored > 0, decimal_text(floored))
+    text = _trimmed(F.regexp_extract(_plain(exact), r"^(\d+\.\d{9})", 1))
+    return F.when(text != "0", text)

@@ -223,7 +223,9 @@ def _read_ownership(xml: str) -> dict:
 
 
 def _read_all(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read_ownership(x) for x in xml], columns=["issuer_ticker", "issuer_cik", "plan", "owners", "transactions", "notes"])
+    read = [_read_ownership(x) for x in xml]
+    names = ("issuer_ticker", "issuer_cik", "plan", "owners", "transactions", "notes")
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in read], dtype=object) for n in names})
 
 
 def parse_ownership(c: Column | str) -> Column:
