@@ -58,7 +58,7 @@ a as (select ticker, sector, count(*) filter (where not expired) as fresh, count
 b as (select *, case mx when 0 then 'INFO' when 1 then 'LOW' when 2 then 'MEDIUM' when 3 then 'HIGH' when 4 then 'CRITICAL' end as sev,
   case mx when 1 then 'LOW' when 2 then 'ELEVATED' when 3 then 'HIGH' when 4 then 'HIGH' end as lvl from a)
 select ticker, sector, fresh as fresh_entry_count, old as expired_entry_count, case when old > 0 and (lvl is null or lvl = 'LOW') then 'EXPIRED' else sev end as highest_severity,
-  case when old > 0 and (lvl is null or lvl = 'LOW') then 'ELEVATED' else lvl end as risk_level, epoch_us(vu) as valid_until_us, ids as flag_ids from b""")
+  case when old > 0 and (lvl is null or lvl = 'LOW') then 'ELEVATED' else lvl end as risk_level, coalesce(epoch_us(vu), -1) as valid_until_us, ids as flag_ids from b""")
 def context_snapshot(spark, sf):
     now = F.expr(_NOW.replace("timestamp ", "timestamp_ltz "))
     latest = state.latest(updates(spark, sf)).withColumns({
@@ -68,7 +68,7 @@ def context_snapshot(spark, sf):
     subjects = tickers.select("ticker", F.when(n < 8, F.concat(F.lit("G"), (n % 4).cast("string"))).alias("sector"), now.alias("now"))
     out = state.snapshots(subjects, latest)
     return out.select("ticker", "sector", "fresh_entry_count", "expired_entry_count", "highest_severity", "risk_level",
-                      micros("valid_until").alias("valid_until_us"), F.array_join("active_context_flag_ids", ",").alias("flag_ids"))
+                      micros("valid_until").alias("valid_until_us"), F.array_join("active_context_flag_ids", ",").alias("flag_ids")).na.fill(-1, ["valid_until_us"])
 
 
 @query("A14", _LATEST + """ select scope, target, count(*) as entry_count, string_agg(name || '=' || value || '/' || severity, ',' order by name) as entries from l group by 1, 2""")
@@ -102,12 +102,13 @@ def refresh_log(spark, sf) -> DataFrame:
   last_value(case when full_success then completed_at end ignore nulls) over w as lf from r window w as (partition by source_id order by observed_at, event_id rows unbounded preceding))
 select event_id, source_id, sum(case when failed then 1 else 0 end) over (partition by source_id, i1 order by observed_at, event_id rows unbounded preceding)::bigint as failures,
   sum(case when not usable then 1 else 0 end) over (partition by source_id, i2 order by observed_at, event_id rows unbounded preceding)::bigint as non_usable,
-  epoch_us(lc) as completed_us, epoch_us(lu) as usable_us, epoch_us(lf) as success_us from a""")
+  coalesce(epoch_us(lc), -1) as completed_us, coalesce(epoch_us(lu), -1) as usable_us, coalesce(epoch_us(lf), -1) as success_us from a""")
 def refresh_fold(spark, sf):
     out = state.refresh_state(refresh_log(spark, sf), order=["observed_at", "event_id"])
     return out.select("event_id", "source_id", F.col("consecutive_failure_count").alias("failures"),
                       F.col("consecutive_non_usable_count").alias("non_usable"), micros("last_completed_at").alias("completed_us"),
-                      micros("last_usable_at").alias("usable_us"), micros("last_full_success_at").alias("success_us"))
+                      micros("last_usable_at").alias("usable_us"), micros("last_full_success_at").alias("success_us")).na.fill(
+        -1, ["completed_us", "usable_us", "success_us"])
 
 
 @query("J21", "with " + _REFRESH + """, a as (select *, last_value(case when not failed then completed_at end ignore nulls) over w as lc, last_value(case when usable then completed_at end ignore nulls) over w as lu, last_value(case when full_success then completed_at end ignore nulls) over w as lf
@@ -257,15 +258,15 @@ l as (select * from c qualify row_number() over (partition by occ order by cap d
 
 
 @query("W4 T5 T4 J5", "with " + _CAL + """, p as (select event_id, timestamp '1994-01-01' + event_id * interval '1' hour as t from events)
-select 'latest' as kind, occ as occurrence_id, rev as revision_id, cast(null as bigint) as probe from l
-union all select 'between', occ, rev, null from l where sched >= timestamp '1995-03-01' and sched < timestamp '1995-04-01'
-union all (select 'upcoming', occ, rev, null from l where status <> 'CANCELLED' and sched > timestamp '1996-01-01' order by sched, occ limit 7)
+select 'latest' as kind, occ as occurrence_id, rev as revision_id, cast(-1 as bigint) as probe from l
+union all select 'between', occ, rev, -1 from l where sched >= timestamp '1995-03-01' and sched < timestamp '1995-04-01'
+union all (select 'upcoming', occ, rev, -1 from l where status <> 'CANCELLED' and sched > timestamp '1996-01-01' order by sched, occ limit 7)
 union all select 'active', occ, null, event_id from l join p on status <> 'CANCELLED' and t >= sched - mins * interval '1' minute and t <= sched + mins * interval '1' minute""")
 def calendar_revisions(spark, sf):
     profiles = spark.createDataFrame([("short", 30, 30), ("long", 2880, 2880)], "profile_id string, pre_minutes int, post_minutes int")
     rev = calendar.with_windows(calendar.latest_revisions(calendar_events(spark, sf)), profiles)
     ts = lambda s: F.lit(s).cast("timestamp")
-    none = F.lit(None).cast("long").alias("probe")
+    none = F.lit(-1).cast("long").alias("probe")
 
     def kind(name, df):
         return df.select(F.lit(name).alias("kind"), "occurrence_id", "revision_id", none)
@@ -276,11 +277,12 @@ def calendar_revisions(spark, sf):
             .unionByName(kind("upcoming", calendar.upcoming(rev, ts("1996-01-01"), limit=7))).unionByName(active))
 
 
-@query("W4 P42", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, o_orderdate - (o_orderkey % 500) * interval '1' minute as cap from orders)
+@query("W4 P42", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, date_trunc('month', o_orderdate) as cap from orders)
 select occ as occurrence_id, 'duplicate_captured_at' as problem from c group by 1 having count(distinct cap) < count(*)
 union all select occ, 'duplicate_revision_id' from c group by 1 having count(distinct o_orderkey) < count(*)""")
 def calendar_problems(spark, sf):
-    return calendar.revision_problems(calendar_events(spark, sf))
+    monthly = calendar_events(spark, sf).withColumn("captured_at", F.date_trunc("month", "scheduled_at"))
+    return calendar.revision_problems(monthly)
 
 
 @query("P46", "with " + _CAL + """, n as (select timestamp '1995-06-15 12:00:00' as now), w as (select *, status <> 'CANCELLED' and now between sched - mins * interval '1' minute and sched + mins * interval '1' minute as act, 'macro_calendar:active:' || occ as name from l, n)
@@ -321,8 +323,8 @@ def release_lookup(spark, sf):
 @query("J6 A17", with_views("observations") + """, w as (select series, cast(date_trunc('week', observation_date) as date) as period, count(distinct value) > 1 as amb, min(value) as v from observations
   where extract('dow' from observation_date) in (1, 2) and not (series = 'MID' and extract('dow' from observation_date) = 2) group by 1, 2),
 g as (select * from w where not amb), f as (select g.series, g.period, g.v, p.v as pv from g left join g p on p.series = g.series and p.period = g.period - 7)
-select series, period, 'level' as kind, v as value from f union all select series, period, 'change_wow', v - pv from f where pv is not null
-union all select series, period, 'EXPECTED_PRIOR_PERIOD_MISSING', null from f where pv is null union all select series, period, 'CURRENT_PERIOD_INVALID', null from w where amb""")
+select series, cast(period as varchar) as period, 'level' as kind, v as value from f union all select series, cast(period as varchar), 'change_wow', v - pv from f where pv is not null
+union all select series, cast(period as varchar), 'EXPECTED_PRIOR_PERIOD_MISSING', null from f where pv is null union all select series, cast(period as varchar), 'CURRENT_PERIOD_INVALID', null from w where amb""")
 def weekly_change(spark, sf):
     o = view(spark, sf, "observations")
     dow = F.dayofweek("observation_date")
@@ -330,18 +332,19 @@ def weekly_change(spark, sf):
         "series", F.date_format(F.date_trunc("week", "observation_date"), "yyyy-MM-dd").alias("period"), F.col("value").cast("string").alias("value"),
         F.lit("MBBL").alias("units"), F.lit("MBBL").alias("expected_units"))
     facts, issues = energy.weekly_facts(energy.select_periods(rows))
-    return facts.select("series", "period", "kind", "value").unionByName(
-        issues.select("series", "period", F.col("issue_type").alias("kind"), F.lit(None).cast("double").alias("value")))
+    day = F.col("period").cast("string").alias("period")
+    return facts.select("series", day, "kind", "value").unionByName(
+        issues.select("series", day, F.col("issue_type").alias("kind"), F.lit(None).cast("double").alias("value")))
 
 
 @query("W5 P44 P45 J7 U1 F13 F23", with_views("observations") + """, o as (select series, observation_date as d, value as v from observations where observation_date <= date '1997-05-20'),
 r as (select *, row_number() over (partition by series order by d desc) as rn from o), x as (select a.series, a.d, a.v, b.v as pv from r a left join r b on a.series = b.series and b.rn = 2 where a.rn = 1),
 c as (select * from x where date '1997-05-20' between d and d + 10),
 m as (select max(case series when 'SHORT' then v end) as s, max(case series when 'MID' then v end) as m, max(case series when 'LONG' then v end) as l, min(d) as lo, max(d) as hi, count(*) as n from c)
-select series as indicator, 'yield_level' as value_kind, d as observation_date, round(v, 6) as value, cast(null as varchar) as label from c
-union all select series || '_change', 'yield_change', d, round(v - pv, 6), null from c where pv is not null
-union all select 'mid_minus_short', 'yield_spread', lo, round(m - s, 6), null from m where n = 3 and lo = hi union all select 'long_minus_mid', 'yield_spread', lo, round(l - m, 6), null from m where n = 3 and lo = hi
-union all select 'rate_curve_regime_v1', 'categorical_regime', lo, null, case when m - s < 0 then 'FRONT_INVERTED' else 'FRONT_POSITIVE' end || '__' || case when l - m < 0 then 'LONG_INVERTED' else 'LONG_POSITIVE' end from m where n = 3 and lo = hi""")
+select series as indicator, 'yield_level' as value_kind, cast(d as varchar) as observation_date, round(v, 6) as value, cast(null as varchar) as label from c
+union all select series || '_change', 'yield_change', cast(d as varchar), round(v - pv, 6), null from c where pv is not null
+union all select 'mid_minus_short', 'yield_spread', cast(lo as varchar), round(m - s, 6), null from m where n = 3 and lo = hi union all select 'long_minus_mid', 'yield_spread', cast(lo as varchar), round(l - m, 6), null from m where n = 3 and lo = hi
+union all select 'rate_curve_regime_v1', 'categorical_regime', cast(lo as varchar), null, case when m - s < 0 then 'FRONT_INVERTED' else 'FRONT_POSITIVE' end || '__' || case when l - m < 0 then 'LONG_INVERTED' else 'LONG_POSITIVE' end from m where n = 3 and lo = hi""")
 def rate_facts(spark, sf):
     raw = view(spark, sf, "observations").select("series", F.date_format("observation_date", "yyyy-MM-dd").alias("date"),
                                                  F.col("value").cast("string").alias("value"), F.lit(1).alias("row_seq"))
@@ -349,7 +352,7 @@ def rate_facts(spark, sf):
     pairs = rates.latest_two(rates.valid_observations(raw, evaluation_date=day))
     facts, _ = rates.facts(pairs, evaluation_date=day, max_age_days=10, spreads={"mid_minus_short": ("MID", "SHORT"), "long_minus_mid": ("LONG", "MID")},
                            regime=("SHORT", "MID", "LONG"))
-    return facts.select("indicator", "value_kind", "observation_date", r6(F.col("value")).alias("value"), "label")
+    return facts.select("indicator", "value_kind", F.col("observation_date").cast("string").alias("observation_date"), r6(F.col("value")).alias("value"), "label")
 
 
 @query("W7 W8 J8 P47", with_views("bars") + """, b as (select symbol, bar_day, close + 1 as close from bars where not (symbol = 'T3' and bar_day = date '2024-01-25')),
@@ -446,7 +449,7 @@ def award_funding(spark, sf):
 
 
 @query("A19 A22 P49", """with s as (select user_id % 50 as source, count(*) filter (where event_type = 'error' and value > 400) as issues, count(*) filter (where event_type <> 'error') as good, max(cast(ts as date)) filter (where event_type = 'purchase') as d from events group by 1)
-select source, case when good = 0 then 'FAILED' when issues > 0 or d is null then 'PARTIAL' when not (date '2024-01-31' - d between 0 and 1) then 'STALE' else 'SUCCESS' end as status, date '2024-01-31' - d as age_days from s""")
+select source, case when good = 0 then 'FAILED' when issues > 0 or d is null then 'PARTIAL' when not (date '2024-01-31' - d between 0 and 1) then 'STALE' else 'SUCCESS' end as status, coalesce(date '2024-01-31' - d, -1) as age_days from s""")
 def run_status(spark, sf):
     e = table(spark, sf, "events")
     s = e.groupBy((F.col("user_id") % 50).alias("source")).agg(
@@ -454,4 +457,4 @@ def run_status(spark, sf):
         F.max(F.when(F.col("event_type") == "purchase", F.to_date("ts"))).alias("d"))
     at = F.lit("2024-01-31 20:00:00").cast("timestamp")
     return s.select("source", awards.run_status(F.col("good") == 0, F.col("issues"), F.lit(True), awards.source_current(at, F.col("d"), 1)).alias("status"),
-                    awards.source_age_days(at, F.col("d")).cast("long").alias("age_days"))
+                    F.coalesce(awards.source_age_days(at, F.col("d")).cast("long"), F.lit(-1)).alias("age_days"))

@@ -140,7 +140,7 @@ def parity_diff(spark, sf):
 
 @query("J1", with_views("market_records") + """, p as (select ingest_seq, ticker, event_time + interval 5 minutes as target from market_records where record_type = 'trade'),
 o as (select ticker, event_time, (bid_price + ask_price) / 2 as mid from market_records where bid_price is not null)
-select p.ingest_seq, p.ticker, epoch_us(p.target) as target_us, epoch_us(o.event_time) as forward_us, round(o.mid, 6) as forward_mid
+select p.ingest_seq, p.ticker, epoch_us(p.target) as target_us, coalesce(epoch_us(o.event_time), -1) as forward_us, round(o.mid, 6) as forward_mid
 from p asof left join o on p.ticker = o.ticker and p.target <= o.event_time""")
 def forward_asof(spark, sf):
     obs = observations(records(spark, sf))
@@ -148,8 +148,9 @@ def forward_asof(spark, sf):
         "ingest_seq", "ticker", (micros("event_time") + F.lit(300_000_000)).alias("target_us"))
     quotes = obs.filter(F.col("mid_obs").isNotNull()).select(
         "ticker", micros("event_time").alias("forward_us"), r6(F.col("mid_obs")).alias("forward_mid"), F.col("ingest_seq").alias("quote_seq"))
-    return asof_join(probes, quotes, keys=["ticker"], left_at="target_us", right_at="forward_us", right_order=["quote_seq"],
-                     right_cols=["forward_us", "forward_mid"], direction="forward")
+    out = asof_join(probes, quotes, keys=["ticker"], left_at="target_us", right_at="forward_us", right_order=["quote_seq"],
+                    right_cols=["forward_us", "forward_mid"], direction="forward")
+    return out.na.fill(-1, ["forward_us"])
 
 
 def _cost_sql(src: str, style: str, extra: str) -> str:
@@ -210,7 +211,7 @@ def cost_estimate(spark, sf):
 h as (select symbol, bar_day, side, entry as mid, cast(null as double) as spread, '5m' as horizon, 250.0e0 as quantity,
   case side when 'BUY' then (leave / entry - 1) * 10000 else (entry / leave - 1) * 10000 end as move
   from b, (values ('BUY'), ('SELL')) z(side) where leave is not null),
-""" + _cost_sql("h", "'LIMIT'", "symbol, bar_day, side, round(move, 6) as move_bps"))
+""" + _cost_sql("h", "'LIMIT'", "symbol, cast(bar_day as varchar) as bar_day, side, round(move, 6) as move_bps"))
 def cost_mid_pair(spark, sf):
     b = view(spark, sf, "bars").select("symbol", "bar_day", (F.col("close") + 1).alias("entry_midprice"))
     nxt = asof_join(b.withColumn("_d", F.date_add("bar_day", 1)), b.select("symbol", "bar_day", "entry_midprice").withColumnsRenamed(
@@ -219,4 +220,4 @@ def cost_mid_pair(spark, sf):
     rows = nxt.filter(F.col("exit_midprice").isNotNull()).withColumn("side", F.explode(F.array(F.lit("BUY"), F.lit("SELL")))).withColumns({
         "horizon": F.lit("5m"), "order_style": F.lit("LIMIT_AT_MID"), "quantity": F.lit(250.0), "spread": F.lit(None).cast("double")})
     df = costs.estimate_from_mids(rows).filter(F.col("error").isNull())
-    return _cost_out(df, "symbol", "bar_day", "side", r6(F.col("expected_gross_move_bps")).alias("move_bps"))
+    return _cost_out(df, "symbol", F.col("bar_day").cast("string").alias("bar_day"), "side", r6(F.col("expected_gross_move_bps")).alias("move_bps"))

@@ -29,10 +29,10 @@ def at() -> Column:
 @query("S6 S7 F6 F7 F14", """with o as (select *, case o_orderkey % 5 when 0 then '8-K' when 1 then '4' when 2 then '4/A' when 3 then '10-Q' else '8-K/A' end as form,
   case when o_orderkey % 7 = 0 then lpad(cast(o_orderkey as varchar), 18, '0') else '0000' || lpad(cast(o_custkey as varchar), 6, '0') || '-24-' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') end as acc from orders where o_custkey % 3 <> 0),
 a as (select *, regexp_replace(replace(acc, '-', ''), '^(\\d{10})(\\d{2})(\\d{6})$', '\\1-\\2-\\3') as n from o where form <> '10-Q' and o_orderkey % 13 <> 0 and o_orderdate >= timestamp '1995-06-01')
-select o_custkey as custkey, n as accession_number, form as form_type, cast(o_orderdate as date) as filing_date,
+select o_custkey as custkey, n as accession_number, form as form_type, cast(cast(o_orderdate as date) as varchar) as filing_date,
   'https://www.sec.gov/Archives/edgar/data/' || cast(o_custkey as varchar) || '/' || replace(n, '-', '') || '/d' || cast(o_orderkey as varchar) || '.htm' as filing_url,
   epoch_us(o_orderdate + interval 14 hours) as acceptance_us from a where not (o_orderkey % 11 = 0)
-union all select o_custkey, n, form, cast(o_orderdate as date), 'https://www.sec.gov/Archives/edgar/data/' || cast(o_custkey as varchar) || '/' || replace(n, '-', '') || '/d' || cast(o_orderkey as varchar) || '.htm', null from a where o_orderkey % 11 = 0""")
+union all select o_custkey, n, form, cast(cast(o_orderdate as date) as varchar), 'https://www.sec.gov/Archives/edgar/data/' || cast(o_custkey as varchar) || '/' || replace(n, '-', '') || '/d' || cast(o_orderkey as varchar) || '.htm', -1 from a where o_orderkey % 11 = 0""")
 def filing_rows(spark, sf):
     o = table(spark, sf, "orders").filter("o_custkey % 3 <> 0")
     key = F.col("o_orderkey")
@@ -50,7 +50,8 @@ def filing_rows(spark, sf):
     docs = docs.select(F.col("o_custkey").cast("string").alias("cik"), F.struct(F.struct(*[F.col("rs").getField(n).alias(n) for n in names]).alias("recent")).alias("filings"))
     issuers = o.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker")).distinct()
     good, _ = feeds.filings(docs, issuers, start="1995-06-01", collected_at=at())
-    return good.select(F.col("issuer_cik").cast("long").alias("custkey"), "accession_number", "form_type", "filing_date", "filing_url", micros("acceptance_at").alias("acceptance_us"))
+    return good.select(F.col("issuer_cik").cast("long").alias("custkey"), "accession_number", "form_type", F.col("filing_date").cast("string").alias("filing_date"), "filing_url",
+                       F.coalesce(micros("acceptance_at"), F.lit(-1)).alias("acceptance_us"))
 
 
 @query("S16", r"""with t as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(?:br|/?p|/?div|/?tr|/?li|/?h[1-6])\b[^>]*>', chr(10), 'g'), '(?is)<[^>]+>', '', 'g') as x from pages),
@@ -98,8 +99,8 @@ p as (select *, case k % 3 when 2 then 0 else 1 end + case when k % 2 = 0 then 1
 
 @query("S15 P37 P38 P39", "with " + _FORM4 + """
 select k as filing, ix as transaction_index, case code when 'P' then 'SEC_FORM4_PURCHASE' else 'SEC_FORM4_SALE' end as event_type, cast(shares as double) as shares, price as price_per_share,
-  shares * price as approximate_value, d as transaction_date, case when form = '4' then 'ELIGIBLE' when parent is null then 'AMENDMENT_UNRESOLVED' else 'AMENDMENT_RESOLVED' end as aggregate_eligibility,
-  case when ix = 0 and k % 4 = 0 then true when ix = 0 and k % 4 = 1 then false when k % 5 = 1 then false when k % 5 = 0 and code_p then true end as plan_10b5_1, 1 as owner_count from p where code in ('P', 'S')""")
+  shares * price as approximate_value, cast(d as varchar) as transaction_date, case when form = '4' then 'ELIGIBLE' when parent is null then 'AMENDMENT_UNRESOLVED' else 'AMENDMENT_RESOLVED' end as aggregate_eligibility,
+  case when ix = 0 and k % 4 = 0 then 'true' when ix = 0 and k % 4 = 1 then 'false' when k % 5 = 1 then 'false' when k % 5 = 0 and code_p then 'true' end as plan_10b5_1, 1 as owner_count from p where code in ('P', 'S')""")
 def insider_events(spark, sf):
     k = F.col("o_orderkey")
     tx_xml = lambda code, shares, price, notes: F.concat(
@@ -122,7 +123,8 @@ def insider_events(spark, sf):
         F.when(k % 12 == 0, "X").alias("amendment_of"), F.lit(None).cast("timestamp").alias("acceptance_at"), at().alias("collected_at"), xml.alias("xml"))
     out = filings.insider_events(filings.ownership(docs))
     return out.select(F.col("accession_number").cast("long").alias("filing"), "transaction_index", "event_type", "shares", "price_per_share", "approximate_value",
-                      "transaction_date", "aggregate_eligibility", "plan_10b5_1", "owner_count")
+                      F.col("transaction_date").cast("string").alias("transaction_date"), "aggregate_eligibility",
+                      F.col("plan_10b5_1").cast("string").alias("plan_10b5_1"), "owner_count")
 
 
 # --- classifier -----------------------------------------------------------------------------
@@ -202,7 +204,7 @@ def fingerprints(spark, sf):
 
 @query("F11 F13 F14 F15 F18", """with p as (select p_partkey as k, p_retailprice as r from part)
 select k, case when k % 10 <> 0 then regexp_replace(cast(cast(k as double) / 8 as varchar), '\\.0$', '') end as quantity, strftime(date '2024-01-01' + cast(k % 28 as int), '%Y-%m-%d') as day,
-  epoch_us(timestamp '2024-01-01 05:00:00' + k * interval 1 minute) as filed_us, (k * 60 + 270) // 300 * 300 + 30 as due_seconds, date '2024-01-10' - 6 as window_start from p""")
+  epoch_us(timestamp '2024-01-01 05:00:00' + k * interval 1 minute) as filed_us, (k * 60 + 270) // 300 * 300 + 30 as due_seconds, cast(date '2024-01-10' - 6 as varchar) as window_start from p""")
 def format_functions(spark, sf):
     k = F.col("p_partkey")
     base = F.lit(1704067200000000)
@@ -211,7 +213,7 @@ def format_functions(spark, sf):
         F.date_format(tm.source_date(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int")), "MM/dd/yyyy")), "yyyy-MM-dd").alias("day"),
         micros(tm.filing_timestamp(F.date_format(F.timestamp_micros(base + k * 60_000_000), "yyyyMMddHHmmss"))).alias("filed_us"),
         ((micros(tm.next_bar_due(F.timestamp_micros(base + k * 60_000_000))) - base) / 1_000_000).cast("long").alias("due_seconds"),
-        tm.discovery_window(F.lit("2024-01-10 12:00:00").cast("timestamp"), 7)["start"].alias("window_start"))
+        tm.discovery_window(F.lit("2024-01-10 12:00:00").cast("timestamp"), 7)["start"].cast("string").alias("window_start"))
 
 
 @query("P43 P50", with_views("model_signals") + """ select signal_id, concat_ws(',', case when confidence > 0.9e0 or false then 'confidence' end, case when k % 7 = 0 then 'signal' end) as violations from model_signals
@@ -263,9 +265,9 @@ def ledger_summary(spark, sf):
     return out.withColumn("value", F.when(F.col("metric") == "avg_net_edge_bps", F.round("value", 4)).otherwise(F.round("value", 6)))
 
 
-@query("K1 K2 K5 S18 S19", with_views("model_signals") + """ select 'ledger' as place, cast(signal_time as date) as day, count(*) as rows, cast(sum(round(confidence * 100)) as bigint) as confidence_sum from model_signals
+@query("K1 K2 K5 S18 S19", with_views("model_signals") + """ select 'ledger' as place, cast(cast(signal_time as date) as varchar) as day, count(*) as rows, cast(sum(round(confidence * 100)) as bigint) as confidence_sum from model_signals
   where k % 19 <> 0 and signal_time >= timestamp '2024-01-05' and signal_time <= timestamp '2024-01-20 12:00:00' group by 2
-  union all select 'dead_letter', cast(signal_time as date), count(*), null from model_signals where k % 19 = 0 group by 2""")
+  union all select 'dead_letter', cast(cast(signal_time as date) as varchar), count(*), -1 from model_signals where k % 19 = 0 group by 2""")
 def ledger_append(spark, sf):
     root = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     s = view(spark, sf, "model_signals").withColumns({
@@ -273,10 +275,10 @@ def ledger_append(spark, sf):
     ledger.append(ledger.to_rows(s, "model_signals", run_id="r1"), "model_signals", root, dead_letter_root=f"{root}/dead")
     kept = ledger.read(spark, "model_signals", root, since="2024-01-05", until="2024-01-20 12:00:00")
     lost = feeds.dead_letters(spark, f"{root}/dead")
-    return kept.groupBy(F.to_date("signal_time").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.round(F.col("confidence") * 100)).cast("long").alias("confidence_sum")).select(
+    return kept.groupBy(F.to_date("signal_time").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.round(F.col("confidence") * 100)).cast("long").alias("confidence_sum")).select(
         F.lit("ledger").alias("place"), "day", "rows", "confidence_sum").unionByName(
-        lost.groupBy(F.to_date(F.substring("event_time", 1, 10)).alias("day")).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit("dead_letter").alias("place"), "day", "rows", F.lit(None).cast("long").alias("confidence_sum")))
+        lost.groupBy(F.substring("event_time", 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit("dead_letter").alias("place"), "day", "rows", F.lit(-1).cast("long").alias("confidence_sum")))
 
 
 @query("K6 K7", """with o as (select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0), n as (select o_orderkey, case when o_orderkey % 14 = 0 then o_totalprice + 1 else o_totalprice end as p from orders)
