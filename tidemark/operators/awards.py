@@ -67,13 +67,20 @@ def is_contract(category: Column, award_type: Column) -> Column:
 
 
 def funding_evidence(records: DataFrame, *, key: str = "lookup_id") -> DataFrame:
-    """Per award: record count, page flags and a fingerprint independent of record order."""
+    """Per award: record count, page flags and a fingerprint independent of record order.
+
+    The record hashes are added up (four 60-bit parts), which merges map-side like any sum; a
+    sorted list would collect an award's records in one place.
+    """
     present = [c for c in FUNDING_FIELDS if c in records.columns]
-    row = canonical_json(**{c: F.col(c).cast("string") for c in present})
+    row = F.sha2(canonical_json(**{c: F.col(c).cast("string") for c in present}), 256)
+    hashed = records.withColumn("_h", row)
+    parts = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"_s{i}") for i in range(4)]
     flags = [F.bool_or(c).alias(c) for c in ("has_next",) if c in records.columns]
-    out = records.groupBy(key).agg(F.count(F.lit(1)).alias("funding_records"), F.array_sort(F.collect_list(F.sha2(row, 256))).alias("_rows"), *flags)
+    out = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("funding_records"), *parts, *flags)
     page = F.col("has_next").cast("string") if flags else F.lit("false")
-    return out.withColumn("funding_fingerprint", F.sha2(F.concat_ws("|", page, F.array_join("_rows", ",")), 256)).drop("_rows")
+    text = F.concat_ws("|", page, F.col("funding_records").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(4)])
+    return out.withColumn("funding_fingerprint", F.sha2(text, 256)).drop(*[f"_s{i}" for i in range(4)])
 
 
 def classify(stored: Column, business_date: Column, observed_at: Column, late_days: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import finite, stable_id
 from tidemark.functions.times import MINUTE, SECOND, micros
 from tidemark.operators.ordered import first_per_key
+from tidemark.session import stable
 
 BAR_SECONDS = 300
 LOOKBACKS = (5, 15, 60)
@@ -46,6 +47,7 @@ def indicators(bars: DataFrame, now: Column, *, bar_seconds: int = BAR_SECONDS,
     """(indicators, issues) of prepared bars at one instant: latest close and exact look-back returns."""
     if max_staleness_seconds < bar_seconds + grace_seconds:
         raise ValueError("staleness must allow one bar and its grace")
+    bars = stable(bars, "bars")                             # read by the status, look-back and issue branches
     t, start = micros(now), micros("bar_start")
     done = bars.withColumn("_start", start).filter(F.col("_start") <= t - F.lit((bar_seconds + grace_seconds) * SECOND))
     status = bars.groupBy("symbol").agg(F.lit(1).alias("_any")).join(
@@ -85,4 +87,4 @@ def indicators(bars: DataFrame, now: Column, *, bar_seconds: int = BAR_SECONDS,
 def with_registry(rows: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with scope and sector, rows of unregistered symbols)."""
     reg = registry.select("symbol", "scope", "sector")
-    return rows.join(F.broadcast(reg), "symbol"), rows.join(F.broadcast(reg), "symbol", "left_anti")
+    return rows.join(reg, "symbol"), rows.join(reg, "symbol", "left_anti")

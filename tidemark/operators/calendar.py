@@ -38,7 +38,7 @@ def revision_problems(events: DataFrame) -> DataFrame:
 
 def with_windows(events: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds effective_from and effective_to (micros) from the window profile."""
-    df = events.join(F.broadcast(profiles.select("profile_id", "pre_minutes", "post_minutes")), "profile_id")
+    df = events.join(profiles.select("profile_id", "pre_minutes", "post_minutes"), "profile_id")
     at = micros("scheduled_at")
     return df.withColumns({"effective_from": at - F.col("pre_minutes").cast("long") * F.lit(MINUTE),
                            "effective_to": at + F.col("post_minutes").cast("long") * F.lit(MINUTE)}).drop("pre_minutes", "post_minutes")

@@ -11,6 +11,7 @@ from tidemark.functions.text import finite, stable_id
 from tidemark.functions.times import MINUTE, micros, strict_date
 from tidemark.operators.asof import asof_join
 from tidemark.operators.intervals import interval_join
+from tidemark.session import stable
 
 
 def windows(releases: DataFrame, *, pre_minutes: int, post_minutes: int) -> DataFrame:
@@ -19,16 +20,21 @@ def windows(releases: DataFrame, *, pre_minutes: int, post_minutes: int) -> Data
     return releases.withColumns({"window_start": at - F.lit(pre_minutes * MINUTE), "window_end": at + F.lit(post_minutes * MINUTE)})
 
 
+SALTS = 64
+
+
 def release_flags(probes: DataFrame, releases: DataFrame, tickers: DataFrame, *, at: str = "evaluation_time") -> DataFrame:
     """Flag rows for every probe inside a release window (inclusive) and every listed ticker.
 
-    Releases carry their ticker list, so one explode replaces a cross join.
+    Every hit meets every ticker by definition; a salt as the equality key keeps that an
+    ordinary join of any size (tickers are copied once per salt, hits are spread over them).
     """
-    listed = tickers.agg(F.array_sort(F.collect_set("ticker")).alias("_tickers"))
     rel = releases.select(F.lit(1).alias("_k"), "release_id", "release_at", "window_start", "window_end")
     hit = interval_join(probes.withColumns({"_k": F.lit(1), "_at": micros(at)}), rel, keys=["_k"], at="_at",
-                        start="window_start", end="window_end").drop("_k", "_at")
-    out = hit.join(F.broadcast(listed)).withColumn("ticker", F.explode("_tickers")).drop("_tickers")
+                        start="window_start", end="window_end").drop("_k")
+    hit = hit.withColumn("_salt", F.pmod(F.xxhash64("_at", "release_id", *probes.columns), F.lit(SALTS)))
+    listed = tickers.select("ticker").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = hit.join(listed, "_salt").drop("_salt", "_at")
     return out.withColumns({
         "flag_type": F.lit("EIA_WPSR_EVENT_WINDOW"),
         "context_flag_id": stable_id("context_flag", F.lit("eia_wpsr_v1"), F.col("release_id"), F.col("release_at"),
@@ -54,6 +60,7 @@ def weekly_facts(periods: DataFrame, *, at: Column | None = None) -> tuple[DataF
 
     With ``at`` only that report period is read; otherwise every period gives its facts.
     """
+    periods = stable(periods, "periods")                    # read by the facts, the self join and the issues
     now = periods if at is None else periods.filter(F.col("period") == at)
     prior = periods.filter(~F.col("ambiguous")).select("series", F.date_add("period", 7).alias("period"), F.col("value").alias("prior_value"))
     both = now.filter(~F.col("ambiguous")).join(prior, ["series", "period"], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import decimal_text, decimal_value, stable_id
 from tidemark.functions.times import end_of_local_day, strict_date
 from tidemark.operators.ordered import first_per_key
+from tidemark.session import stable
 
 
 def valid_observations(raw: DataFrame, *, evaluation_date: Column, order: Sequence[str] = ("row_seq",)) -> DataFrame:
@@ -44,6 +45,7 @@ def facts(pairs: DataFrame, *, evaluation_date: Column, max_age_days: int, sprea
     ``spreads``: name -> (minuend, subtrahend); ``regime``: (short, mid, long).  Derived facts
     need equal dates of their parts and no part rejected as stale.
     """
+    pairs = stable(pairs, "rates")                          # one row per series, read by every fact and issue
     current = pairs.filter(is_current(F.col("latest.observation_date"), evaluation_date, max_age_days)).select(
         "series", F.col("latest.observation_date").alias("d"), F.col("latest.value").alias("v"),
         F.col("previous.observation_date").alias("pd"), F.col("previous.value").alias("pv"))

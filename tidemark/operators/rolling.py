@@ -112,6 +112,7 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: i
         df = df.withColumn("_block", F.explode(F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))))
         df = df.withColumn("_own", F.col("_block") == block)
         group = [*keys, "_block"]
+        bundles *= 4                    # blocks are near the limit already: few of them per bundle
     else:
         df = df.withColumn("_own", F.lit(True))
         group = list(keys)

@@ -25,18 +25,24 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _total_and_by(df: DataFrame, section: str, by: str, total: dict[str, Column], grouped: str) -> DataFrame:
-    """Totals and counts per key in one pass over the table."""
-    agg = df.groupingSets([[by], []], by).agg(F.grouping(by).alias("_all"), F.count(F.lit(1)).alias(grouped), *[c.alias(n) for n, c in total.items()])
-    return _long(agg.filter("_all = 1"), section, *total).unionByName(_long(agg.filter("_all = 0"), section, grouped, key=F.col(by)))
+def _total_and_by(df: DataFrame, section: str, by: list[str], total: dict[str, Column], grouped: str) -> DataFrame:
+    """Totals, and counts per key, in one pass over the table (grouping sets)."""
+    agg = df.groupingSets([by, []], *by).agg(F.grouping(by[0]).alias("_all"), F.count(F.lit(1)).alias(grouped), *[c.alias(n) for n, c in total.items()])
+
+    def cells(*names):
+        return F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+
+    everything = F.col("_all") == 1
+    return agg.select(F.lit(section).alias("section"), F.when(everything, "").otherwise(F.concat_ws("|", *by)).alias("key"),
+                      F.explode(F.when(everything, cells(*total)).otherwise(cells(grouped))).alias("_c")).select("section", "_c.metric", "key", "_c.value")
 
 
 def signals(df: DataFrame) -> DataFrame:
-    return _total_and_by(df, "signals", "ticker", {"signal_count": F.count(F.lit(1)), "avg_confidence": F.avg("confidence")}, "ticker_count")
+    return _total_and_by(df, "signals", ["ticker"], {"signal_count": F.count(F.lit(1)), "avg_confidence": F.avg("confidence")}, "ticker_count")
 
 
 def decisions(df: DataFrame) -> DataFrame:
-    return _total_and_by(df, "risk_decisions", "ticker", {
+    return _total_and_by(df, "risk_decisions", ["ticker"], {
         "decision_count": F.count(F.lit(1)), "approved_count": F.count_if(F.col("approved")), "rejected_count": F.count_if(~F.col("approved"))}, "ticker_count")
 
 
@@ -58,10 +64,7 @@ def outcomes(df: DataFrame) -> DataFrame:
 
 
 def health(df: DataFrame) -> DataFrame:
-    # one small aggregate feeds both parts
-    per = df.groupBy("component", "status").agg(F.count(F.lit(1)).alias("event_count"))
-    alerts = per.agg(F.coalesce(F.sum(F.when(F.col("status").isin(*ALERTS), F.col("event_count"))), F.lit(0)).alias("warning_error_count"))
-    return _long(per, "health", "event_count", key=F.concat_ws("|", "component", "status")).unionByName(_long(alerts, "health", "warning_error_count"))
+    return _total_and_by(df, "health", ["component", "status"], {"warning_error_count": F.count_if(F.col("status").isin(*ALERTS))}, "event_count")
 
 
 def ledger(tables: Mapping[str, DataFrame]) -> DataFrame:

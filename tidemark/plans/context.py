@@ -10,6 +10,7 @@ from tidemark.functions.times import micros
 from tidemark.operators import awards, bars, calendar, decision, energy, evidence as ev, rates, state
 from tidemark.plans.registry import query
 from tidemark.plans.views import table, view, with_views
+from tidemark.session import stable
 
 _UPD = with_views("context_updates")
 _RANK = "case severity when 'INFO' then 0 when 'LOW' then 1 when 'MEDIUM' then 2 when 'HIGH' then 3 else 4 end"
@@ -264,7 +265,7 @@ union all (select 'upcoming', occ, rev, -1 from l where status <> 'CANCELLED' an
 union all select 'active', occ, null, event_id from l join p on status <> 'CANCELLED' and t >= sched - mins * interval '1' minute and t <= sched + mins * interval '1' minute""")
 def calendar_revisions(spark, sf):
     profiles = spark.createDataFrame([("short", 30, 30), ("long", 2880, 2880)], "profile_id string, pre_minutes int, post_minutes int")
-    rev = calendar.with_windows(calendar.latest_revisions(calendar_events(spark, sf)), profiles)
+    rev = stable(calendar.with_windows(calendar.latest_revisions(calendar_events(spark, sf)), profiles), "revisions")
     ts = lambda s: F.lit(s).cast("timestamp")
     none = F.lit(-1).cast("long").alias("probe")
 
@@ -356,7 +357,7 @@ def rate_facts(spark, sf):
 
 
 @query("W7 W8 J8 P47", with_views("bars") + """, b as (select symbol, bar_day, close + 1 as close from bars where not (symbol = 'T3' and bar_day = date '2024-01-25')),
-l as (select symbol, max(bar_day) as d from b where bar_day <= date '2024-01-28' group by 1), c as (select l.symbol, l.d, b.close from l join b on b.symbol = l.symbol and b.bar_day = l.d)
+l as (select symbol, max(bar_day) as d from b where bar_day <= date '2024-01-28' group by 1 having max(bar_day) >= date '2024-01-27'), c as (select l.symbol, l.d, b.close from l join b on b.symbol = l.symbol and b.bar_day = l.d)
 select symbol, 'latest_close' as indicator, round(close, 6) as value from c
 union all select c.symbol, 'return_' || cast(n as varchar) || 'm', round(c.close / b.close - 1, 6) from c cross join (values (1440), (4320), (14400)) k(n) join b on b.symbol = c.symbol and b.bar_day = c.d - cast(n / 1440 as int)""")
 def bar_indicators(spark, sf):
@@ -439,9 +440,9 @@ def award_retention(spark, sf):
     return kept.unionByName(awards.recheck_queue(g, now, window_days=400, limit=25).select(F.lit("recheck").alias("kind"), "award_id"))
 
 
-@query("A18", """with f as (select l_orderkey as k, count(*) as n, bool_or(l_linestatus = 'O') as more, string_agg(sha256('{"reporting_fiscal_year":"' || cast(l_linenumber as varchar) || '","transaction_obligated_amount":"' || cast(cast(l_extendedprice * 100 as bigint) as varchar) || '"}'), ',' order by
-  sha256('{"reporting_fiscal_year":"' || cast(l_linenumber as varchar) || '","transaction_obligated_amount":"' || cast(cast(l_extendedprice * 100 as bigint) as varchar) || '"}')) as h from lineitem group by 1)
-select k as lookup_id, n as funding_records, sha256(cast(more as varchar) || '|' || h) as funding_fingerprint from f""")
+@query("A18", """with r as (select l_orderkey as k, l_linestatus = 'O' as nx, sha256('{"reporting_fiscal_year":"' || cast(l_linenumber as varchar) || '","transaction_obligated_amount":"' || cast(cast(l_extendedprice * 100 as bigint) as varchar) || '"}') as h from lineitem),
+f as (select k, count(*) as n, bool_or(nx) as more, sum(('0x' || substring(h, 1, 15))::bigint) as a, sum(('0x' || substring(h, 16, 15))::bigint) as b, sum(('0x' || substring(h, 31, 15))::bigint) as c, sum(('0x' || substring(h, 46, 15))::bigint) as d from r group by 1)
+select k as lookup_id, n as funding_records, sha256(cast(more as varchar) || '|' || cast(n as varchar) || '|' || cast(a as varchar) || '|' || cast(b as varchar) || '|' || cast(c as varchar) || '|' || cast(d as varchar)) as funding_fingerprint from f""")
 def award_funding(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("lookup_id"), F.col("l_linenumber").alias("reporting_fiscal_year"),
                                              F.round(F.col("l_extendedprice") * 100).cast("long").alias("transaction_obligated_amount"), (F.col("l_linestatus") == "O").alias("has_next"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Session settings read by the library (all optional).
 MAX_ROWS_KEY = "tidemark.maxRowsPerTask"
 BROADCAST_ROWS_KEY = "tidemark.maxBroadcastRows"
-DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_ROWS = 1_000_000
 DEFAULT_BROADCAST_ROWS = 200_000
 
 

@@ -62,7 +62,7 @@ def filings(submissions: DataFrame, issuers: DataFrame, *, forms: Sequence[str]
     if end:
         rows = rows.filter(F.col("filing_date") <= F.lit(end).cast("date"))
     rows = rows.withColumn("issuer_cik", F.lpad(F.col("cik"), 10, "0")).join(
-        F.broadcast(issuers.select(F.col("cik").alias("issuer_cik"), "ticker")), "issuer_cik")
+        issuers.select(F.col("cik").alias("issuer_cik"), "ticker"), "issuer_cik")
     number = accession("accessionNumber")
     out = rows.select(
         "ticker", "issuer_cik", number.alias("accession_number"), "form_type", "filing_date", "primary_document",
