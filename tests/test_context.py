@@ -182,6 +182,23 @@ def test_selection_and_counts_match_every_pair(spark, small_tasks):
         assert g.matched_context_flag_ids == [y[0] for y in hits if y[1] == "FLAG"] and g.matched_context_event_ids == [y[0] for y in hits if y[1] == "AI_EVENT"]
 
 
+def test_selection_digest_identifies_the_selected_set(spark, small_tasks):
+    rows = _evidence(60, 9)
+    r = random.Random(10)
+    ds = [(i, r.choice("ABC"), r.choice(["P", "Q", None]), at(r.randint(0, 30) * 3600)) for i in range(80)]
+    e, d = spark.createDataFrame(rows, EV), spark.createDataFrame(ds, "decision_id int, ticker string, sector string, evaluation_time timestamp")
+    chosen = {x[0]: frozenset(y[0] for y in rows if _reason(y, x[1], x[2], x[3], dt.timedelta(hours=6)) == "n_selected") for x in ds}
+    for sliced in (False, True):
+        got = {g.decision_id: (g.selected_count, g.selected_digest) for g in ev.selection_digest(d, e, max_age_us=DAY // 4, sliced=sliced).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in chosen.items()}
+        assert len({v[1] for v in got.values()}) == len(set(chosen.values()))
+        assert all((got[a][1] == got[b][1]) == (chosen[a] == chosen[b]) for a in chosen for b in chosen)
+    one = spark.createDataFrame([(1, "s1", at(0), "v", "h")], "decision_id int, signal string, evaluation_time timestamp, policy_version string, policy_config_hash string")
+    digest = spark.createDataFrame([(1, 2, "dig")], "decision_id int, selected_count long, selected_digest string")
+    ids = lambda fp: ev.identify(one, spark.createDataFrame([(1, fp)], "decision_id int, context_fingerprint string"), digest, run_hash="r", signal_id="signal").first()
+    assert ids("a").shadow_evaluation_id == ids("a").shadow_evaluation_id != ids("b").shadow_evaluation_id
+
+
 def test_policy_and_capacity_checks(spark):
     with pytest.raises(ValueError):
         ev.Rule("x", ("BAD",), "BLOCK", "r")
@@ -278,6 +295,18 @@ def test_award_rules(spark):
     b = awards.funding_evidence(spark.createDataFrame(fund[::-1], schema)).first()
     c = awards.funding_evidence(spark.createDataFrame([*fund[:1], ("l1", "21", "2024", False)], schema)).first()
     assert a.funding_fingerprint == b.funding_fingerprint != c.funding_fingerprint and a.funding_records == 2
+    row = spark.createDataFrame([("xom", "U", "G1", "NEW_AWARD_DISCOVERED", "m1", "A", dt.date(2026, 5, 1), 10.50, 0.0, None, 2, "f", False)],
+                                "ticker string, uei string, generated_unique_award_id string, event_classification string, mapping_version string, award_type string, business_date date, "
+                                "total_obligation double, base_exercised_options double, base_and_all_options double, funding_records int, funding_fingerprint string, has_next boolean")
+    now = F.lit("2026-05-02").cast("timestamp")
+    event = awards.event_rows(row, now)
+    e = event.first()
+    assert (e.total_obligation_usd, e.base_exercised_options_usd, e.entry_name, e.amount_semantics) == ("10.5", "0", "usaspending:contract_award:XOM:G1", "award_total_not_incremental")
+    again = awards.event_rows(row, F.lit("2027-01-01").cast("timestamp")).first()
+    changed = awards.event_rows(row.withColumn("total_obligation", F.lit(11.0)), now).first()
+    assert e.semantic_event_fingerprint == again.semantic_event_fingerprint != changed.semantic_event_fingerprint
+    s = awards.state_entries(event).first()
+    assert (s.scope, s.target, s.value, s.valid_until) == ("TICKER", "XOM", "NEW_AWARD_DISCOVERED", None)
     late = dt.datetime(2026, 5, 19, 3, 0, tzinfo=UTC)                # still May 18 in New York
     df = spark.createDataFrame([(None, dt.date(2026, 5, 16)), (None, dt.date(2026, 5, 15)), (None, None), ("NEW_AWARD_DISCOVERED", None)], "stored string, d date")
     got = [r.c for r in df.select(awards.classify(F.col("stored"), F.col("d"), F.lit(late).cast("timestamp"), 2).alias("c")).collect()]

@@ -241,7 +241,7 @@ def test_rows_and_append(spark, tmp_path):
                                "risk_decision_id string, ticker string, reasons array<string>, thresholds_used map<string,string>, decision_time timestamp, cost_estimate_id string")
     rows = ledger.to_rows(df, "risk_decisions", run_id="r", overrides={"cost_estimate_id": F.lit(None).cast("string"), "context_snapshot_id": F.lit("c")})
     r = rows.first()
-    assert (r.reasons_json, r.thresholds_used_json, r.run_id, r.cost_estimate_id, r.context_snapshot_id, r.schema_version) == ('["x","y"]', '{"rule":"r"}', "r", "own", "c", "v1")
+    assert (r.reasons_json, r.thresholds_used_json, r.run_id, r.cost_estimate_id, r.context_snapshot_id, r.schema_version) == ('["x","y"]', '{"rule":"r"}', "r", "own", "c", "contracts_v1")
     ledger.append(rows, "risk_decisions", str(tmp_path))
     assert ledger.read(spark, "risk_decisions", str(tmp_path), since="2026-05-18", until="2026-05-18 12:00:00").count() == 1
     assert ledger.read(spark, "risk_decisions", str(tmp_path), since="2026-05-19").count() == 0

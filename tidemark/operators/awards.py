@@ -95,8 +95,51 @@ def identity(fields: Sequence[str]) -> Column:
     return json_id("usaspending_event", 64, **{c: F.col(c).cast("string") for c in fields})
 
 
-def number_text(c: str) -> Column:
-    return decimal_text(F.col(c))
+# Identity fields of an award event, and what its amounts and dates mean.
+IDENTITY = ("source", "indicator_name", "ticker", "recipient_uei", "generated_unique_award_id", "event_classification", "mapping_version",
+            "award_type", "source_business_date", "total_obligation_usd", "base_exercised_options_usd", "base_and_all_options_usd",
+            "award_last_modified_date", "funding_page_complete", "funding_records_returned_count", "funding_evidence_fingerprint")
+SOURCE, INDICATOR = "usaspending_awards_v1", "usaspending_contract_award_event_v1"
+SEMANTICS = {
+    "source_event_time_basis": "source_business_date_utc_midnight_convention",
+    "amount_semantics": "award_total_not_incremental",
+    "base_and_all_options_semantics": "not_funded_obligation",
+    "funding_transaction_semantics": "bounded_records_not_current_transaction_signal",
+    "cache_retention_policy": "bounded_process_memory_only",
+    "availability_basis": "collector_observed",
+}
+
+
+def event_rows(enriched: DataFrame, observed_at: Column) -> DataFrame:
+    """Award events with identity, amounts, agencies, codes and fixed semantics labels.
+
+    Needs ticker, uei, generated_unique_award_id, event_classification, mapping_version,
+    award_type, business_date, total_obligation, base_exercised_options, base_and_all_options,
+    funding_records, funding_fingerprint, has_next; other columns are kept.
+    """
+    def opt(*names):
+        have = [F.col(n) for n in names if n in enriched.columns]
+        return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+    df = enriched.withColumns({
+        "source": F.lit(SOURCE), "indicator_name": F.lit(INDICATOR), "recipient_uei": F.col("uei"),
+        "source_business_date": F.col("business_date").cast("string"), "total_obligation_usd": decimal_text("total_obligation"),
+        "base_exercised_options_usd": decimal_text("base_exercised_options"), "base_and_all_options_usd": decimal_text("base_and_all_options"),
+        "award_last_modified_date": opt("detail_last_modified", "last_modified_date"), "funding_page_complete": ~F.col("has_next"),
+        "funding_records_returned_count": F.col("funding_records"), "funding_evidence_fingerprint": F.col("funding_fingerprint")})
+    df = df.withColumns({
+        "semantic_event_fingerprint": identity(IDENTITY), "source_event_time": F.col("business_date").cast("timestamp"),
+        "collector_observed_at": observed_at, "entry_name": F.concat_ws(":", F.lit("usaspending"), F.lit("contract_award"), F.upper("ticker"), "generated_unique_award_id"),
+        **{k: F.lit(v) for k, v in SEMANTICS.items()}})
+    return df.withColumn("context_indicator_id", F.concat(F.lit("context_indicator_"), F.substring(F.sha2("semantic_event_fingerprint", 256), 1, 32)))
+
+
+def state_entries(events: DataFrame, first_observed: str = "collector_observed_at") -> DataFrame:
+    """State change rows of award events; they never expire."""
+    return events.select(
+        F.lit("TICKER").alias("scope"), F.upper("ticker").alias("target"), F.col("entry_name").alias("name"), F.col("event_classification").alias("value"),
+        F.col(first_observed).alias("updated_at"), F.lit(None).cast("timestamp").alias("valid_until"), F.lit("INFO").alias("severity"), "source",
+        "context_indicator_id", "semantic_event_fingerprint")
 
 
 def merge_seen(seen: DataFrame, observed: DataFrame, *, key: str = "fingerprint") -> DataFrame:

@@ -80,7 +80,7 @@ def indicators(bars: DataFrame, now: Column, *, bar_seconds: int = BAR_SECONDS,
         "effective_from": F.timestamp_micros(bar_end + F.lit(grace_seconds * SECOND)),
         "valid_until": F.timestamp_micros(bar_end + F.lit(max_staleness_seconds * SECOND)),
         "indicator_id": stable_id("context_indicator", F.lit("yfinance_dev_raw_v1"), F.col("symbol"), F.col("indicator"), F.col("window"), bar_end),
-        "name": F.concat_ws(":", F.lit("yfinance"), "symbol", "indicator", "window")}).drop("_start")
+        "name": F.concat_ws(":", F.lit("yfinance_dev_raw_v1"), F.upper("symbol"), "indicator", "window")}).drop("_start")
     return rows, issues.unionByName(gaps)
 
 

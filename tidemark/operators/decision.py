@@ -59,9 +59,11 @@ def resolve_sector(df: DataFrame, mapping: DataFrame, explicit: str | None = Non
 
 # --- provenance ---------------------------------------------------------------------------
 
-PROVENANCE_FIELDS = ("source_event_time", "source_published_at", "source_updated_at", "available_at", "collected_at",
-                     "effective_from", "valid_until", "availability_basis", "research_asof_eligible", "source_record_id",
-                     "source_revision_id", "schema_version")
+# The provenance record.
+PROVENANCE_VERSION = "context_provenance_v1"
+PROVENANCE_FIELDS = ("provenance_version", "source_event_time", "source_observed_at", "available_at", "collected_at",
+                     "effective_from", "valid_until", "availability_basis", "research_asof_eligible", "revision_id",
+                     "vintage_id", "source_record_id")
 
 
 def provenance(**fields: Column) -> Column:
@@ -72,6 +74,7 @@ def provenance(**fields: Column) -> Column:
     kinds = {f: "timestamp" for f in PROVENANCE_FIELDS if f.endswith("_at") or f.endswith("_time")
              or f in ("effective_from", "valid_until")}
     kinds["research_asof_eligible"] = "boolean"
+    fields.setdefault("provenance_version", F.lit(PROVENANCE_VERSION))
     return F.struct(*[fields.get(f, F.lit(None)).cast(kinds.get(f, "string")).alias(f) for f in PROVENANCE_FIELDS])
 
 

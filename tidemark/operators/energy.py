@@ -36,7 +36,8 @@ def release_flags(probes: DataFrame, releases: DataFrame, tickers: DataFrame, *,
     listed = tickers.select("ticker").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     out = hit.join(listed, "_salt").drop("_salt", "_at")
     return out.withColumns({
-        "flag_type": F.lit("EIA_WPSR_EVENT_WINDOW"),
+        "flag_type": F.lit("eia_wpsr_event_window"), "severity": F.lit("NORMAL"), "sector": F.lit("OIL"), "source": F.lit("eia_wpsr_v1"),
+        "event_time": F.timestamp_micros("window_start"), "valid_until": F.timestamp_micros("window_end"), "available_at": F.col("release_at"),
         "context_flag_id": stable_id("context_flag", F.lit("eia_wpsr_v1"), F.col("release_id"), F.col("release_at"),
                                      F.col("window_start"), F.col("window_end"), F.col("ticker"))})
 

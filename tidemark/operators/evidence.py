@@ -45,7 +45,8 @@ class RunDefinition:
 # --- adapters: common rows ----------------------------------------------------------------
 
 COLUMNS = ("evidence_id", "category", "source", "source_record_id", "policy_match_key", "tickers", "sector", "is_global",
-           "available_at", "valid_from", "valid_until", "policy_eligible", "payload")
+           "available_at", "valid_from", "valid_until", "policy_eligible", "lineage_ids", "payload")
+LINEAGE = ("raw_input_id", "source_document_id", "classification_request_id", "classification_attempt_id", "validation_result_id")
 
 
 def _adapt(df: DataFrame, category: str, kind: Column, **cols: Column) -> DataFrame:
@@ -53,6 +54,9 @@ def _adapt(df: DataFrame, category: str, kind: Column, **cols: Column) -> DataFr
     base = {"category": F.lit(category), "policy_match_key": F.concat(F.lit(prefix), F.upper(kind)),
             "sector": F.lit(None).cast("string"), "valid_from": F.lit(None).cast("timestamp"),
             "valid_until": F.lit(None).cast("timestamp"), "policy_eligible": F.lit(True),
+            "lineage_ids": F.array_distinct(F.array_compact(F.array(*[
+                F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+                for c in (*LINEAGE, *(("context_event_id",) if category == "FLAG" else ()))]))),
             "payload": F.to_json(F.struct(*df.columns)), **cols}
     if "is_global" not in base:
         base["is_global"] = (F.size(base["tickers"]) == 0) & base["sector"].isNull()
@@ -67,16 +71,16 @@ def from_ai_events(df: DataFrame) -> DataFrame:
 
 def from_flags(df: DataFrame) -> DataFrame:
     return _adapt(df, "FLAG", F.col("flag_type"), evidence_id=F.col("context_flag_id"), source=F.col("source"),
-                  source_record_id=F.col("context_flag_id"), sector=F.col("sector"),
+                  source_record_id=F.coalesce(*[F.col(c) for c in ("source_id", "context_flag_id") if c in df.columns]), sector=F.col("sector"),
                   tickers=F.array_compact(F.array(F.col("ticker"))), available_at=F.col("available_at"),
                   valid_from=F.col("valid_from"), valid_until=F.col("valid_until"))
 
 
 def from_insider_events(df: DataFrame) -> DataFrame:
     """Insider purchases and sales; unresolved amendments are not eligible."""
-    key = F.concat_ws("|", "accession_number", "transaction_index", "event_type")
+    key = F.concat_ws(":", "accession_number", "transaction_index")
     return _adapt(df, "DETERMINISTIC_EVENT", F.col("event_type"),
-                  evidence_id=F.concat(F.lit("insider_"), F.sha2(key, 256)), source=F.lit("sec_form4"), source_record_id=key,
+                  evidence_id=F.concat(F.lit("insider_"), F.sha2(key, 256)), source=F.lit("sec_edgar"), source_record_id=key,
                   tickers=F.array(F.col("issuer_ticker")), is_global=F.lit(False), available_at=F.col("available_at"),
                   policy_eligible=F.col("aggregate_eligibility") == "ELIGIBLE")
 
@@ -334,6 +338,47 @@ def evaluate(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: s
     return out.drop("ordinal", "_items", "action", "reason_code", "size_factor")
 
 
-def fingerprint(decision_fields: dict[str, Column], selected_ids: Column, run_hash: str) -> Column:
-    """Hash of a decision context with its selected evidence and the run settings."""
-    return F.sha2(canonical_json(**decision_fields, selected_evidence=selected_ids, run=F.lit(run_hash)), 256)
+def selection_digest(decisions: DataFrame, evidence: DataFrame, *, id: str = "decision_id", at: str = "evaluation_time",
+                     max_age_us: int, sliced: bool | None = None) -> DataFrame:
+    """(id, selected_count, selected_digest): a digest of the selected evidence of every decision.
+
+    Every row adds its hash when it starts and takes it away when it ends, so the digest of
+    the live set is a running sum: equal sets give equal digests, and no pairs are made.
+    """
+    usable = evidence.filter(F.col("policy_eligible") & F.col("available_at").isNotNull())
+    payload = F.sha2(canonical_json(**{c: F.col(c) for c in COLUMNS if c in evidence.columns}), 256)
+    keyed = _keys(usable.withColumn("_h", payload).withColumns(_window(max_age_us)))
+    sums = [f"_d{i}" for i in range(4)]
+    parts = {d: F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") * F.col("_weight") for i, d in enumerate(sums)}
+    keyed = keyed.withColumns(parts).withColumn("_n", F.col("_weight").cast("decimal(20,0)"))
+    columns = ["_n", *sums]
+    moves = keyed.select("scope", "target", F.explode(F.array(
+        F.struct(F.col("_from").alias("_t"), *[F.col(c).alias(c) for c in columns]),
+        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), *[(-F.col(c)).alias(c) for c in columns]))).alias("_m"))
+    moves = moves.select("scope", "target", "_m._t", *[F.col(f"_m.{c}").cast("decimal(38,0)").alias(c) for c in columns])
+    moves = moves.groupBy("scope", "target", "_t").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in columns])
+    probes = _decision_keys(decisions.select(id, "ticker", "sector", micros(at).alias("_t"))).select("scope", "target", "_t", id)
+    timeline = moves.withColumns({"_kind": F.lit(0), id: F.lit(None).cast(decisions.schema[id].dataType)}).unionByName(
+        probes.withColumns({"_kind": F.lit(1), **{c: F.lit(0).cast("decimal(38,0)") for c in columns}}))
+    live = OrderedScan(timeline, ["scope", "target"], ["_t", "_kind", id], sliced=sliced).running(
+        *[Running(f"{c}_live", "sum", F.col(c)) for c in columns]).result().filter(F.col("_kind") == 1)
+    per = live.groupBy(id).agg(*[F.sum(f"{c}_live").alias(c) for c in columns])
+    return per.select(id, F.col("_n").cast("long").alias("selected_count"),
+                      F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256).alias("selected_digest"))
+
+
+def identify(evaluations: DataFrame, contexts: DataFrame, digests: DataFrame, *, id: str = "decision_id", run_hash: str,
+             signal_id: str, risk_decision_id: str | None = None, at: str = "evaluation_time") -> DataFrame:
+    """Adds shadow_context_fingerprint and shadow_evaluation_id.
+
+    ``contexts``: ``id``, context_fingerprint; ``digests``: :func:`selection_digest`.
+    """
+    out = evaluations.join(contexts.select(id, "context_fingerprint"), id).join(digests, id)
+    out = out.withColumn("shadow_context_fingerprint", F.sha2(canonical_json(
+        decision_context_fingerprint=F.col("context_fingerprint"), selected_event_evidence=F.col("selected_digest"),
+        research_run_selection=F.lit(run_hash)), 256))
+    risk = F.col(risk_decision_id) if risk_decision_id else F.lit(None).cast("string")
+    return out.withColumn("shadow_evaluation_id", F.concat(F.lit("shadow_evaluation_"), F.sha2(canonical_json(
+        model_signal_id=F.col(signal_id), risk_decision_id=risk, decision_evaluation_time=F.col(at),
+        shadow_context_fingerprint=F.col("shadow_context_fingerprint"), policy_version=F.col("policy_version"),
+        policy_config_hash=F.col("policy_config_hash")), 256))).drop("context_fingerprint", "selected_digest", "selected_count")

@@ -79,10 +79,10 @@ def reconcile(broker: DataFrame, local: DataFrame, *, on=("ticker",), tolerance:
     mine = local.select(*on, F.col("quantity").alias("local_quantity"))
     df = broker.withColumnRenamed("quantity", "broker_quantity").join(mine, list(on), "left")
     df = df.withColumn("local_quantity", F.coalesce("local_quantity", F.lit(0.0)))
-    diff = F.col("broker_quantity") - F.col("local_quantity")
+    diff = F.col("local_quantity") - F.col("broker_quantity")
     return df.withColumns({
         "quantity_difference": diff, "matched": F.abs(diff) <= tolerance,
-        "match_reason": F.when(F.abs(diff) <= tolerance, "position_matched").otherwise("position_mismatch")})
+        "match_reason": F.when(F.abs(diff) <= tolerance, "position_quantity_match").otherwise("position_quantity_mismatch")})
 
 
 def reconciliation_events(result: DataFrame, event_time: Column) -> DataFrame:

@@ -24,7 +24,7 @@ class LabelConfig:
     session_close: str = "16:00"
     order_style: str = "MARKET"
     quantity: float = 1.0
-    version: str = "label_v1"
+    version: str = "labels_v1"
     horizon_seconds: dict = field(default_factory=lambda: dict(HORIZON_SECONDS))
 
 

@@ -73,7 +73,7 @@ def gate(decisions: DataFrame, *, open_orders: DataFrame | None = None, used_sig
         .when(F.coalesce("_used", F.lit(False)), "duplicate_signal_id")
         .when(F.col("decision") == "BLOCK", "risk_decision_blocked")
         .when(F.col("decision") == "DO_NOTHING", "risk_decision_do_nothing")
-        .when(~F.col("approved"), "risk_decision_not_approved")
+        .when(~F.coalesce("approved", F.lit(False)), "risk_decision_not_approved")
         .when(exits & ~logged & F.lit(not config.allow_exit_when_log_failed), "risk_log_failed")
         .when(exits & F.col("has_close"), "close_position_already_in_progress")
         .when(exits, F.lit(None))
@@ -174,4 +174,4 @@ def latency_rows(captured: DataFrame) -> DataFrame:
     """Latency metric rows of captured submissions."""
     return captured.filter(F.col("latency_ms").isNotNull()).select(
         F.col("submit_completed_at").alias("measured_time"), F.lit("execution").alias("component"),
-        F.lit("paper_broker").alias("source"), "latency_ms", "ticker", F.lit("order_submit_latency").alias("event_type"))
+        F.lit("alpaca_paper").alias("source"), "latency_ms", "ticker", F.lit("alpaca_order_submit_latency_ms").alias("event_type"))

@@ -74,7 +74,7 @@ def digest(c: str) -> Column:
 
 SIDES = ("BUY", "SELL", "HOLD", "EXIT", "DO_NOTHING")
 DECISIONS = ("APPROVE", "BLOCK", "REDUCE_SIZE", "DO_NOTHING", "EXIT")
-ORDER_STATUSES = ("SUBMITTED", "ACCEPTED", "REJECTED", "CANCELLED", "FILLED", "PARTIALLY_FILLED", "UNKNOWN")
+ORDER_STATUSES = ("CREATED", "SUBMITTED", "ACKNOWLEDGED", "PARTIALLY_FILLED", "FILLED", "CANCELED", "REJECTED", "EXPIRED", "UNKNOWN")
 
 
 def _maybe(c: str, rule: Column) -> Column:
@@ -145,7 +145,7 @@ def contract(kind: str) -> dict[str, Column]:
                               "indicator_name": text("indicator_name"),
                               "freshness_seconds": _maybe("freshness_seconds", non_negative("freshness_seconds"))},
         "context_flag": {"event_time": at("event_time"), "source": text("source"), "flag_type": text("flag_type"),
-                         "severity": one_of("severity", "INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "ELEVATED"),
+                         "severity": text("severity"),
                          "confidence": unit("confidence")},
         "shadow_evaluation": {
             "shadow_evaluation_id": text("shadow_evaluation_id"), "model_signal_id": text("model_signal_id"),

@@ -55,7 +55,7 @@ class RiskConfig:
 
 
 def _outcome(decision: str, approved: bool, reason: str, factor: float | None = None, **thresholds: object) -> Column:
-    used = [F.lit("rule"), F.lit(reason)]
+    used = [] if "decision_rule" in thresholds else [F.lit("rule"), F.lit(reason)]
     for k, v in sorted(thresholds.items()):
         used += [F.lit(k), (v if isinstance(v, Column) else F.lit(v)).cast("string")]
     return F.struct(F.lit(decision).alias("decision"), F.lit(approved).alias("approved"), F.lit(reason).alias("reason"),
@@ -69,10 +69,11 @@ def rules(config: RiskConfig = RiskConfig()) -> dict[str, Column]:
     def block(reason, **used):
         return _outcome("BLOCK", False, reason, **used)
 
-    cost = F.when(c("cost_ticker").isNull(), block("missing_cost_estimate")) \
-        .when(c("cost_ticker") != c("ticker"), block("cost_estimate_ticker_mismatch", cost_estimate_ticker=c("cost_ticker"))) \
+    cost = F.when(c("cost_ticker").isNull(), block("missing_cost_estimate", reject_if_expected_edge_below_cost=True)) \
+        .when(c("cost_ticker") != c("ticker"), block(
+            "cost_estimate_ticker_mismatch", signal_ticker=c("ticker"), cost_estimate_ticker=c("cost_ticker"))) \
         .when(~F.coalesce(c("profitable_after_costs"), F.lit(False)),
-              block("cost_not_profitable_after_costs", net_expected_edge_bps=c("net_expected_edge_bps"),
+              block("cost_not_profitable_after_costs", profitable_after_costs=False, net_expected_edge_bps=c("net_expected_edge_bps"),
                     min_edge_bps=c("cost_min_edge_bps")))
     if not config.reject_if_expected_edge_below_cost:
         cost = F.lit(None)
@@ -91,7 +92,7 @@ def rules(config: RiskConfig = RiskConfig()) -> dict[str, Column]:
             "latency_too_high", actual_latency_ms=c("latency_ms"), max_latency_ms=config.max_latency_ms)),
         "staleness": F.when(c("market_data_time").isNull(), block("missing_market_data_time"))
         .when(age > config.stale_market_data_seconds, block(
-            "stale_market_data", actual_age_seconds=age, stale_market_data_seconds=config.stale_market_data_seconds)),
+            "stale_market_data", actual_market_data_age_seconds=age, stale_market_data_seconds=config.stale_market_data_seconds)),
         "daily_limits": F.when(c("daily_loss_dollars") >= config.max_daily_loss_dollars, block(
             "daily_loss_limit_hit", actual_daily_loss_dollars=c("daily_loss_dollars"),
             max_daily_loss_dollars=config.max_daily_loss_dollars))
@@ -105,12 +106,12 @@ def rules(config: RiskConfig = RiskConfig()) -> dict[str, Column]:
     }
     if config.max_position_per_symbol <= 1:
         out["portfolio"] = out["portfolio"].when(c("symbol_position_exists"), block(
-            "max_position_per_symbol_hit", max_position_per_symbol=config.max_position_per_symbol))
+            "max_position_per_symbol_hit", symbol_position_exists=True, max_position_per_symbol=config.max_position_per_symbol))
     context = []
     if config.event_blocking:
-        context.append((c("event_window_active"), block("event_window_active")))
+        context.append((c("event_window_active"), block("event_window_active", event_blocking_enabled=True)))
     if config.block_on_high_risk:
-        context.append((c("high_risk_context_active"), block("high_context_risk")))
+        context.append((c("high_risk_context_active"), block("high_context_risk", block_on_ai_high_risk=True)))
     if config.reduce_size_on_elevated_risk:
         context.append((c("elevated_risk_context_active"), _outcome(
             "REDUCE_SIZE", True, "elevated_context_risk", config.reduce_size_factor,

@@ -13,7 +13,8 @@ from tidemark.functions.times import to_utc_iso
 from tidemark.sinks.schemas import MONTHLY, schema, time_column
 
 PARTITION = "ledger_period"
-SCHEMA_VERSION = "v1"
+SCHEMA_VERSION = "contracts_v1"
+DEAD_LETTER_VERSION = "questdb_emergency_jsonl_fallback_v1"
 
 
 class LedgerError(ValueError):
@@ -100,7 +101,7 @@ def write_dead_letters(refused: DataFrame, table: str, root: str, *, source: str
     now = F.current_timestamp()
     # Spark writes NaN as text inside JSON, so the payload stays readable
     out = refused.select(
-        F.lit(SCHEMA_VERSION).alias("fallback_schema_version"), to_utc_iso(now).alias("fallback_written_at"), F.lit(table).alias("record_type"),
+        F.lit(DEAD_LETTER_VERSION).alias("fallback_schema_version"), to_utc_iso(now).alias("fallback_written_at"), F.lit(table).alias("record_type"),
         F.lit(table).alias("target_table"), F.col(id_column).cast("string").alias("record_id"), to_utc_iso(F.col(time_column(table))).alias("event_time"),
         F.lit(source).alias("source"), F.coalesce(ticker, F.lit("UNKNOWN")).alias("ticker_or_sector"),
         F.create_map(F.lit("failure_code"), F.lit("ROW_REFUSED"), F.lit("failure_type"), F.col("_error")).alias("primary_write_failure"),
