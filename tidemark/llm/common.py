@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,11 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_CHARS) ->
         yield ids, texts
 
 
+def longs(column: pa.Array) -> np.ndarray:
+    """64-bit integers of a column; NULL becomes the least one."""
+    return column.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+
+
 def bytes_of(texts: DataFrame) -> int:
     """Bytes of all texts: one scan with a partial sum, used to size partitions."""
     return int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, token_files, url_filter
+from tidemark.llm import chat, fingerprints, packing, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -40,6 +40,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_add()
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+@_add()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_documents(read(spark, sf_dir, "documents"))
+
+
 @_add()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import longs
+
 #: Ids drawn for each range, for its bounds alone; they never change a result.
 SAMPLES_PER_RANGE = 200
 
@@ -31,7 +33,7 @@ def with_range(df: DataFrame, bounds: list[int], col: str = "doc_id") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(b.schema.get_field_index(col))
-            at = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+            at = np.searchsorted(edges, longs(ids), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "range"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
