@@ -77,3 +77,31 @@ def ranges_within(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All integers of the ranges, one range after the other."""
     sizes = ends - starts
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+#: White space of words: space and tab to carriage return.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Kinds of bytes: 0 white space, 1 letters and all of non-ASCII, 2 digits, 3 the rest.
+KIND = np.full(256, 3, np.uint8)
+KIND[SPACE] = 0
+KIND[48:58] = 2
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def words(texts: list[str], seed: int = 0, by_kind: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text index of every word, A-Z lower-cased.
+
+    A word is a run of bytes that are no white space; with ``by_kind``, a run of one kind of bytes.
+    """
+    data, first, _ = joined([*texts, ""], 1)
+    data = LOWER[data]
+    kind = KIND[data] if by_kind else (~SPACE[data]).astype(np.uint8)
+    kind[first - 1] = 0  # the gaps
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    edges = np.append(edge, len(data))
+    starts = edge[kind[edge] != 0]
+    ends = edges[1:][kind[edge] != 0]
+    return Sums(data, seed).of(starts, ends), np.searchsorted(first, starts, "right") - 1
