@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, packing, quality, substring_dedup, token_files, url_filter
+from tidemark.llm import chat, fingerprints, ngram_join, packing, quality, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -40,6 +40,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_add("""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 75 * (a.n + b.n - i)),
+e as (select x, y from l union all select y, x from l),
+c(doc_id, r) as (select doc_id, doc_id from w union select c.doc_id, e.y from c join e on e.x = c.r)
+select c.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(c.r) as component_id from c left join n on n.doc_id = c.doc_id group by c.doc_id""")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 @_add()
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
