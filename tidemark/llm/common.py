@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import utc
 
 #: Characters of text that one Python block handles at a time; bounds the memory of a task.
 BLOCK_CHARS = 4_000_000
+#: The same where rows are passed through.
+ROW_CHARS = 1_000_000
 
 
 def ready(df: DataFrame) -> DataFrame:
@@ -59,3 +61,34 @@ def longs(column: pa.Array) -> np.ndarray:
 def bytes_of(texts: DataFrame) -> int:
     """Bytes of all texts: one scan with a partial sum, used to size partitions."""
     return int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+class Positional:
+    """A table with its columns renamed by place, so that columns added by an operator cannot clash."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.names = docs.columns
+        self.df = ready(docs).toDF(*(f"c{i}" for i in range(len(self.names))))
+        self.id, self.text = (f"c{self.names.index(c)}" for c in (id_col, text_col))
+
+    def restore(self, df: DataFrame, **new: Column) -> DataFrame:
+        """The table's own columns under their names; ``new`` gives other values, by name."""
+        return df.select(*(new.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(self.names)))
+
+    def with_value(self, name: str, kind: str, fn: Callable[[list, list], pa.Array]) -> DataFrame:
+        """``df`` and a column made from the ids and texts of a bounded number of rows at a time."""
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema.fields)
+        id_at, text_at = (self.df.columns.index(c) for c in (self.id, self.text))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, texts, at = b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), 0
+                while at < len(ids):
+                    end, size = at + 1, len(texts[at] or "")
+                    while end < len(ids) and size + len(texts[end] or "") <= ROW_CHARS:
+                        size += len(texts[end] or "")
+                        end += 1
+                    part = b.slice(at, end - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns, fn(ids[at:end], texts[at:end])], names=[*part.schema.names, name])
+                    at = end
+        return self.df.mapInArrow(run, f"{schema}, `{name}` {kind}")

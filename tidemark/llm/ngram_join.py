@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, keyed_text, text_blocks
+from tidemark.llm.common import Positional, bytes_of, keyed_text, text_blocks
 from tidemark.llm.components import components
 from tidemark.llm.kernels import MIX_2, U, mix, words
 from tidemark.session import stable
@@ -284,3 +284,16 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     out = named_sets.join(group, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (doc_id, text and any columns) with the document of the smallest id of every group.
+
+    Of rows with one id, one stays; rows with a NULL id stay.
+    """
+    losers = (similar_documents(docs, n, percent).where(F.col("doc_id") != F.col("component_id"))
+              .select(F.col("doc_id").alias("_loser")).distinct())
+    rows = Positional(docs)
+    key = F.col(rows.id).cast("long")
+    kept = rows.df.where(F.col(rows.id).isNotNull()).join(losers, key == F.col("_loser"), "left_anti").dropDuplicates([rows.id])
+    return rows.restore(kept.unionByName(rows.df.where(F.col(rows.id).isNull())))

@@ -10,7 +10,7 @@ documents that it has not seen, so that scores are probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed_text, text_blocks
+from tidemark.llm.common import Positional, keyed_text, text_blocks
 from tidemark.llm.kernels import U, mix, words
-from tidemark.session import stable
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
 #: The bound of the fit: at most so many labelled documents, those with the smallest hash of the id.
@@ -144,35 +143,43 @@ def id_hash(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0).cast("long"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row of ``docs``.
-
-    ``labels``: doc_id and quality (0 or 1) of the rows to learn from; rows with a NULL are left out
-    and an id with both values counts as one half.  At most ``labelled`` of them are used for the
-    fit; word statistics and scores cover all documents.  Every fifth labelled id sets the
-    temperature.  A NULL or empty text has the score of a document without words; without labels
-    every score is 0.5.  Repeated rows are scored alike; other columns are ignored.
-    """
+def fit_model(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list], np.ndarray]:
+    """Word vectors from all of ``docs`` and a network from the labelled ones: a function from texts to scores."""
     keyed = keyed_text(docs, id_col, text_col)
     table = context_vectors(keyed)
+    known = (labels.select(F.col("doc_id").cast("long").alias("_d"), F.col("quality").cast("double").alias("_y")).dropna()
+             .groupBy("_d").agg(F.avg("_y").alias("_y")).orderBy(F.xxhash64("_d"), "_d").limit(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches, BLOCK):
             x = pooled(texts, table).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
-    features = stable(keyed.mapInArrow(run, "doc_id long, x array<float>"), "pooled")
-    known = (labels.select(F.col("doc_id").cast("long").alias("_d"), F.col("quality").cast("double").alias("_y")).dropna()
-             .groupBy("_d").agg(F.avg("_y").alias("_y")).orderBy(F.xxhash64("_d"), "_d").limit(labelled))
-    train = features.join(F.broadcast(known), F.col("doc_id") == F.col("_d"))  # at most ``labelled`` rows
-    train = train.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("_y").alias("y"))
+    mine = keyed.join(F.broadcast(known), F.col("doc_id") == F.col("_d"), "left_semi")  # at most ``labelled`` ids
+    train = mine.mapInArrow(run, "doc_id long, x array<float>").join(F.broadcast(known), F.col("doc_id") == F.col("_d"))
+    train = train.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("_y").alias("y"))  # one row an id
     got = train.select("x", "y", (F.floor(id_hash() / 3) % 5 == 0).alias("check"), "doc_id").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, 2 * DIM)
     net = fit(x, got["y"].to_numpy(float), got["check"].to_numpy(bool))
+    return lambda texts: net.score(pooled([t or "" for t in texts], table))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of every row of ``docs``.
+
+    ``labels``: doc_id and quality (0 or 1) of the rows to learn from; rows with a NULL are left out
+    and an id with both values counts as one half.  At most ``labelled`` of them are used for the
+    fit; word statistics and scores cover all documents.  Every fifth labelled id sets the
+    temperature.  A NULL or empty text has the score of a document without words; without labels
+    every score is 0.5.  Repeated rows are scored alike; other columns are ignored.
+    """
+    score = fit_model(docs, labels, labelled, id_col, text_col)
+    scored = Positional(keyed_text(docs, id_col, text_col)).with_value("score", "double", lambda _, texts: pa.array(score(texts)))
+    return scored.select(F.col("c0").alias("doc_id"), "score")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * DIM)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(x))], names=["doc_id", "score"])
 
-    return features.mapInArrow(judge, "doc_id long, score double")
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, labelled: int = LABELLED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    score, rows = fit_model(docs, labels, labelled), Positional(docs)
+    scored = rows.with_value("score", "double", lambda _, texts: pa.array(score(texts)))
+    return rows.restore(scored.where(F.col("score") >= least))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, ngram_join, packing, quality, substring_dedup, token_files, url_filter
+from tidemark.llm import chat, decontamination, fingerprints, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -87,6 +87,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+@_add()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_add()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @_add("""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Pieces kept by a worker before its dictionary starts anew; bounds memory, not results.
-MAX_PIECES = 400_000
+MAX_PIECES = 800_000
 #: White space to Python alone, or the start of a special-token string.
 UNSURE = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -28,12 +29,13 @@ class Cuts:
     pattern: str
     separator: str
     mark: str
+    lower: bool = False
 
 
 #: Space goes with the word after it; a line end is a token of its own.
 BYTE_LEVEL = Cuts(r" ?[^\W\d_]+(?!\w)| ?\S+|\s+(?!\S)|\s", "\n", "\n")
 #: White space is dropped; accents may join the letter before them, so no cut before non-ASCII, nor after İ, which becomes two characters.
-WORD_END = Cuts(r"[^\W\d_İ]+(?![^\x00-\x7f]|\w)|\S+", " \x01 ", "\x01")
+WORD_END = Cuts(r"[^\W\d_İ]+(?![^\x00-\x7f]|\w)|\S+", " \x01 ", "\x01", True)
 
 
 class _Numbers(dict):
@@ -75,44 +77,51 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each has."""
-        ids: list[np.ndarray | None] = [None] * len(pieces)
-        alone = [i for i, p in enumerate(pieces) if self.mark_id is None or self.cuts.mark in p or p.isspace() or UNSURE.search(p)]
-        odd = set(alone)
-        rest = [i for i in range(len(pieces)) if i not in odd]
-        groups = [rest[k:k + 1000] for k in range(0, len(rest), 1000)]
-        for group, got in zip(groups, self._ids([self.cuts.separator.join([pieces[i] for i in g]) for g in groups])):
-            parts = np.split(got, np.flatnonzero(got == self.mark_id))
-            if len(parts) != len(group):
-                alone += group
-                continue
-            for j, (i, part) in enumerate(zip(group, parts)):
-                ids[i] = part[1:] if j else part
-        for i, got in zip(alone, self._ids([pieces[i] for i in alone])):
-            ids[i] = got
-        return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
-
     def _learn(self) -> None:
+        """Ids of the new pieces: many in one text, parted by a mark; those that may not be joined, alone."""
         new = self.numbers.new
         if not new:
             return
-        flat, sizes = self._many(new)
-        self.numbers.new = []
+        alone = [i for i, p in enumerate(new) if self.mark_id is None or self.cuts.mark in p or p.isspace() or UNSURE.search(p)]
+        odd = set(alone)
+        rest = [i for i in range(len(new)) if i not in odd] if odd else list(range(len(new)))
+        groups = [rest[k:k + 1000] for k in range(0, len(rest), 1000)]
+        flats, order, sizes = [], [], []
+        for group, got in zip(groups, self._ids([self.cuts.separator.join([new[i] for i in g]) for g in groups])):
+            marks = np.flatnonzero(got == self.mark_id)
+            if len(marks) != len(group) - 1:
+                alone += group
+                continue
+            flats.append(got[got != self.mark_id])
+            order += group
+            sizes.append(np.diff(marks, prepend=-1, append=len(got)) - 1)
+        singles = self._ids([new[i] for i in alone])
+        flat = np.concatenate([*flats, *singles])
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, singles), np.int64, len(singles))]).astype(np.int64)
+        place = np.empty(len(new), np.int64)
+        place[order + alone] = np.arange(len(new))
         need = self.used + len(flat)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.used], np.empty(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
         self.flat[self.used:need] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(sizes) - sizes)[place]])
+        self.sizes = np.concatenate([self.sizes, sizes[place]])
         self.used = need
+        self.numbers.new = []
+
+    def _cut(self, text: str) -> list[str]:
+        if UNSURE.search(text):
+            return [text]
+        if self.cuts.lower and "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
+            text = low  # what the tokenizer itself would do next
+        return self.find(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and the number of ids of each text."""
         if len(self.numbers) > MAX_PIECES:
             self._clear()
         number = self.numbers.__getitem__
-        rows = [[number(t)] if UNSURE.search(t) else list(map(number, self.find(t))) for t in texts]
+        rows = [list(map(number, self._cut(t))) for t in texts]
         self._learn()
         pieces = np.fromiter((n for r in rows for n in r), np.int64)
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
