@@ -199,17 +199,15 @@ def test_selection_digest_identifies_the_selected_set(spark, small_tasks):
     assert ids("a").shadow_evaluation_id == ids("a").shadow_evaluation_id != ids("b").shadow_evaluation_id
 
 
-def test_policy_and_capacity_checks(spark):
+def test_policy_and_run_checks(spark):
     with pytest.raises(ValueError):
         ev.Rule("x", ("BAD",), "BLOCK", "r")
     with pytest.raises(ValueError):
         ev.Rule("x", ("FLAG_TYPE:A",), "BLOCK", "r", 0.5)
     with pytest.raises(ValueError):
         ev.Policy((ev.Rule("x", ("FLAG_TYPE:A",), "BLOCK", "r"), ev.Rule("x", ("FLAG_TYPE:B",), "BLOCK", "r")))
-    run = ev.RunDefinition(("A",), ("src",), 0, 10, capacity=3)
-    with pytest.raises(ev.EvidenceError):
-        ev.check_capacity(spark.range(4), run)
-    assert ev.check_capacity(spark.range(3), run) == 3
+    with pytest.raises(ValueError):
+        ev.RunDefinition(("A",), ("src",), 10, 10)
 
 
 def test_adapters_share_columns(spark):

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.intervals import FOREVER, interval_join
+from tidemark.operators.intervals import interval_join
 from tidemark.operators.ordered import OrderedScan, Running, first_per_key, positions
 
 
@@ -96,5 +96,13 @@ def test_interval_join_is_exact(spark):
     p = spark.createDataFrame(pts, "pid long, key string, t long")
     v = spark.createDataFrame(ivs, "iid long, key string, s long, e long")
     got = sorted((x.pid, x.iid) for x in interval_join(p, v, keys=["key"], at="t", start="s", end="e").collect())
-    want = sorted((a[0], b[0]) for a in pts for b in ivs if a[1] == b[1] and b[2] <= a[2] <= (FOREVER if b[3] is None else b[3]))
+    want = sorted((a[0], b[0]) for a in pts for b in ivs if a[1] == b[1] and b[2] <= a[2] and (b[3] is None or a[2] <= b[3]))
     assert got == want
+
+
+def test_open_intervals_have_no_last_day(spark):
+    far = 4_200_000_000_000_000  # the year 2103
+    points = spark.createDataFrame([("a", far), ("a", 5), ("b", far)], "k string, at long")
+    intervals = spark.createDataFrame([("a", 10, None), ("a", 0, 7)], "k string, lo long, hi long")
+    got = interval_join(points, intervals, keys=["k"], at="at", start="lo", end="hi").collect()
+    assert sorted((r.k, r["at"], r.lo) for r in got) == [("a", 5, 0), ("a", far, 10)]

@@ -268,3 +268,13 @@ def test_contract_rules(spark):
                                "ticker string, decision string, approved boolean, reduce_size_factor double, reasons array<string>").withColumn("decision_time", F.current_timestamp())
     got = [sorted(r.violations) for r in quality.check(df, quality.contract("risk_decision")).collect()]
     assert got == [[], ["size_factor"], ["size_factor"], ["approved", "decision", "reasons", "ticker"]]
+
+
+def test_replayed_batches_are_written_once(spark, tmp_path):
+    root, dead = str(tmp_path / "ledger"), str(tmp_path / "dead")
+    write = ledger.stream_writer("latency_metrics", root, dead)
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 2), "m1", 1.0), (dt.datetime(2024, 1, 3), "m2", float("nan"))], "measured_time timestamp, latency_metric_id string, latency_ms double")
+    for epoch in (0, 1, 1):
+        write(rows, epoch)
+    assert [r.latency_metric_id for r in ledger.read(spark, "latency_metrics", root).collect()] == ["m1", "m1"]
+    assert spark.read.json(dead).count() == 2

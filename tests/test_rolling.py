@@ -4,9 +4,11 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.live import live_totals
 from tidemark.operators.parity import differences, out_of_order
+from tidemark.session import MAX_ROWS_KEY
 from tidemark.operators.rolling import final_snapshot, frame_totals, rolling_features
 from tidemark.streaming.live import live_features
 
@@ -152,3 +154,15 @@ def test_live_stream_with_late_rows_and_reset(spark, tmp_path):
 def test_out_of_order_rows(spark):
     df = spark.createDataFrame([("A", 1, 0), ("A", 5, 1), ("A", 4, 2), ("A", 5, 3)], "k string, t long, s long")
     assert [r.s for r in out_of_order(df, key="k", at="t", order=["s"]).collect()] == [2]
+
+
+def test_frames_are_whole(spark):
+    """Sixty thousand rows of one key and one day, on both paths."""
+    df = spark.range(60_000).select(F.lit("A").alias("k"), F.lit(3).cast("long").alias("d"), F.col("id").alias("seq"), F.lit(1.0).alias("q"))
+    spark.conf.set(MAX_ROWS_KEY, "20000")
+    try:
+        for sliced in (False, True):
+            got = frame_totals(df, key="k", at="d", order=["seq"], value="q", lookback=10, sliced=sliced).agg(F.max("frame_rows"), F.max("frame_sum"), F.count("*")).first()
+            assert tuple(got) == (60_000, 60_000.0, 60_000)
+    finally:
+        spark.conf.unset(MAX_ROWS_KEY)

@@ -6,13 +6,5 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ratio(num: Column, den: Column) -> Column:
-    return F.when(den != 0, num / den)
-
-
-def weighted(value: Column, weight: Column) -> Column:
-    return ratio(F.sum(value * weight), F.sum(weight))
-
-
 def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)

@@ -32,11 +32,6 @@ def json_id(prefix: str, digits: int = 64, **fields: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(canonical_json(**fields), 256), 1, digits))
 
 
-def random_id(prefix: str) -> Column:
-    """``prefix_`` + 32 random hex digits; not reproducible, use :func:`stable_id` for keys."""
-    return F.concat(F.lit(prefix + "_"), F.regexp_replace(F.uuid(), "-", ""))
-
-
 # --- identifiers ------------------------------------------------------------------------
 
 def symbol(c: Column | str) -> Column:
@@ -74,11 +69,6 @@ def filing_url(base: str, cik: Column | str, accession_no: Column | str, documen
                        F.regexp_replace(_c(accession_no), "-", ""), document_path(document))
 
 
-def filing_index(base: str, cik: Column | str, accession_no: Column | str) -> Column:
-    return F.concat_ws("/", F.lit(base.rstrip("/")), _c(cik).cast("long").cast("string"),
-                       F.regexp_replace(_c(accession_no), "-", ""), F.lit("index.json"))
-
-
 def client_order_id(c: Column | str, max_length: int = 128) -> Column:
     """ASCII id: unsafe runs become ``_``; over-long ids keep a prefix plus 12 hash digits."""
     ascii_only = F.regexp_replace(F.trim(_c(c)), r"[^\x00-\x7F]", "")

@@ -28,13 +28,12 @@ class RunDefinition:
     sources: tuple[str, ...]
     start_us: int
     end_us: int
-    capacity: int = 100_000
     max_age_us: int = 24 * 3_600_000_000
     categories: tuple[str, ...] = CATEGORIES
 
     def __post_init__(self):
-        if not self.tickers or not self.sources or self.start_us >= self.end_us or self.capacity <= 0:
-            raise ValueError("a run needs tickers, sources, a positive window and a capacity")
+        if not self.tickers or not self.sources or self.start_us >= self.end_us:
+            raise ValueError("a run needs tickers, sources, and a positive window")
 
     @property
     def coverage(self) -> tuple[int, int]:
@@ -87,15 +86,6 @@ def from_insider_events(df: DataFrame) -> DataFrame:
 
 # --- checks before publication ------------------------------------------------------------
 
-def check_capacity(evidence: DataFrame, run: RunDefinition, exclusions: int = 0) -> int:
-    """Raises when more rows than the capacity were attempted; counts at most capacity + 1."""
-    attempted = evidence.limit(run.capacity + 1).count() + exclusions
-    if attempted > run.capacity:
-        raise EvidenceError(f"evidence capacity exceeded: more than {run.capacity} rows for {len(run.tickers)} tickers "
-                            f"in {run.start_us}..{run.end_us}")
-    return attempted
-
-
 def conflicts(evidence: DataFrame, run: RunDefinition | None = None, structured_sources: DataFrame | None = None) -> DataFrame:
     """Rows (problem, key, rows) that make the set ambiguous or inadmissible; empty when clean."""
     def repeats(name: str, *keys: str) -> DataFrame:
@@ -118,10 +108,6 @@ def conflicts(evidence: DataFrame, run: RunDefinition | None = None, structured_
     return out
 
 
-def in_coverage(at: Column, run: RunDefinition) -> Column:
-    return micros(at).between(*run.coverage)
-
-
 # --- selection ----------------------------------------------------------------------------
 
 def _keys(evidence: DataFrame) -> DataFrame:
@@ -228,20 +214,6 @@ def applicable_exclusions(decisions: DataFrame, exclusions: DataFrame, *, at: st
     return out.filter(~twice).drop("_from", "_to", "_at", "_tickers", "target")
 
 
-def exclusion_reason(*, ticker: Column, sector: Column, t: Column, max_age_us: int) -> Column:
-    """Reason of one decision/evidence pair (NULL: selected), for audits of single pairs."""
-    scope = F.col("is_global") | F.coalesce(F.array_contains("tickers", ticker), F.lit(False)) | F.coalesce(F.col("sector") == sector, F.lit(False))
-    return (F.when(~F.col("policy_eligible"), "POLICY_INELIGIBLE").when(F.col("available_at").isNull(), "MISSING_AVAILABILITY")
-            .when(~scope, "SCOPE_MISMATCH").when((F.col("available_at") > t) | F.coalesce(F.col("valid_from") > t, F.lit(False)), "FUTURE")
-            .when(t > F.col("valid_until"), "EXPIRED")
-            .when(F.col("valid_until").isNull() & (micros(t) - micros("available_at") > max_age_us), "OUTSIDE_LOOKBACK"))
-
-
-def canonical_order() -> list[Column]:
-    """available_at (NULL last), category, source, source record, evidence id."""
-    return [F.col("available_at").asc_nulls_last(), F.col("category"), F.col("source"), F.col("source_record_id"), F.col("evidence_id")]
-
-
 # --- rule policy --------------------------------------------------------------------------
 
 @dataclass(frozen=True)

@@ -105,7 +105,7 @@ def gate(decisions: DataFrame, *, open_orders: DataFrame | None = None, used_sig
                  .when(after_close, "liquidation_in_progress")
                  .when(after_entry & (F.col("_side") == F.col("_entry_side")), "duplicate_open_order")
                  .when(after_entry, "conflicting_open_order"))
-        # the reference order of tests: liquidation, duplicate, conflict, cap
+        # order of tests: liquidation, duplicate, conflict, cap
         rank = ["liquidation_in_progress", "duplicate_open_order", "conflicting_open_order"]
         merged = F.coalesce(*[F.when((F.col("_state") == r) | (batch == r), F.lit(r)) for r in rank],
                             F.col("_state"), batch)
@@ -168,10 +168,3 @@ def capture(df: DataFrame) -> DataFrame:
         "time_in_force": F.coalesce(blank_to_null(opt("intent_time_in_force")),
                                     blank_to_null(opt("response_time_in_force")), F.lit("day")),
         "error": F.when(latency < 0, "completed_before_started").when(kind != "MARKET", "unsupported_order_type")})
-
-
-def latency_rows(captured: DataFrame) -> DataFrame:
-    """Latency metric rows of captured submissions."""
-    return captured.filter(F.col("latency_ms").isNotNull()).select(
-        F.col("submit_completed_at").alias("measured_time"), F.lit("execution").alias("component"),
-        F.lit("alpaca_paper").alias("source"), "latency_ms", "ticker", F.lit("alpaca_order_submit_latency_ms").alias("event_type"))

@@ -39,10 +39,6 @@ def text(c: str) -> Column:
     return F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
 
 
-def optional_text(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(F.col(c)) != "")
-
-
 def number(c: str) -> Column:
     x = F.col(c).cast("double")
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))

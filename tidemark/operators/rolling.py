@@ -1,15 +1,17 @@
 """Tie-exact rolling frames per ticker.
 
 The frame of a row ends at the row itself (later rows with the same time are outside),
-starts at the first row not older than the look-back, and holds at most ``cap`` rows.
+starts at the first row not older than the look-back, and holds all rows from there (at
+most the newest ``cap`` rows if the caller gives a cap).
 Spark's RANGE frame includes later peers and re-reads the whole frame for every row, so
 the per-frame values come from prefix arrays in an Arrow-fed task: O(n log n) per task
 however dense the data.
 
 Work is cut by position, not by time: block ``b`` of a ticker is its rows
-``b*size+1 .. (b+1)*size`` plus the ``cap - 1`` rows before, so a task holds a bounded
-number of rows even when one ticker, or one instant, has most of the table.  When every
-ticker fits a task no positions are needed and whole tickers are bundled by hash.
+``b*size+1 .. (b+1)*size`` plus the rows before that a frame may reach, so a task holds a
+block and one frame even when one ticker has most of the table.  How far a frame may reach
+is measured: no more than twice the rows of the fullest stretch of one look-back.  When
+every ticker fits a task no positions are needed and whole tickers are bundled by hash.
 """
 
 from __future__ import annotations
@@ -27,17 +29,16 @@ from tidemark.operators.ordered import bundles_for, key_sizes, positions
 from tidemark.session import max_rows
 
 LOOKBACK_SECONDS = 60
-CAP = 50_000
 
 
 # --- numpy helpers on rows sorted by (code, time, tie) -------------------------------------
 
-def frame_starts(code: np.ndarray, t: np.ndarray, lookback: int, cap: int) -> np.ndarray:
+def frame_starts(code: np.ndarray, t: np.ndarray, lookback: int, cap: int | None) -> np.ndarray:
     """Index of the first row of every row's frame."""
     uniq, rank = np.unique(t, return_inverse=True)
     width = len(uniq) + 1
     lo = np.searchsorted(code * width + rank, code * width + np.searchsorted(uniq, t - lookback))
-    return np.maximum(lo, np.arange(len(t)) - cap + 1)
+    return lo if cap is None else np.maximum(lo, np.arange(len(t)) - cap + 1)
 
 
 def last_at(valid: np.ndarray) -> np.ndarray:
@@ -90,7 +91,13 @@ def deviations(returns: np.ndarray, has: np.ndarray, first: np.ndarray, last: np
 
 # --- bundling -----------------------------------------------------------------------------
 
-def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int,
+def frame_bound(df: DataFrame, keys: Sequence[str], at: str, lookback: int) -> int:
+    """No frame has more rows: two neighbouring stretches of one look-back cover it."""
+    stretch = df.groupBy(*keys, F.floor(F.col(at) / F.lit(lookback)).alias("_stretch")).count()
+    return 2 * int(stretch.agg(F.max("count")).first()[0] or 1)
+
+
+def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int, cap: int | None,
                 kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType,
                 *, sliced: bool | None = None) -> DataFrame:
     """Run ``kernel`` over bounded bundles; ``_own`` marks the rows it must return.
@@ -105,6 +112,8 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: i
         sliced = largest > limit
     bundles = bundles_for(df, total)
     if sliced:
+        bound = frame_bound(df, keys, order[0], lookback)
+        cap = bound if cap is None else min(cap, bound)
         size = max(cap, limit)
         df = positions(df, keys, order, "_pos", sliced=True)
         block = F.floor((F.col("_pos") - 1) / F.lit(size)).cast("long")
@@ -140,7 +149,7 @@ MEASURES = {
 }
 
 
-def feature_kernel(lookback: int, cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def feature_kernel(lookback: int, cap: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         n = len(p)
         i = np.arange(n)
@@ -195,14 +204,14 @@ def feature_kernel(lookback: int, cap: int) -> Callable[[pd.DataFrame], pd.DataF
     return kernel
 
 
-def rolling_features(records: DataFrame, *, lookback_seconds: int = LOOKBACK_SECONDS, cap: int = CAP,
+def rolling_features(records: DataFrame, *, lookback_seconds: int = LOOKBACK_SECONDS, cap: int | None = None,
                      order: Sequence[str] = ("ingest_seq",), key: str = "ticker", keep: Sequence[str] = (),
                      sliced: bool | None = None) -> DataFrame:
     """One feature row per market record, in event-time order (ties by ``order``).
 
     Output: key, event_time, the order columns, ``keep`` columns and the feature values.
     """
-    if lookback_seconds <= 0 or cap <= 0:
+    if lookback_seconds <= 0 or (cap is not None and cap <= 0):
         raise ValueError("look-back and cap must be positive")
     df = observations(records).withColumn("_t", F.unix_micros(F.col("event_time").cast("timestamp")))
     carried = [key, "_t", *order, *keep]
@@ -210,8 +219,8 @@ def rolling_features(records: DataFrame, *, lookback_seconds: int = LOOKBACK_SEC
                    "mid_obs", "spread_obs", "is_trade", "is_quote")
     schema = T.StructType([df.schema[c] for c in carried]
                           + [T.StructField(c, T._parse_datatype_string(k)) for c, k in MEASURES.items()])
-    out = over_frames(df, [key], ["_t", *order], cap, feature_kernel(lookback_seconds * 1_000_000, cap), schema,
-                      sliced=sliced)
+    lookback = lookback_seconds * 1_000_000
+    out = over_frames(df, [key], ["_t", *order], lookback, cap, feature_kernel(lookback, cap), schema, sliced=sliced)
     # Arrow carries the kernel's NaN for "no value"
     doubles = [c for c, k in MEASURES.items() if k == "double"]
     out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
@@ -234,7 +243,7 @@ def final_snapshot(features: DataFrame, *, order: Sequence[str] = ("ingest_seq",
 
 
 def frame_totals(df: DataFrame, *, key: str, at: str, order: Sequence[str], value: str, lookback: int,
-                 cap: int = CAP, sliced: bool | None = None) -> DataFrame:
+                 cap: int | None = None, sliced: bool | None = None) -> DataFrame:
     """Tie-exact trailing count and sum for any ordered table: adds ``frame_rows``, ``frame_sum``.
 
     ``at`` is a long and ``lookback`` is in its unit.
@@ -247,4 +256,4 @@ def frame_totals(df: DataFrame, *, key: str, at: str, order: Sequence[str], valu
         i, s = np.arange(len(p)), prefix(np.nan_to_num(p[value].to_numpy(float)))
         return p.assign(frame_rows=i - lo + 1, frame_sum=(s[i + 1] - s[lo]).astype(float))
 
-    return over_frames(df, [key], [at, *order], cap, kernel, schema, sliced=sliced)
+    return over_frames(df, [key], [at, *order], lookback, cap, kernel, schema, sliced=sliced)

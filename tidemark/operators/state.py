@@ -12,7 +12,6 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import OrderedScan, Running, first_per_key
 
 KEY = ("scope", "target", "name")
-MAX_ENTRIES = 10_000
 
 # Severities from low to high, and the risk level each gives.
 SEVERITY_RANK = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
@@ -74,7 +73,7 @@ def latest(log: DataFrame, *, key: Sequence[str] = KEY, arrival: Sequence[str] =
     return first_per_key(kept, list(key), list(arrival), last=True)
 
 
-def evict(state: DataFrame, *, key: Sequence[str] = KEY, updated: str = "updated_at", max_entries: int = MAX_ENTRIES) -> DataFrame:
+def evict(state: DataFrame, *, key: Sequence[str] = KEY, max_entries: int, updated: str = "updated_at") -> DataFrame:
     """Newest ``max_entries`` entries by (updated, key); a distributed top-k, not a full sort."""
     order = [F.col(updated).desc(), *[F.col(k).desc() for k in key]]
     return state.orderBy(*order).limit(max_entries)

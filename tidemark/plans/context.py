@@ -234,8 +234,7 @@ def evidence_checks(spark, sf):
     raw = view(spark, sf, "evidence").select("evidence_id", "k")
     e = evidence_rows(spark, sf).drop("source", "source_record_id").join(raw, "evidence_id").withColumns({
         "source": F.when(F.col("k") % 11 == 0, "eia_wpsr_v1").otherwise("desk_flags"), "source_record_id": F.concat(F.lit("R"), F.col("k").cast("string"))}).drop("k")
-    run = ev.RunDefinition(("T0", "T1", "T2"), ("desk_flags",), 0, 1, capacity=10_000_000)
-    ev.check_capacity(e, run)
+    run = ev.RunDefinition(("T0", "T1", "T2"), ("desk_flags",), 0, 1)
     structured = updates(spark, sf).select("source")
     return ev.conflicts(e, run, structured)
 
@@ -321,16 +320,18 @@ def release_lookup(spark, sf):
     return energy.target_release(p, rel).select("event_id", "release_id")
 
 
-@query("J6 A17", with_views("observations") + """, w as (select series, cast(date_trunc('week', observation_date) as date) as period, count(distinct value) > 1 as amb, min(value) as v from observations
-  where extract('dow' from observation_date) in (1, 2) and not (series = 'MID' and extract('dow' from observation_date) = 2) group by 1, 2),
+@query("J6 A17", with_views("observations") + """, w as (select series, period, count(distinct v) > 1 as amb, min(v) as v from
+  (select series, cast(date_trunc('week', observation_date) as date) as period, max(value) as v from observations group by 1, 2, series = 'MID' and extract('isodow' from observation_date) > 3) x group by 1, 2),
 g as (select * from w where not amb), f as (select g.series, g.period, g.v, p.v as pv from g left join g p on p.series = g.series and p.period = g.period - 7)
 select series, cast(period as varchar) as period, 'level' as kind, v as value from f union all select series, cast(period as varchar), 'change_wow', v - pv from f where pv is not null
 union all select series, cast(period as varchar), 'EXPECTED_PRIOR_PERIOD_MISSING', null from f where pv is null union all select series, cast(period as varchar), 'CURRENT_PERIOD_INVALID', null from w where amb""")
 def weekly_change(spark, sf):
     o = view(spark, sf, "observations")
-    dow = F.dayofweek("observation_date")
-    rows = o.filter(dow.isin(2, 3) & ~((F.col("series") == "MID") & (dow == 3))).select(
-        "series", F.date_format(F.date_trunc("week", "observation_date"), "yyyy-MM-dd").alias("period"), F.col("value").cast("string").alias("value"),
+    # one value a week, and two that may differ for one series
+    second = (F.col("series") == "MID") & (F.weekday("observation_date") >= 3)
+    weeks = o.groupBy("series", F.date_trunc("week", "observation_date").alias("week"), second.alias("second")).agg(F.max("value").alias("value"))
+    rows = weeks.select(
+        "series", F.date_format("week", "yyyy-MM-dd").alias("period"), F.col("value").cast("string").alias("value"),
         F.lit("MBBL").alias("units"), F.lit("MBBL").alias("expected_units"))
     facts, issues = energy.weekly_facts(energy.select_periods(rows))
     day = F.col("period").cast("string").alias("period")
@@ -356,12 +357,12 @@ def rate_facts(spark, sf):
     return facts.select("indicator", "value_kind", F.col("observation_date").cast("string").alias("observation_date"), r6(F.col("value")).alias("value"), "label")
 
 
-@query("W7 W8 J8 P47", with_views("bars") + """, b as (select symbol, bar_day, close + 1 as close from bars where not (symbol = 'T3' and bar_day = date '2024-01-25')),
+@query("W7 W8 J8 P47", with_views("bars") + """, b as (select symbol, bar_day, close + 1 as close from bars),
 l as (select symbol, max(bar_day) as d from b where bar_day <= date '2024-01-28' group by 1 having max(bar_day) >= date '2024-01-27'), c as (select l.symbol, l.d, b.close from l join b on b.symbol = l.symbol and b.bar_day = l.d)
 select symbol, 'latest_close' as indicator, round(close, 6) as value from c
 union all select c.symbol, 'return_' || cast(n as varchar) || 'm', round(c.close / b.close - 1, 6) from c cross join (values (1440), (4320), (14400)) k(n) join b on b.symbol = c.symbol and b.bar_day = c.d - cast(n / 1440 as int)""")
 def bar_indicators(spark, sf):
-    b = view(spark, sf, "bars").filter("not (symbol = 'T3' and bar_day = date '2024-01-25')").select(
+    b = view(spark, sf, "bars").select(
         "symbol", F.col("bar_day").cast("timestamp").alias("bar_start"), (F.col("close") + 1).alias("close"), F.lit(1).alias("row_seq"))
     good, _ = bars.prepare(b)
     rows, _ = bars.indicators(good, F.lit("2024-01-29 12:00:00").cast("timestamp"), bar_seconds=86_400, max_staleness_seconds=200_000,

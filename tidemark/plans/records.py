@@ -27,14 +27,14 @@ def at() -> Column:
 # --- filings --------------------------------------------------------------------------------
 
 @query("S6 S7 F6 F7 F14", """with o as (select *, case o_orderkey % 5 when 0 then '8-K' when 1 then '4' when 2 then '4/A' when 3 then '10-Q' else '8-K/A' end as form,
-  case when o_orderkey % 7 = 0 then lpad(cast(o_orderkey as varchar), 18, '0') else '0000' || lpad(cast(o_custkey as varchar), 6, '0') || '-24-' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') end as acc from orders where o_custkey % 3 <> 0),
+  case when o_orderkey % 7 = 0 then lpad(cast(o_orderkey as varchar), 18, '0') else '0000' || lpad(cast(o_custkey as varchar), 6, '0') || '-24-' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') end as acc from orders),
 a as (select *, regexp_replace(replace(acc, '-', ''), '^(\\d{10})(\\d{2})(\\d{6})$', '\\1-\\2-\\3') as n from o where form <> '10-Q' and o_orderkey % 13 <> 0 and o_orderdate >= timestamp '1995-06-01')
 select o_custkey as custkey, n as accession_number, form as form_type, cast(cast(o_orderdate as date) as varchar) as filing_date,
   'https://www.sec.gov/Archives/edgar/data/' || cast(o_custkey as varchar) || '/' || replace(n, '-', '') || '/d' || cast(o_orderkey as varchar) || '.htm' as filing_url,
   epoch_us(o_orderdate + interval 14 hours) as acceptance_us from a where not (o_orderkey % 11 = 0)
 union all select o_custkey, n, form, cast(cast(o_orderdate as date) as varchar), 'https://www.sec.gov/Archives/edgar/data/' || cast(o_custkey as varchar) || '/' || replace(n, '-', '') || '/d' || cast(o_orderkey as varchar) || '.htm', -1 from a where o_orderkey % 11 = 0""")
 def filing_rows(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey % 3 <> 0")
+    o = table(spark, sf, "orders")
     key = F.col("o_orderkey")
     rows = o.select(
         "o_custkey", F.struct(

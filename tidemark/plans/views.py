@@ -47,7 +47,7 @@ from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from even
 from {_K}""",
     "observations": """select case o_orderpriority when '1-URGENT' then 'SHORT' when '2-HIGH' then 'MID' else 'LONG' end as series,
   cast(o_orderdate as date) as observation_date, max(o_totalprice) / 100000.0e0 as value
-from orders where o_orderpriority in ('1-URGENT','2-HIGH','3-MEDIUM') group by 1, 2""",
+from orders group by 1, 2""",
     "bars": """select concat('T', cast(user_id % 10 as string)) as symbol, cast(ts as date) as bar_day, max(value) as close, count(*) as n
 from events group by 1, 2""",
     "health_events": """select event_id, ts as event_time,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Session settings read by the library (all optional).
 MAX_ROWS_KEY = "tidemark.maxRowsPerTask"
-BROADCAST_ROWS_KEY = "tidemark.maxBroadcastRows"
 DEFAULT_MAX_ROWS = 1_000_000
-DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def get_session(app: str = "tidemark", master: str | None = None, shuffle: int | None = None,
@@ -62,14 +61,12 @@ def max_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(MAX_ROWS_KEY, str(DEFAULT_MAX_ROWS)))
 
 
-def max_broadcast_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_ROWS_KEY, str(DEFAULT_BROADCAST_ROWS)))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only when the session names none."""
+    """The cluster's shared folder.  A local session that names none gets a private one; a cluster must name it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -86,16 +83,6 @@ def stable(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Count at most bound + 1 rows; True when the side is small enough to ship whole."""
-    bound = max_broadcast_rows(df.sparkSession)
-    return df.limit(bound + 1).count() <= bound
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions for CPU-heavy row work when the input has fewer splits than cores.
-
-    A large input has many splits already and is left alone (no shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Partitions of even size for CPU-heavy row work, whatever the splits of the input."""
+    return df.hint("rebalance")

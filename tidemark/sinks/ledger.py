@@ -13,6 +13,8 @@ from tidemark.functions.times import to_utc_iso
 from tidemark.sinks.schemas import MONTHLY, schema, time_column
 
 PARTITION = "ledger_period"
+#: Folder of one micro-batch of a stream; a replay overwrites its own rows and no others.
+EPOCH = "ledger_epoch"
 SCHEMA_VERSION = "contracts_v1"
 DEAD_LETTER_VERSION = "questdb_emergency_jsonl_fallback_v1"
 
@@ -78,22 +80,26 @@ def split_valid(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return good, checked.filter(F.col("_error").isNotNull())
 
 
-def append(df: DataFrame, table: str, root: str, *, dead_letter_root: str | None = None) -> None:
+def append(df: DataFrame, table: str, root: str, *, dead_letter_root: str | None = None, epoch: int | None = None) -> None:
     """Append valid rows to ``root/table``; refused rows go to the dead letters (or raise).
 
+    With an ``epoch`` the rows replace what an earlier try of that micro-batch has written.
     The rebalance hint gives files of even size per period and splits a period that holds
     most rows.
     """
     good, refused = split_valid(conform(df, table), table)
     if dead_letter_root is not None:
-        write_dead_letters(refused, table, dead_letter_root)
+        write_dead_letters(refused, table, dead_letter_root, mode="append" if epoch is None else "overwrite")
     elif refused.limit(1).count():
         raise LedgerError(f"rows refused for {table}: {refused.select('_error').first()[0]}")
-    (good.withColumn(PARTITION, period(table, F.col(time_column(table)))).hint("rebalance", PARTITION)
-     .write.mode("append").partitionBy(PARTITION).parquet(f"{root}/{table}"))
+    out = good.withColumn(PARTITION, period(table, F.col(time_column(table)))).hint("rebalance", PARTITION).write.partitionBy(PARTITION)
+    if epoch is None:
+        out.mode("append").parquet(f"{root}/{table}")
+    else:
+        out.mode("overwrite").parquet(f"{root}/{table}/{EPOCH}={epoch}")
 
 
-def write_dead_letters(refused: DataFrame, table: str, root: str, *, source: str = "ledger") -> None:
+def write_dead_letters(refused: DataFrame, table: str, root: str, *, source: str = "ledger", mode: str = "append") -> None:
     """One JSON line per refused row, by UTC day of writing; nothing is lost silently."""
     payload = [f.name for f in schema(table)]
     id_column = next((c for c in payload if c.endswith("_id") and c not in ("run_id", "session_id")), payload[0])
@@ -106,7 +112,7 @@ def write_dead_letters(refused: DataFrame, table: str, root: str, *, source: str
         F.lit(source).alias("source"), F.coalesce(ticker, F.lit("UNKNOWN")).alias("ticker_or_sector"),
         F.create_map(F.lit("failure_code"), F.lit("ROW_REFUSED"), F.lit("failure_type"), F.col("_error")).alias("primary_write_failure"),
         F.to_json(F.struct(*payload)).alias("payload"), F.date_format(now, "yyyyMMdd").alias("day"))
-    out.write.mode("append").partitionBy("day").json(root)
+    out.write.mode(mode).partitionBy("day").json(root)
 
 
 def read(spark: SparkSession, table: str, root: str, *, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -119,7 +125,7 @@ def read(spark: SparkSession, table: str, root: str, *, since: str | None = None
         df = df.filter((F.col(PARTITION) >= since[:width]) & (at >= F.lit(since).cast("timestamp")))
     if until:
         df = df.filter((F.col(PARTITION) <= until[:width]) & (at <= F.lit(until).cast("timestamp")))
-    return df.drop(PARTITION)
+    return df.drop(PARTITION, EPOCH)
 
 
 def write_once(existing: DataFrame, new: DataFrame, *, key: list[str], payload: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -147,12 +153,20 @@ def log_decisions(decisions: DataFrame, root: str, *, strict: bool = False, writ
     except Exception as exc:  # noqa: BLE001 - the caller sees the failure per row
         if strict:
             raise
-        ok, error = False, f"{type(exc).__name__}: {str(exc)[:200]}"
+        ok, error = False, f"{type(exc).__name__}: {exc}"
     return decisions.select("risk_decision_id", F.lit(ok).alias("log_succeeded"), F.lit(error).cast("string").alias("log_error"))
 
 
 def stream_writer(table: str, root: str, dead_letter_root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function appending a stream to a ledger table."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        append(batch, table, root, dead_letter_root=dead_letter_root)
+    """``foreachBatch`` function appending a stream to a ledger table of its own.
+
+    The rows are kept for the two writes, so both see the same ones; a replayed micro-batch
+    replaces its rows and dead letters.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            append(batch, table, root, dead_letter_root=f"{dead_letter_root}/{EPOCH}={epoch}", epoch=epoch)
+        finally:
+            batch.unpersist()
     return write

@@ -50,8 +50,8 @@ _LINEAGE = ("raw_input_id source_document_id classification_request_id classific
             "source_uri source_locator document_hash raw_input_hash source_published_at source_updated_at collected_at normalized_at")
 _ENVELOPE = ("run_id", "session_id", "schema_version", "trace_id")
 _BOOLEAN = ("paper_trading", "approved", "exceeds_min_edge_threshold", "profitable_after_costs", "validation_outcome", "deduplicated", "fallback_written")
-_LONG = ("source_record_count", "provider_request_count", "retry_count", "bytes_written", "reconnect_count", "queue_depth", "ledger_write_errors",
-         "jsonl_fallback_count")
+_INT = ("source_record_count", "reconnect_count", "queue_depth", "ledger_write_errors", "jsonl_fallback_count")
+_LONG = ("provider_request_count", "retry_count", "bytes_written")
 _DOUBLE = ("confidence", "raw_score", "quantity", "midprice", "slippage", "realized_pnl", "reduce_size_factor", "proposed_size_factor",
            "missed_fill_probability", "return_1m", "return_5m", "return_15m", "max_favorable_excursion", "max_adverse_excursion")
 MONTHLY = ("bot_runs", "bot_sessions")
@@ -62,6 +62,8 @@ def column_type(name: str) -> T.DataType:
     """Type of a ledger column by its name."""
     if name in _BOOLEAN:
         return T.BooleanType()
+    if name in _INT:
+        return T.IntegerType()
     if name in _LONG:
         return T.LongType()
     if name in _DOUBLE or name.endswith(("_bps", "_price", "_ms", "_percent", "_seconds")):

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.market import observations
-from tidemark.operators.rolling import CAP, LOOKBACK_SECONDS, MEASURES
+from tidemark.operators.rolling import LOOKBACK_SECONDS, MEASURES
 
 _VALUES = ["price", "size", "bid_price", "ask_price", "bid_size", "ask_size", "mid_obs", "spread_obs"]
 _BUFFER = ["_t", "is_trade", "is_quote", *_VALUES]
@@ -66,7 +66,7 @@ def snapshot(w: dict[str, np.ndarray]) -> dict[str, float]:
     return out
 
 
-def live_features(records: DataFrame, *, arrival: str = "ingest_seq", lookback_seconds: int = LOOKBACK_SECONDS, cap: int = CAP,
+def live_features(records: DataFrame, *, arrival: str = "ingest_seq", lookback_seconds: int = LOOKBACK_SECONDS, cap: int | None = None,
                   key: str = "ticker") -> DataFrame:
     """Streaming (or batch) records to snapshots; ``snapshot_time`` is the largest time so far.
 
@@ -99,7 +99,9 @@ def live_features(records: DataFrame, *, arrival: str = "ingest_seq", lookback_s
             t = int(cols["_t"][at])
             newest = t if newest is None else max(newest, t)
             live = np.append(live, at)
-            live = live[cols["_t"][live] >= newest - lookback][-cap:]
+            live = live[cols["_t"][live] >= newest - lookback]
+            if cap is not None:
+                live = live[-cap:]
             out.append({key: k[0], arrival: rows[arrival].iloc[i], "max_time": newest, **snapshot({c: v[live] for c, v in cols.items()})})
         kept = pd.DataFrame({c: v[live] for c, v in cols.items()})
         state.update((newest, _pack(kept)))
