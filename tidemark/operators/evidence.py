@@ -260,25 +260,54 @@ class Policy:
         return spark.createDataFrame(rows, "ordinal int, rule_id string, policy_match_key string, action string, reason_code string, size_factor double")
 
 
-def winning_rules(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
-                  max_age_us: int, sliced: bool | None = None) -> DataFrame:
-    """(id, ordinal) of the first rule with selected evidence, by running counts instead of pairs."""
-    rules = policy.frame(decisions.sparkSession)
+def live_sums(decisions: DataFrame, evidence: DataFrame, *, id: str, at: str, max_age_us: int, value: Column,
+              ordinals: int = 1, sliced: bool | None = None) -> DataFrame:
+    """(id, ordinal, n, total): how many selected rows a decision has and the sum of their ``value`` (long).
+
+    A row counts from its start to its end, so both are running sums and no pairs are made.
+    ``evidence`` may have an ``ordinal`` (0 to ordinals - 1); only decisions with rows appear.
+    """
     usable = evidence.filter(F.col("policy_eligible") & F.col("available_at").isNotNull())
-    keyed = _keys(usable.join(F.broadcast(rules.select("ordinal", "policy_match_key")), "policy_match_key").withColumns(_window(max_age_us)))
+    if "ordinal" not in usable.columns:
+        usable = usable.withColumn("ordinal", F.lit(0))
+    keyed = _keys(usable.withColumn("_v", value.cast("decimal(38,0)")).withColumns(_window(max_age_us)))
+    weight = F.col("_weight").cast("decimal(38,0)")
     moves = keyed.select("scope", "target", "ordinal", F.explode(F.array(
-        F.struct(F.col("_from").alias("_t"), F.col("_weight").alias("_change")),
-        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), (-F.col("_weight")).alias("_change")))).alias("_m"))
-    moves = moves.select("scope", "target", "ordinal", "_m.*").groupBy("scope", "target", "ordinal", "_t").agg(F.sum("_change").alias("_change"))
-    ordinals = F.array(*[F.lit(i) for i in range(len(policy.rules))])
+        F.struct(F.col("_from").alias("_t"), weight.alias("_n"), (weight * F.col("_v")).cast("decimal(38,0)").alias("_s")),
+        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), (-weight).cast("decimal(38,0)").alias("_n"),
+                 (-weight * F.col("_v")).cast("decimal(38,0)").alias("_s")))).alias("_m"))
+    moves = moves.select("scope", "target", "ordinal", "_m.*").groupBy("scope", "target", "ordinal", "_t").agg(
+        *[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("_n", "_s")])
     probes = _decision_keys(decisions.select(id, "ticker", "sector", micros(at).alias("_t"))).select(
-        "scope", "target", F.explode(ordinals).alias("ordinal"), "_t", id)
+        "scope", "target", F.explode(F.array(*[F.lit(i) for i in range(ordinals)])).alias("ordinal"), "_t", id)
+    zero = F.lit(0).cast("decimal(38,0)")
     timeline = moves.withColumns({"_kind": F.lit(0), id: F.lit(None).cast(decisions.schema[id].dataType)}).unionByName(
-        probes.withColumns({"_kind": F.lit(1), "_change": F.lit(0).cast("long")}))
+        probes.withColumns({"_kind": F.lit(1), "_n": zero, "_s": zero}))
     live = OrderedScan(timeline, ["scope", "target", "ordinal"], ["_t", "_kind", id], sliced=sliced).running(
-        Running("_live", "sum", F.col("_change"))).result()
-    per = live.filter((F.col("_kind") == 1) & (F.col("_live") != 0)).groupBy(id, "ordinal").agg(F.sum("_live").alias("n"))
-    return per.filter("n > 0").groupBy(id).agg(F.min("ordinal").alias("ordinal"))
+        Running("_live", "sum", F.col("_n")), Running("_total", "sum", F.col("_s"))).result()
+    per = live.filter(F.col("_kind") == 1).groupBy(id, "ordinal").agg(F.sum("_live").cast("long").alias("n"), F.sum("_total").cast("long").alias("total"))
+    return per.filter("n > 0")
+
+
+def winning_rules(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
+                  max_age_us: int, value: Column | None = None, sliced: bool | None = None) -> DataFrame:
+    """(id, ordinal, n, total) of the first rule with selected evidence, by running counts instead of pairs."""
+    rules = policy.frame(decisions.sparkSession).select("ordinal", "policy_match_key")
+    per = live_sums(decisions, evidence.join(F.broadcast(rules), "policy_match_key"), id=id, at=at, max_age_us=max_age_us,
+                    value=F.lit(0) if value is None else value, ordinals=len(policy.rules), sliced=sliced)
+    first = per.groupBy(id).agg(F.min("ordinal").alias("ordinal"))
+    return per.join(first, [id, "ordinal"])
+
+
+def summarize(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
+              max_age_us: int, value: Column) -> DataFrame:
+    """Hypothetical action per decision with the number of matched rows and the sum of their ``value``; no pairs."""
+    won = winning_rules(decisions, evidence, policy, id=id, at=at, max_age_us=max_age_us, value=value)
+    heads = policy.frame(decisions.sparkSession).select("ordinal", "action", "reason_code", "size_factor").dropDuplicates(["ordinal"])
+    out = decisions.join(won.join(F.broadcast(heads), "ordinal"), id, "left")
+    return out.select(*decisions.columns, F.coalesce("action", F.lit("NO_CHANGE")).alias("hypothetical_action"),
+                      F.col("size_factor").alias("proposed_size_factor"), F.array_compact(F.array("reason_code")).alias("reason_codes"),
+                      F.coalesce("n", F.lit(0)).alias("matched_rows"), F.coalesce("total", F.lit(0)).alias("matched_total"))
 
 
 def evaluate(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
@@ -290,7 +319,7 @@ def evaluate(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: s
     """
     rules = policy.frame(decisions.sparkSession)
     key_rule = rules.select("ordinal", "policy_match_key")
-    won = winning_rules(decisions, evidence, policy, id=id, at=at, max_age_us=max_age_us)
+    won = winning_rules(decisions, evidence, policy, id=id, at=at, max_age_us=max_age_us).select(id, "ordinal")
     probes = decisions.select(id, "ticker", "sector", at).join(won, id)
     hits = select(probes, evidence.join(F.broadcast(key_rule), "policy_match_key"), at=at, max_age_us=max_age_us, on=["ordinal"])
     item = F.struct("evidence_available_at", "category", "source", "source_record_id", "evidence_id")

@@ -188,6 +188,7 @@ def evidence_rows(spark, sf) -> DataFrame:
 
 
 _AGE = 3 * 86_400_000_000
+_NUMBER = "cast(substring(evidence_id, 2) as bigint)"
 _EV = with_views("model_signals", "evidence") + f""", {_DEC},
 e as (select *, case when scope = 'TICKER' and k % 3 = 1 then 'G1' end as sec from evidence)"""
 _REASON = f"""case when not e.policy_eligible then 'ineligible' when e.available_at is null then 'missing'
@@ -203,9 +204,11 @@ def evidence_select(spark, sf):
     return ev.exclusion_counts(decisions(spark, sf), evidence_rows(spark, sf), max_age_us=_AGE)
 
 
-@query("J9 P31 T2", _EV + f""" select d.decision_id, e.evidence_id from d join e on {_REASON} is null""")
+@query("J9 P31 T2", _EV + f""" select d.decision_id, count(*) as n_selected, cast(sum(cast(substr(e.evidence_id, 2) as bigint)) as bigint) as id_sum from d join e on {_REASON} is null group by 1""")
 def evidence_pairs(spark, sf):
-    return ev.select(decisions(spark, sf), evidence_rows(spark, sf), max_age_us=_AGE).select("decision_id", "evidence_id")
+    """The selection as a count and a sum of ids per decision: the pairs themselves grow with the square of the tables."""
+    sums = ev.live_sums(decisions(spark, sf), evidence_rows(spark, sf), id="decision_id", at="evaluation_time", max_age_us=_AGE, value=F.expr(_NUMBER))
+    return sums.select("decision_id", F.col("n").alias("n_selected"), F.col("total").alias("id_sum"))
 
 
 _POLICY = ev.Policy((ev.Rule("halt", ("FLAG_TYPE:K3",), "BLOCK", "k3_seen"), ev.Rule("trim", ("FLAG_TYPE:K1", "FLAG_TYPE:K4"), "REDUCE_SIZE", "k1_k4", 0.25),
@@ -215,13 +218,13 @@ _POLICY = ev.Policy((ev.Rule("halt", ("FLAG_TYPE:K3",), "BLOCK", "k3_seen"), ev.
 @query("J22 E2 F4", _EV + f""", s as (select d.decision_id, e.evidence_id, e.available_at, case e.policy_match_key when 'FLAG_TYPE:K3' then 0 when 'FLAG_TYPE:K1' then 1 when 'FLAG_TYPE:K4' then 1 when 'FLAG_TYPE:K2' then 2 end as o
   from d join e on {_REASON} is null and e.policy_match_key in ('FLAG_TYPE:K1', 'FLAG_TYPE:K2', 'FLAG_TYPE:K3', 'FLAG_TYPE:K4')),
 w as (select decision_id, min(o) as o from s group by 1),
-i as (select s.decision_id, s.o, string_agg(evidence_id, ',' order by available_at, evidence_id) as ids from s join w using (decision_id, o) group by 1, 2)
+i as (select s.decision_id, s.o, count(*) as n, cast(sum(cast(substr(evidence_id, 2) as bigint)) as bigint) as total from s join w using (decision_id, o) group by 1, 2)
 select d.decision_id, case o when 0 then 'BLOCK' when 1 then 'REDUCE_SIZE' when 2 then 'WARN_ONLY' else 'NO_CHANGE' end as hypothetical_action, case o when 1 then 0.25e0 end as proposed_size_factor,
-  coalesce(case o when 0 then 'k3_seen' when 1 then 'k1_k4' when 2 then 'k2_seen' end, '') as reason_codes, coalesce(ids, '') as flag_ids from d left join i using (decision_id)""")
+  coalesce(case o when 0 then 'k3_seen' when 1 then 'k1_k4' when 2 then 'k2_seen' end, '') as reason_codes, coalesce(n, 0) as matched_rows, coalesce(total, 0) as matched_ids from d left join i using (decision_id)""")
 def shadow_policy(spark, sf):
-    out = ev.evaluate(decisions(spark, sf), evidence_rows(spark, sf), _POLICY, max_age_us=_AGE)
+    out = ev.summarize(decisions(spark, sf), evidence_rows(spark, sf), _POLICY, max_age_us=_AGE, value=F.expr(_NUMBER))
     return out.select("decision_id", "hypothetical_action", "proposed_size_factor", F.array_join("reason_codes", ",").alias("reason_codes"),
-                      F.array_join("matched_context_flag_ids", ",").alias("flag_ids"))
+                      "matched_rows", F.col("matched_total").alias("matched_ids"))
 
 
 @query("A15 A16 J18 U4", with_views("evidence") + """, e as (select *, 'R' || cast(k as string) as rec, case when k % 11 = 0 then 'eia_wpsr_v1' else 'desk_flags' end as src from evidence)

@@ -35,7 +35,7 @@ from lineitem""",
   case when k % 4 = 3 then 'GLOBAL' else 'TICKER' end as scope,
   case when k % 4 = 3 then '*' else concat('T', cast(user_id % 10 as string)) end as scope_target,
   concat('FLAG_TYPE:K', cast(k % 5 as string)) as policy_match_key, k % 13 <> 0 as policy_eligible, k
-from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events where event_type = 'error') e""",
+from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events) e""",
     "context_updates": f"""select event_id as arrival_seq,
   case user_id % 3 when 0 then 'GLOBAL' when 1 then 'TICKER' else 'SECTOR' end as scope,
   case when user_id % 3 = 0 then '*' when user_id % 3 = 1 then concat('T', cast(user_id % 10 as string)) else concat('G', cast(user_id % 4 as string)) end as target,
