@@ -53,6 +53,8 @@ def test_near_lines_share_an_entry_and_look_alike(a, edits):
     x, y = key[name == 0], key[name == 1]
     assert set(x[own[name == 0]].tolist()) & set(y.tolist()) if len(b) >= len(a) else set(y[own[name == 1]].tolist()) & set(x.tolist())
     assert np.bitwise_count(bits[name == 0][0] ^ bits[name == 1][0]) <= 4 * ld.TAU
+    signs = ld.signatures([a, b])
+    assert sum(int(np.bitwise_count(s.view(np.uint64)[0] ^ s.view(np.uint64)[1])) for s in signs) <= 4 * ld.TAU
 
 
 def expected(rows, whole_from=None):
@@ -114,9 +116,9 @@ def test_against_all_pairs(spark):
         texts = {(d, len((t or "").split("\n")), tuple(want[(d, t or "")])) for d, t in rows}
         assert {(r.doc_id, r.n_lines, tuple(r.removed)) for r in got} == texts
         assert sum(map(len, want.values())) > 20
-    kept = ld.without_repeated_lines(docs).collect()
+    kept, want = ld.without_repeated_lines(docs).collect(), expected(rows)
     assert len(kept) == len(rows)
-    assert {(r.doc_id, r.text) for r in kept} == {(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expected(rows)[(d, t)])) for d, t in rows}
+    assert {(r.doc_id, r.text) for r in kept} == {(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[(d, t)])) for d, t in rows}
     assert ld.repeated_lines(docs.limit(0)).count() == 0
 
 

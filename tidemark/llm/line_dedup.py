@@ -10,7 +10,7 @@ by a banded bit-parallel edit distance.
 Lines are named by 64-bit hashes; the entries travel to buckets of the key as packed arrays.  Lines
 that occur word for word more than once in a block are sent once.  In a bucket, every line is
 paired with the first line that looks like it, so a group of lines is a star; a second round
-verifies pairs of different components that met and were not verified.  Texts are fetched only for
+verifies pairs of different components that met, were not verified and have like fine signatures.  Texts are fetched only for
 lines that met a similar one.
 """
 
@@ -32,6 +32,8 @@ TAU = 2
 #: Shorter lines (white space around a line does not count) are never repeats.
 LEAST = 20
 BLOCK = 2_000_000
+#: Words of the fine signature that the second round compares.
+SIGN = 4
 BUCKET_BYTES = 8_000_000
 #: Bits of the fixed-size filter of line hashes whose texts are fetched; only rows, never results, depend on it.
 FILTER_BITS = 1 << 24
@@ -91,13 +93,27 @@ def windows(tau: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _pairs_of(chars: np.ndarray) -> np.ndarray:
+    """A hash of each character and the one after it."""
+    return (chars[:-1].astype(np.uint64) * U(BASE) + chars[1:].astype(np.uint64) * MIX_1) * U(BASE)
+
+
+def _parities(bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    edges = np.column_stack([start, end - 1]).reshape(-1)
+    return np.bitwise_xor.reduceat(np.append(bits, bits.dtype.type(0)), edges)[::2] if len(edges) else bits[:0]
+
+
 def pair_bits(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """32 parities of the hashed character pairs of each range (at least two characters long)."""
-    both = chars[:-1].astype(np.uint64) * U(BASE) + chars[1:].astype(np.uint64) * MIX_1
-    bits = np.zeros(len(chars), np.uint32)
-    bits[:-1] = np.uint32(1) << ((both * U(BASE)) >> U(59)).astype(np.uint32)
-    edges = np.column_stack([start, end - 1]).reshape(-1)
-    return np.bitwise_xor.reduceat(bits, edges)[::2] if len(edges) else np.zeros(0, np.uint32)
+    return _parities(np.uint32(1) << (_pairs_of(chars) >> U(59)).astype(np.uint32), start, end)
+
+
+def signatures(texts: list[str]) -> list[np.ndarray]:
+    """256 parities of the character pairs of each line, as four words."""
+    lines = Lines(texts)
+    where = _pairs_of(lines.chars) >> U(56)
+    end = lines.first + lines.sizes
+    return [_parities(np.where(where >> U(6) == U(w), U(1) << (where & U(63)), U(0)), lines.first, end).view(np.int64) for w in range(SIGN)]
 
 
 def entries(lines: Lines, which: np.ndarray, names: np.ndarray, sums: CharSums, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +170,7 @@ PACKED_DDL = "bucket long, keys binary, names binary, bits binary, own binary"
 
 def _bucket(tau: int):
     def run(table: pa.Table) -> pa.Table:
-        """Lines pass through; entries become pairs (kind 2: h1, h2) and meetings (kind 3: key in n, line in h1, parities in h2)."""
+        """Lines pass through; entries become pairs (kind 2: h1, h2) and meetings (kind 3: key in n, line in h1)."""
         if table.column("bucket")[0].as_py() < 0:
             cols = np.concatenate([np.frombuffer(k, "<i8").reshape(-1, 7) for k in table.column("keys").to_pylist()])
             return _rows(cols)
@@ -179,7 +195,7 @@ def _bucket(tau: int):
         zero, none = np.zeros(len(led), np.int64), np.zeros(len(met), np.int64)
         return _rows(np.concatenate([
             np.column_stack([zero + 2, zero, zero, zero, name[lead[led]].view(np.int64), name[led].view(np.int64), zero]),
-            np.column_stack([none + 3, none, none, none, name[met].view(np.int64), bits[met].astype(np.int64), key[met].view(np.int64)])]))
+            np.column_stack([none + 3, none, none, none, name[met].view(np.int64), none, key[met].view(np.int64)])]))
     return run
 
 
@@ -283,6 +299,16 @@ def _texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "h1 long, text string")
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = b.column(1).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in lines], pa.int64()), *map(pa.array, signatures(lines))],
+                                                 names=["h1", "text", "n", *(f"s{w}" for w in range(SIGN))])
+    return texts.mapInArrow(run, "h1 long, text string, n long, " + ", ".join(f"s{w} long" for w in range(SIGN)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,16 +327,18 @@ def line_rows(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
     buckets = max(2 * partitions, -(-bytes_of(docs) // BUCKET_BYTES))
     rows = stable(docs.mapInArrow(_lines(tau, buckets), PACKED_DDL).groupBy("bucket").applyInArrow(_bucket(tau), LINES_DDL), "lines")
     pairs = stable(rows.where("kind = 2").select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct(), "line-pairs")
-    met = rows.where("kind = 3").select("h1", F.col("h2").alias("bits"), F.col("n").alias("key"))
-    texts = stable(_texts(docs, _filter(met.select("h1"))).join(met.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1"]), "line-texts")
+    met = rows.where("kind = 3").select("h1", F.col("n").alias("key"))
+    known = _texts(docs, _filter(met.select("h1"))).join(met.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1"])
+    texts = stable(_signed(known), "line-texts")
     links = stable(_verified(pairs, texts, tau), "line-links")
     group = components(links)
     named = met.join(group.withColumnRenamed("node", "h1"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stable(named.join(mixed, "key", "left_semi"), "line-meetings")
+    left = stable(named.join(mixed, "key", "left_semi").join(texts.drop("text"), "h1"), "line-meetings")
+    apart = sum((F.bit_count(F.col(f"x.s{w}").bitwiseXOR(F.col(f"y.s{w}"))) for w in range(SIGN)), F.lit(0))
     again = (left.alias("x").join(left.alias("y"), "key")
              .where((F.col("x.h1") < F.col("y.h1")) & (F.col("x.component") != F.col("y.component"))
-                    & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * tau))
+                    & (F.abs(F.col("x.n") - F.col("y.n")) <= tau) & (apart <= 4 * tau))
              .select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = stable(_verified(again, texts, tau), "line-links")
     if not more.isEmpty():
