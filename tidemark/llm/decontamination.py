@@ -29,6 +29,8 @@ Q, RATE = 10, 0.08
 ITEM_CHARS = 2_000_000
 TABLE_BITS = 22
 NEVER = 0xFFFFFFFF
+#: Alignments that go in step.
+GROUP = 128
 MATCHES = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
@@ -109,48 +111,70 @@ def candidates(index: Index, texts: list[np.ndarray], q: int) -> list[tuple[int,
     return [(int(p) // len(index.items), int(i), int(b) * int(index.budget[i] + 1)) for p, i, b in zip(keys[good, 0], item[good], keys[good, 1])]
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, wide: int, anchored: bool = False) -> tuple[int, int]:
-    """Least edits of the whole item in the text on ``wide`` diagonals from ``low``, and where it ends.
+def align(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, wide: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each whole item in its text on ``wide`` diagonals from ``low``, and where it ends.
 
-    The start in the text is free, or at its first character if ``anchored``.
+    The start in the text is free, or at its first character if ``anchored``.  All pairs go through
+    the characters of their items in step; a row of the band is one array over all diagonals.
     """
-    m, steps = len(item), np.arange(wide)
-    padded = np.full(m + wide + 2, NEVER, np.uint32)
-    a, b = max(0, low), min(len(text), low + m + wide + 1)
-    if b > a:
-        padded[a - low:b - low] = text[a:b]
-    far = m + wide + len(text) + 1
-    row = np.where((low + steps >= 0) & (low + steps <= len(text)), np.where(anchored, low + steps, 0), far)
-    for i in range(1, m + 1):
-        end = low + i + steps  # characters of the text used so far, on each diagonal
-        swap = row + (padded[i - 1:i - 1 + wide] != item[i - 1])
-        skip = np.append(row[1:], far) + 1
-        best = np.minimum(np.where(end >= 1, swap, far), skip)
-        best = np.where((end >= 0) & (end <= len(text)), best, far)
-        row = np.minimum.accumulate(best - steps) + steps
-        row = np.where((end >= 0) & (end <= len(text)), row, far)
-    at = int(np.argmin(row))
-    return int(row[at]), low + m + at
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (items, texts))
+    longest, width = int(m.max()), int(wide.max())
+    pattern = np.full((len(items), longest), NEVER - 1, np.uint32)
+    window = np.full((len(items), longest + width + 1), NEVER, np.uint32)
+    for c, (item, text) in enumerate(zip(items, texts)):
+        pattern[c, :len(item)] = item
+        a, b = max(0, int(low[c])), min(len(text), int(low[c]) + window.shape[1])
+        if b > a:
+            window[c, a - low[c]:b - low[c]] = text[a:b]
+    steps, far = np.arange(width, dtype=np.int32), np.int32(1 << 28)
+    first, size, inside = low[:, None].astype(np.int32), n[:, None].astype(np.int32), steps < wide[:, None]
+    at = first + steps  # characters of the text used so far, on each diagonal
+    row = np.where(inside & (at >= 0) & (at <= size), at if anchored else np.int32(0), far).astype(np.int32)
+    for i in range(1, longest + 1):
+        at = first + (steps + np.int32(i))
+        ok = inside & (at >= 0) & (at <= size)
+        best = np.where(at >= 1, row + (window[:, i - 1:i - 1 + width] != pattern[:, i - 1:i]), far)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        best[:, -1] = np.minimum(best[:, -1], far)
+        best = np.where(ok, best, far) - steps
+        now = np.where(ok, np.minimum.accumulate(best, axis=1) + steps, far)
+        row = np.where((i <= m)[:, None], now, row).astype(np.int32)
+    at = row.argmin(axis=1)
+    return row[np.arange(len(items)), at].astype(np.int64), low + m + at
+
+
+def _aligned(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, wide: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` in groups of items of like length."""
+    edits, ends = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    order = np.argsort([len(x) for x in items], kind="stable")
+    for g in np.split(order, np.arange(GROUP, len(order), GROUP)):
+        if len(g):
+            edits[g], ends[g] = align([items[i] for i in g], [texts[i] for i in g], low[g], wide[g], anchored)
+    return edits, ends
 
 
 def matches(index: Index, texts: list[str | None], q: int) -> list[list[dict]]:
     """Verified occurrences in each text; overlapping ones of an item count once, the one with fewest edits."""
     chars = [folded(t or "") for t in texts]
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for t, i, low in candidates(index, chars, q):
-        e, item, text = int(index.budget[i]), index.items[i], chars[t]
-        edits, end = align(item, text, low - e, 2 * (e + 1) + 2 * e)
-        if edits <= e:
-            back = text[max(0, end - len(item) - e):end][::-1]
-            _, size = align(item[::-1], back, -e, 2 * e + 1, anchored=True)
-            found.setdefault((t, i), []).append((edits, end - size, end))
+    tried = candidates(index, chars, q)
+    e = np.array([index.budget[i] for _, i, _ in tried], np.int64)
+    low = np.array([x for _, _, x in tried], np.int64)
+    edits, ends = _aligned([index.items[i] for _, i, _ in tried], [chars[t] for t, _, _ in tried], low - e, 4 * e + 2)
+    # the start: the same from the end backwards
+    hits = np.flatnonzero(edits <= e)
+    items = [index.items[tried[h][1]] for h in hits]
+    back = [chars[tried[h][0]][max(0, int(ends[h]) - len(x) - int(e[h])):int(ends[h])][::-1] for h, x in zip(hits, items)]
+    _, sizes = _aligned([x[::-1] for x in items], back, -e[hits], 2 * e[hits] + 1, anchored=True)
+    for h, size in zip(hits.tolist(), sizes.tolist()):
+        found.setdefault(tried[h][:2], []).append((int(edits[h]), int(ends[h]) - size, int(ends[h])))
     out: list[list[dict]] = [[] for _ in texts]
     for (t, i), spans in found.items():
         kept: list[tuple[int, int, int]] = []
-        for edits, a, b in sorted(spans):
+        for fewest, a, b in sorted(spans):
             if all(b <= c or a >= d for _, c, d in kept):
-                kept.append((edits, a, b))
-        out[t] += [{"item_id": index.ids[i], "start": a, "end": b, "edits": e} for e, a, b in kept]
+                kept.append((fewest, a, b))
+        out[t] += [{"item_id": index.ids[i], "start": a, "end": b, "edits": fewest} for fewest, a, b in kept]
     return [sorted(m, key=lambda x: (x["start"], x["item_id"] is not None, x["item_id"] or 0)) for m in out]
 
 
