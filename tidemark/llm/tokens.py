@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -62,6 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
+        self.bare = Tokenizer.from_file(self.path)
+        if self.cuts.lower:
+            self.bare.normalizer = None  # for pieces that it would not change
         self.find = re.compile(self.cuts.pattern).findall
         ids = self._ids([self.cuts.mark])[0]
         self.mark_id = int(ids[0]) if len(ids) == 1 else None
@@ -74,8 +78,13 @@ class Encoder:
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
+        tokenizer = self.bare if bare else self.tokenizer
+        return [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _settled(self, piece: str) -> bool:
+        """The normalizer would leave the piece as it is."""
+        return piece == piece.lower() and is_normalized("NFC", piece)
 
     def _learn(self) -> None:
         """Ids of the new pieces: many in one text, parted by a mark; those that may not be joined, alone."""
@@ -85,16 +94,19 @@ class Encoder:
         alone = [i for i, p in enumerate(new) if self.mark_id is None or self.cuts.mark in p or p.isspace() or UNSURE.search(p)]
         odd = set(alone)
         rest = [i for i in range(len(new)) if i not in odd] if odd else list(range(len(new)))
-        groups = [rest[k:k + 1000] for k in range(0, len(rest), 1000)]
+        easy = [i for i in rest if self._settled(new[i])] if self.cuts.lower else rest
+        hard = sorted(set(rest).difference(easy)) if self.cuts.lower else []
         flats, order, sizes = [], [], []
-        for group, got in zip(groups, self._ids([self.cuts.separator.join([new[i] for i in g]) for g in groups])):
-            marks = np.flatnonzero(got == self.mark_id)
-            if len(marks) != len(group) - 1:
-                alone += group
-                continue
-            flats.append(got[got != self.mark_id])
-            order += group
-            sizes.append(np.diff(marks, prepend=-1, append=len(got)) - 1)
+        for some, bare in ((easy, True), (hard, False)):
+            groups = [some[k:k + 500] for k in range(0, len(some), 500)]
+            for group, got in zip(groups, self._ids([self.cuts.separator.join([new[i] for i in g]) for g in groups], bare)):
+                marks = np.flatnonzero(got == self.mark_id)
+                if len(marks) != len(group) - 1:
+                    alone += group
+                    continue
+                flats.append(got[got != self.mark_id])
+                order += group
+                sizes.append(np.diff(marks, prepend=-1, append=len(got)) - 1)
         singles = self._ids([new[i] for i in alone])
         flat = np.concatenate([*flats, *singles])
         sizes = np.concatenate([*sizes, np.fromiter(map(len, singles), np.int64, len(singles))]).astype(np.int64)
@@ -112,8 +124,8 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         if UNSURE.search(text):
             return [text]
-        if self.cuts.lower and "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
-            text = low  # what the tokenizer itself would do next
+        if self.cuts.lower and (text.isascii() or ("Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", text.lower()))):
+            text = text.lower()  # what the tokenizer itself would do next
         return self.find(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +133,10 @@ class Encoder:
         if len(self.numbers) > MAX_PIECES:
             self._clear()
         number = self.numbers.__getitem__
-        rows = [list(map(number, self._cut(t))) for t in texts]
+        cut = [self._cut(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        pieces = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         self._learn()
-        pieces = np.fromiter((n for r in rows for n in r), np.int64)
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
         sizes = self.sizes[pieces]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
