@@ -14,7 +14,7 @@ from tidemark.session import utc
 #: Characters of text that one Python block handles at a time; bounds the memory of a task.
 BLOCK_CHARS = 4_000_000
 #: The same where rows are passed through.
-ROW_CHARS = 1_000_000
+ROW_CHARS = 500_000
 
 
 def ready(df: DataFrame) -> DataFrame:

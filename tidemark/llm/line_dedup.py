@@ -31,7 +31,7 @@ from tidemark.session import stable
 TAU = 2
 #: Shorter lines (white space around a line does not count) are never repeats.
 LEAST = 20
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Words of the fine signature that the second round compares.
 SIGN = 4
 BUCKET_BYTES = 8_000_000

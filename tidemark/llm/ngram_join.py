@@ -35,7 +35,7 @@ from tidemark.llm.kernels import MIX_2, U, mix, words
 from tidemark.session import stable
 
 WORDS, PERCENT = 5, 75
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 #: Text bytes for each bucket of hashes; a bucket is counted in memory by one task at a time.
 BUCKET_BYTES = 16_000_000
 LOW = -(1 << 63)

@@ -18,7 +18,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Pieces kept by a worker before its dictionary starts anew; bounds memory, not results.
-MAX_PIECES = 800_000
+MAX_PIECES = 400_000
 #: White space to Python alone, or the start of a special-token string.
 UNSURE = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -63,8 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.bare = Tokenizer.from_file(self.path)
+        self.bare = self.tokenizer
         if self.cuts.lower:
+            self.bare = Tokenizer.from_file(self.path)
             self.bare.normalizer = None  # for pieces that it would not change
         self.find = re.compile(self.cuts.pattern).findall
         ids = self._ids([self.cuts.mark])[0]
