@@ -12,8 +12,8 @@ from tidemark.llm.common import read
 from tidemark.llm.queries import tokenizer_path
 from tidemark.session import stable, utc
 
-#: A document that would lose this share of its lines' characters is a copy; the stage after it decides on copies.
-COPY_FROM = 0.5
+#: No share of lost characters exempts a document: the n-gram stage decides on copies at its own threshold only.
+COPY_FROM = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,11 @@ def test_stages_without_rows_and_with_odd_ones(spark):
             docs = stable(stage(spark, docs, SF_DIR), "test-odd")
             assert docs.columns == odd.columns
         stable(cp.STAGES[-1][1](spark, docs, SF_DIR), "test-odd").count()
+
+
+def test_a_document_of_common_lines_loses_them(spark):
+    a, b, c, d = (f"line {w} that stands in more than one document" for w in ("alpha", "bravo", "charlie", "delta"))
+    rows = [(1, f"{a}\n{b}\nonly the first document says this"), (2, f"{a}\n{b}\n{c}\nand this is said by the second"), (3, f"{d}\n{c}"), (4, f"{b}\n{d}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in cp.without_repeated_lines(spark, docs, SF_DIR).collect()}
+    assert got == {1: rows[0][1], 2: f"{c}\nand this is said by the second", 3: d, 4: ""}
