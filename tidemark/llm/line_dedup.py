@@ -11,7 +11,8 @@ Lines are named by 64-bit hashes; the entries travel to buckets of the key as pa
 that occur word for word more than once in a block are sent once.  In a bucket, every line is
 paired with the first line that looks like it, so a group of lines is a star; a second round
 verifies pairs of different components that met, were not verified and have like fine signatures.  Texts are fetched only for
-lines that met a similar one.
+lines that met a similar one.  Short lines, where two edits can make another word, have no entries
+and are one class only if they are equal.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tidemark.llm.kernels import BASE, INVERSE, MIX_1, U, mix, powers
 from tidemark.session import stable
 
 TAU = 2
-#: Shorter lines (white space around a line does not count) are never repeats.
+#: Shorter lines (white space around a line does not count) have an edit budget of 0: only equal ones are repeats.
 LEAST = 20
 BLOCK = 1_000_000
 #: Words of the fine signature that the second round compares.
@@ -144,7 +145,7 @@ def _lines(tau: int, buckets: int):
             one, two = lines.hashes(3), lines.hashes(29)
             docs = np.array([LOW if i is None else i for i in ids], np.int64)
             whole = one.of(lines.first, lines.first + lines.sizes).view(np.int64)
-            use = np.flatnonzero(lines.end - lines.start >= LEAST)
+            use = np.flatnonzero(lines.end > lines.start)
             h1, h2 = one.of(lines.start[use], lines.end[use]), two.of(lines.start[use], lines.end[use])
             who = lines.owner[use]
             chars = np.bincount(who, (lines.end - lines.start)[use], len(texts)).astype("<i8")
@@ -153,6 +154,7 @@ def _lines(tau: int, buckets: int):
                 np.column_stack([np.zeros(len(use), np.int64), docs[who], whole[who], lines.number[use], h1.view(np.int64), h2.view(np.int64), (lines.end - lines.start)[use]]),
                 np.column_stack([np.ones(len(texts), np.int64), docs, whole, np.full(len(texts), -1), lines.count, np.zeros(len(texts), np.int64), chars])])
             _, lead = np.unique(h1, return_index=True)
+            lead = lead[(lines.end - lines.start)[use[lead]] >= LEAST]
             key, name, bits, own = entries(lines, use[lead], h1[lead], one, tau)
             bucket = (key >> U(31)) % U(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -349,9 +351,9 @@ def line_rows(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
 def repeated_lines(docs: DataFrame, tau: int = TAU, whole_from: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines, n_removed, removed (sorted line numbers from 0).
 
-    Lines are parted by line feeds; white space around a line does not count, nor do lines shorter
-    than LEAST characters.  Lines within ``tau`` edits of each other, directly or through others,
-    are one class; its first line in order of (doc_id, text hash, line number) stays and the
+    Lines are parted by line feeds; white space around a line does not count, nor do empty lines.
+    Equal lines, and lines of LEAST characters or more within ``tau`` edits of each other, directly
+    or through others, are one class; its first line in order of (doc_id, text hash, line number) stays and the
     others are removed.  NULL ids come first.  With ``whole_from``, a document that would lose
     that share of the characters of its lines is a copy rather than a host of common lines, and
     nothing is removed from it.  A NULL text is an empty one, which has one empty line.  Rows with the
