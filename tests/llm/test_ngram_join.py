@@ -84,3 +84,22 @@ def test_components(spark):
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == closure({v for e in real for v in e}, real)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_row_without_id_does_not_take_the_links_of_its_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (2, text), (3, text), (1, near), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in nj.similar_documents(docs).collect()}
+    assert got == {(None, None), (1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(map(tuple, nj.one_of_each(docs).collect()), key=str) == sorted([(None, text), (1, near), (4, other)], key=str)
+
+
+def test_rows_of_one_id_go_only_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (5, near), (5, other), (5, other), (6, "one more text"), (6, "and a third one"), (7, None), (7, ""), (None, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.text or "") for r in nj.one_of_each(docs).collect()], key=str)
+    assert got == sorted([(1, text), (5, other), (6, "one more text"), (6, "and a third one"), (7, ""), (None, near)], key=str)

@@ -93,10 +93,11 @@ def _packed(blocks: Iterator[tuple[list, list]], n: int, buckets: int) -> Iterat
         for total, salt in zip(sums, (U(0x51), U(0xA7))):
             running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + salt))])
             total[:] = running[edges[1:]] - running[edges[:-1]]
-        # of equal sets in a block only the first sends its n-grams
-        _, lead = np.unique(np.column_stack([counts.astype(np.uint64), *sums]), axis=0, return_index=True)
+        # of equal sets in a block only the first sends its n-grams, one with an id if there is any
+        known_first = np.argsort([i is None for i in ids], kind="stable")
+        _, lead = np.unique(np.column_stack([counts.astype(np.uint64), *sums])[known_first], axis=0, return_index=True)
         leads = np.zeros(len(texts), bool)
-        leads[lead] = True
+        leads[known_first[lead]] = True
         use = leads[owner]
         values, owner = values[use], owner[use]
         bucket = (values >> U(33)) % U(buckets)
@@ -289,11 +290,18 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with the document of the smallest id of every group.
 
-    Of rows with one id, one stays; rows with a NULL id stay.
+    A document is an id and a text here: texts of one id are dropped only if they are linked, and of
+    rows with the same id and text one stays.  Rows with a NULL id stay.
     """
-    losers = (similar_documents(docs, n, percent).where(F.col("doc_id") != F.col("component_id"))
-              .select(F.col("doc_id").alias("_loser")).distinct())
     rows = Positional(docs)
-    key = F.col(rows.id).cast("long")
-    kept = rows.df.where(F.col(rows.id).isNotNull()).join(losers, key == F.col("_loser"), "left_anti").dropDuplicates([rows.id])
-    return rows.restore(kept.unionByName(rows.df.where(F.col(rows.id).isNull())))
+    key = F.when(F.col(rows.id).isNotNull(), F.xxhash64(F.col(rows.id).cast("long"), F.coalesce(F.col(rows.text).cast("string"), F.lit(""))))
+    keyed = rows.df.withColumn("_key", key)
+    ids = keyed.where("_key is not null").select("_key", F.col(rows.id).cast("long").alias("_id")).distinct()
+    groups = similar_documents(keyed, n, percent, "_key", rows.text).where("doc_id is not null").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    mixed = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = stable(groups.join(mixed, "component_id", "left_semi").join(ids, "_key"), "group-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("_first"))
+    losers = members.join(first, "component_id").where(F.struct("_id", "_key") != F.col("_first")).select("_id", "_key")
+    kept = (keyed.where("_key is not null").withColumn("_id", F.col(rows.id).cast("long"))
+            .join(losers, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]))
+    return rows.restore(kept).unionByName(rows.restore(rows.df.where(F.col(rows.id).isNull())))
