@@ -9,9 +9,12 @@ from tidemark.functions import text as tx
 from tidemark.functions import times as tm
 from tidemark.operators import classification as cl
 from tidemark.operators import filings, quality
+from tidemark.plans import records
 from tidemark.sinks import ledger, schemas
 from tidemark.sources import feeds, files, market
 
+from conftest import SF_DIR
+
 UTC = dt.timezone.utc
 
 
@@ -278,3 +281,28 @@ def test_replayed_batches_are_written_once(spark, tmp_path):
         write(rows, epoch)
     assert [r.latency_metric_id for r in ledger.read(spark, "latency_metrics", root).collect()] == ["m1", "m1"]
     assert spark.read.json(dead).count() == 2
+
+
+def test_requests_hold_the_whole_section(spark):
+    texts = {"a": "x" * 25, "b": "é😀\n" * 10, "c": "short", "d": "0123456789" * 3}
+    rows = spark.createDataFrame([(k, "2.02", "t", v) for k, v in texts.items()], "accession_number string, item_number string, item_title string, section_text string")
+    rows = rows.selectExpr("*", "'h' as document_hash", "'T' as ticker", "'u' as filing_url", "timestamp'2026-01-01' as acceptance_at",
+                           "timestamp'2026-01-01' as collected_at", "'o' as official_document_identity")
+    chunked = filings.chunks(filings.prepare(rows, 10), 10)
+    out = filings.requests(chunked, prompt_version="p1", max_characters=10)
+    got = out.withColumn("f", filings.request_fingerprint(model="m", response_schema_version="s")).collect()
+    for k, v in texts.items():
+        mine = sorted((r for r in got if r.source_locator.startswith(k)), key=lambda r: r.chunk_number)
+        assert [r.input_text for r in mine] == [v[i:i + 10] for i in range(0, len(v), 10)]
+        assert [r.source_locator for r in mine] == [f"{k}:2.02:{i}" for i in range(len(mine))]
+        assert len({r.source_document_id for r in mine}) == 1 and {r.excerpt for r in mine} == {v[:10]}
+    assert len({r.raw_input_id for r in got}) == len({r.f for r in got}) == len(got) == 10 and all(r.rejection is None for r in got)
+    keys = chunked.select(filings.persistent_key(prompt_version="p", model_version="m", response_schema_version="s", config_hash="c", extraction_version="e").alias("k"))
+    assert keys.distinct().count() == len(got)
+    assert [r.input_text for r in filings.requests(filings.chunks(filings.prepare(rows.limit(1).withColumn("section_text", F.lit("")), 10), 10), prompt_version="p1").collect()] == [""]
+
+
+def test_classification_requests_cover_every_character(spark):
+    sections = records.section_extract(spark, SF_DIR).select("full_character_count").collect()
+    assert max(r[0] for r in sections) > 2000
+    assert records.classification_requests(spark, SF_DIR).count() == sum(-(-r[0] // 2000) for r in sections)

@@ -102,8 +102,21 @@ def _hash(*names: str) -> Column:
     return F.sha2(canonical_json(**{n: F.col(n) for n in names}), 256)
 
 
-def requests(prepared: DataFrame, *, prompt_version: str, expected_prompt_version: str | None = None, max_characters: int | None = None) -> DataFrame:
-    """Classification request rows; ``rejection`` names a failed pre-check.
+def chunks(prepared: DataFrame, max_characters: int) -> DataFrame:
+    """One row per piece of at most ``max_characters`` of a section: chunk_number from 0, chunk and chunk_hash.
+
+    The pieces of a section in order are its whole text; the section's own columns stay.
+    """
+    if max_characters <= 0:
+        raise ValueError("max_characters must be positive")
+    pieces = F.regexp_extract_all("section_text", F.lit(f"(?s).{{1,{max_characters}}}"), F.lit(0))
+    rows = prepared.select("*", F.posexplode_outer(pieces).alias("chunk_number", "chunk"))
+    text = F.coalesce("chunk", "section_text")  # an empty section is one empty piece
+    return rows.withColumns({"chunk_number": F.coalesce("chunk_number", F.lit(0)), "chunk": text, "chunk_hash": F.sha2(text, 256)})
+
+
+def requests(chunked: DataFrame, *, prompt_version: str, expected_prompt_version: str | None = None, max_characters: int | None = None) -> DataFrame:
+    """Classification request rows, one per row of ``chunks``; ``rejection`` names a failed pre-check.
 
     Needs the filing columns accession_number, document_hash, ticker, filing_url, acceptance_at, collected_at.
     """
@@ -111,15 +124,15 @@ def requests(prepared: DataFrame, *, prompt_version: str, expected_prompt_versio
     if expected_prompt_version is not None and expected_prompt_version != prompt_version:
         reject = F.lit("PROMPT_VERSION_MISMATCH")
     elif max_characters is not None:
-        reject = F.when(F.length("excerpt") > max_characters, "INPUT_TOO_LONG")
+        reject = F.when(F.length("chunk") > max_characters, "INPUT_TOO_LONG")
     source = ["accession_number", "document_hash", "item_number", "full_section_hash"]
-    return prepared.select(
-        F.concat_ws(":", "accession_number", "item_number").alias("source_locator"),
-        F.concat(F.lit("raw_input_sec_"), F.substring(_hash(*source, "excerpt_hash"), 1, 32)).alias("raw_input_id"),
+    return chunked.select(
+        F.concat_ws(":", "accession_number", "item_number", F.col("chunk_number").cast("string")).alias("source_locator"),
+        F.concat(F.lit("raw_input_sec_"), F.substring(_hash(*source, "chunk_number", "chunk_hash"), 1, 32)).alias("raw_input_id"),
         F.concat(F.lit("source_document_sec_"), F.substring(_hash(*source), 1, 32)).alias("source_document_id"),
         F.lit("sec_8k_item").alias("source_type"), F.lit("sec_edgar").alias("source_platform"), F.col("filing_url").alias("source_uri"),
-        F.col("excerpt_hash").alias("raw_input_hash"), "document_hash", F.array("ticker").alias("affected_tickers"),
-        F.col("excerpt").alias("input_text"), F.lit(prompt_version).alias("prompt_version"),
+        F.col("chunk_hash").alias("raw_input_hash"), "chunk_number", "document_hash", F.array("ticker").alias("affected_tickers"),
+        F.col("chunk").alias("input_text"), "excerpt", F.lit(prompt_version).alias("prompt_version"),
         F.col("acceptance_at").alias("source_published_at"), "collected_at", F.col("collected_at").alias("normalized_at"), reject.alias("rejection"))
 
 
@@ -127,13 +140,13 @@ def persistent_key(*, prompt_version: str, model_version: str, response_schema_v
     """Key under which a classification result is kept; equal inputs reuse it."""
     fixed = dict(prompt_version=prompt_version, model_version=model_version, response_schema_version=response_schema_version,
                  classification_config_hash=config_hash, extraction_version=extraction_version)
-    columns = ("accession_number", "official_document_identity", "item_number", "full_section_hash", "excerpt_hash")
+    columns = ("accession_number", "official_document_identity", "item_number", "full_section_hash", "chunk_number", "chunk_hash")
     return F.sha2(canonical_json(**{c: F.col(c) for c in columns}, **{k: F.lit(v) for k, v in fixed.items()}), 256)
 
 
 def request_fingerprint(*, model: str, response_schema_version: str, sector_hints: tuple[str, ...] = (), render_config_hash: str | None = None) -> Column:
     """In-run fingerprint of a request; never contains its text."""
-    columns = ("raw_input_hash", "document_hash", "source_document_id", "source_type", "prompt_version")
+    columns = ("raw_input_hash", "chunk_number", "document_hash", "source_document_id", "source_type", "prompt_version")
     return F.sha2(canonical_json(
         **{c: F.col(c) for c in columns}, affected_tickers=F.array_sort("affected_tickers"), model=F.lit(model),
         response_schema_version=F.lit(response_schema_version), sector_hints=F.array(*[F.lit(s) for s in sorted(sector_hints)]).cast("array<string>"),
@@ -313,5 +326,5 @@ def counters(status_rows: DataFrame, column: str, values: list[str]) -> DataFram
     return status_rows.agg(*[F.count_if(F.col(column) == v).alias(v.lower()) for v in values])
 
 
-__all__ = ["ITEMS", "accession", "counters", "document_text", "in_window", "insider_events", "lineage_errors", "metadata_conflicts", "owners",
+__all__ = ["ITEMS", "accession", "chunks", "counters", "document_text", "in_window", "insider_events", "lineage_errors", "metadata_conflicts", "owners",
            "ownership", "persistent_key", "prepare", "request_fingerprint", "requests", "section_identity", "sections", "squeeze", "unescape"]

@@ -86,7 +86,7 @@ def classification_requests(spark, sf):
                                            key=["doc_id", "source", "document_hash"]), 2000)
     sec = sec.withColumns({"accession_number": F.lpad(F.col("doc_id").cast("string"), 18, "0"), "ticker": F.col("source"), "filing_url": F.lit("u"),
                            "acceptance_at": at(), "collected_at": at()})
-    out = filings.requests(sec, prompt_version="p1", max_characters=2000)
+    out = filings.requests(filings.chunks(sec, 2000), prompt_version="p1", max_characters=2000)
     return out.withColumn("fingerprint", filings.request_fingerprint(model="m1", response_schema_version="s1")).select(
         "source_locator", "raw_input_id", "source_document_id", "fingerprint", "rejection")
 
