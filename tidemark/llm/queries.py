@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, url_filter
+from tidemark.llm import chat, decontamination, fingerprints, line_dedup, merkle, ngram_join, packing, quality, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -127,3 +127,57 @@ from o group by conv_id, perspective, part""".replace("\\n", "\n"))
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.perspectives(read(spark, sf_dir, "conversations"))
     return rows.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
+
+
+#: SQL of the CRC-32 of a text: its table of 256 values, and the fold over the bytes.
+CRC_TABLE = """crc_table as (select list(v order by i) as crc_values from (select i, list_reduce([i] || range(8),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: cast('0x' || h as bigint))"
+    return f"""xor(4294967295, list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, crc_values[cast(xor(c & 255, b) + 1 as int)])))"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** ``levels`` leaves, level by level, and the fold of every leaf through them."""
+    def enc(c: str) -> str:
+        return f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+
+    def grow(name: str, key: str) -> str:
+        out = []
+        for k in range(levels):
+            out.append(f"""{name}_s{k} as (select *, coalesce(string_agg(d, '') over (partition by {key}, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(d, '') over (partition by {key}, pos // 8 order by pos rows between 1 following and unbounded following), '') as r from {name}{k})""")
+            out.append(f"""{name}{k + 1} as (select {key}, pos // 8 as pos, (n + 7) // 8 as n,
+  case when any_value(n) > 1 then sha256(string_agg(d, '' order by pos)) else any_value(d) end as d from {name}{k} group by {key}, pos // 8, n)""")
+        return ", ".join(out)
+
+    def climb(name: str, key: str, start: str, first: str) -> str:
+        out, last = [], start
+        for k in range(levels):
+            out.append(f"""{first}{k} as (select x.* exclude (f, proof), case when s.n > 1 then sha256(l || f || r) else f end as f,
+  case when s.n > 1 then proof || l || r else proof end as proof from {last} x join {name}_s{k} s on x.{key} is not distinct from s.{key} and s.pos = x.{name}_pos // {8 ** k})""")
+            last = f"{first}{k}"
+        return ", ".join(out)
+
+    return f"""with {CRC_TABLE},
+rows0 as (select doc_id, lang, sha256({" || ".join(enc(c) for c in merkle.FIELDS)}) as leaf,
+  case when {crc_sql("coalesce(cast(doc_id as varchar), '')")} % 3 = 0 and doc_id is not null then
+    sha256({" || ".join(enc("translate(text, '" + merkle.UPPER + "', '" + merkle.LOWER + "')" if c == "text" else c) for c in merkle.FIELDS)}) end as changed
+  from documents, crc_table),
+ts0 as (select *, leaf as d, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from rows0),
+t0 as (select lang, pos, n, d from ts0), {grow("t", "lang")},
+u0 as (select 0 as one, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n, d, lang from t{levels}),
+{grow("u", "one")},
+start as (select doc_id, ts0.lang as lang, 0 as one, leaf, ts0.pos as t_pos, u0.pos as u_pos, u0.d as subroot, coalesce(changed, leaf) as f, '' as proof
+  from ts0 join u0 on ts0.lang is not distinct from u0.lang)
+""" + f", {climb('t', 'lang', 'start', 'a')}, {climb('u', 'one', f'a{levels - 1}', 'b')}" + f"""
+select doc_id, leaf, subroot, (select d from u{levels}) as root, sha256(proof) as proof_sha256, f as folded_root, f = (select d from u{levels}) as verified
+from b{levels - 1}"""
+
+
+@_add(_merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.verified_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
