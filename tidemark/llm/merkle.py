@@ -106,10 +106,8 @@ def _down(rounds: list[DataFrame], tops: DataFrame, names: Sequence[str], keep:
 
 def _placed(leaves: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
     """Leaves with ``pos`` in their tree and its size ``n``; the size of the largest tree."""
-    placed = ranked(leaves, [*TREE, *order])
-    sizes = placed.groupBy(*TREE).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    return placed.join(sizes, TREE).withColumn("pos", F.col("at") - F.col("_first")).drop("at", "_first"), most
+    placed = ranked(leaves, TREE, order, "pos")
+    return placed, (placed.agg(F.max("n")).first()[0] or 0)
 
 
 def manifest(leaves: DataFrame, by: str, order: str, digest_col: str = "leaf", keep: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Places of rows in one global order, without a task that sees a whole group."""
+"""Places of rows in an order, without a task that sees a whole group."""
 
 from __future__ import annotations
 
@@ -13,22 +13,24 @@ from tidemark.session import stable
 TASK_BITS = 33
 
 
-def ranked(df: DataFrame, order: Sequence[str], name: str = "at") -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... in ascending ``order`` (NULLs first), written once to the shared folder.
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "at") -> DataFrame:
+    """``df`` with ``name``, 0, 1, ... in ascending ``order`` (NULLs first) within the group, and the group's size ``n``.
 
-    Rows are cut into ranges of the order and sorted there; only the ranges' sizes, one row each,
-    meet in one task.  Rows that are equal in all of ``order`` are dealt over ranges by their place
-    in the input, so many repeats are no large range; which of them comes first is not defined.
+    Rows are cut into ranges of (group, order), sorted there and written once to the shared folder;
+    only the sizes of the ranges' parts of a group, one row each, meet in one task.  Rows that are
+    equal in all of these are dealt over ranges by their place in the input, so many repeats
+    are no large range; which of them comes first is not defined.  Group columns are not NULL.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order, "_n"]
+    keys = [*group, *order, "_n"]
     df = df.withColumn("_n", F.monotonically_increasing_id())
     cut = stable(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_n")
                  .withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    task = F.shiftright("_at", TASK_BITS)
-    sizes = cut.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_task", (F.sum("_size").over(Window.orderBy("_task")) - F.col("_size")).alias("_before"))
-    # one row for each range, whatever the size of the input
-    return (cut.withColumn("_task", task).join(F.broadcast(before), "_task")
-            .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << TASK_BITS) - 1)))
-            .drop("_task", "_before", "_at"))
+    cut = cut.withColumn("_task", F.shiftright("_at", TASK_BITS))
+    part = cut.groupBy("_task", *group).agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_from"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    part = part.select("_task", *group, (F.sum("_size").over(whole.orderBy("_task")) - F.col("_size") - F.col("_from")).alias("_shift"),
+                       F.sum("_size").over(whole).alias("n"))
+    if not group:
+        part = F.broadcast(part)  # one row for each range
+    return cut.join(part, ["_task", *group]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_task", "_shift", "_at")
