@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, line_dedup, merkle, ngram_join, packing, quality, substring_dedup, token_files, url_filter
+from tidemark.llm import chat, decontamination, fingerprints, line_dedup, merkle, ngram_join, packing, quality, repair, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -181,3 +181,58 @@ from b{levels - 1}"""
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return merkle.verified_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
+def _repair_sql() -> str:
+    """Damage, faults, and a walk over the messages with the best (cost, audit, text) of each of four states."""
+    def best(*xs: str) -> str:
+        return f"list_sort([{', '.join(xs)}])[1]"
+
+    def put(x: str, cost: str, letter: str, line: str) -> str:
+        return (f"struct_pack(c := {x}.c + {cost}, a := {x}.a || '{letter}', "
+                f"t := case when {line} is null then {x}.t else {x}.t || case when {x}.t = '' then '' else chr(10) end || {line} end)")
+
+    def ins(x: str, role: str) -> str:
+        return put(x, "3", "I", f"'{role}:'")
+
+    def emit(x: str, role: str) -> str:
+        return put(x, f"(case when gone then 1000000 when i = '{role[0]}' then 0 else 3 end + 3 * cut)", "K",
+                   "role || ':' || text").replace("'K'", f"case when i = '{role[0]}' then 'K' else 'R' end").replace(
+                   "role || ':' || text", f"case when i = '{role[0]}' then role else '{role}' end || ':' || text")
+
+    start = "struct_pack(c := {}::bigint, a := '', t := '')"
+    return f"""with recursive {CRC_TABLE},
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {crc_sql("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind from conversations, crc_table),
+m as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 0 then 0 when kind = 3 then 2 else 1 end)) as copy from k),
+f as (select conv_id, turn, role, text, left(role, 1) as i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last,
+    row_number() over w as n, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+    lag(left(role, 1)) over w || left(role, 1) as pair from m window w as (partition by conv_id order by turn nulls first, role, sha256(text), copy)),
+g as (select *, case when last = '' then 'b' when nth > 1 then 'd' when last not in ('.', '!', '?') then 't' else '' end as fault from f),
+h as (select conv_id, n, role, text, i, fault in ('b', 'd') as gone, cast(fault = 't' as int) as cut from g),
+walk as (
+  select conv_id, 1 as n, {start.format(0)} as s0, {start.format(1000000)} as s1, {start.format(1000000)} as s2, {start.format(1000000)} as s3
+    from (select distinct conv_id from h)
+  union all
+  select conv_id, n + 1, {put('s0', '4', 'D', 'null')}, {best(put('s1', '4', 'D', 'null'), put('s0', "case when gone or i <> 's' then 1000000 else 3 * cut end", 'K', "role || ':' || text"))},
+    {best(put('s2', '4', 'D', 'null'), emit('s0', 'user'), emit('s1', 'user'), emit('s3', 'user'))}, {best(put('s3', '4', 'D', 'null'), emit('s2', 'assistant'))}
+  from (select conv_id, n, role, text, i, gone, cut, s0, s1, {best('s2', ins('s3', 'user'))} as s2, s3
+    from (select conv_id, n, role, text, i, gone, cut, s0, s1, s2, {best('s3', ins('s2', 'assistant'))} as s3
+      from (select walk.conv_id, walk.n, role, text, i, gone, cut, s0, s1, {best('s2', ins('s0', 'user'), ins('s1', 'user'))} as s2, s3
+        from walk join h on walk.conv_id is not distinct from h.conv_id and walk.n = h.n)))),
+done as (select conv_id, {best('s0', 's3', ins('s2', 'assistant'))} as z from walk w
+  where n = (select max(n) + 1 from h where h.conv_id is not distinct from w.conv_id)),
+stats as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+  count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from g group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(z.c, 0) as cost, coalesce(z.a, '') as audit, sha256(coalesce(z.t, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join stats s on o.conv_id is not distinct from s.conv_id
+  left join done d on o.conv_id is not distinct from d.conv_id"""
+
+
+@_add(_repair_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(read(spark, sf_dir, "conversations"))
