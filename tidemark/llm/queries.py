@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, fingerprints, line_dedup, merkle, ngram_join, packing, quality, repair, substring_dedup, token_files, url_filter
+from tidemark.llm import chat, decontamination, fingerprints, line_dedup, lm, merkle, ngram_join, packing, quality, repair, substring_dedup, token_files, url_filter
 from tidemark.llm.common import read
 from tidemark.session import shared_dir
 
@@ -129,6 +129,12 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
 
 
+@_add()
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm.score_texts(docs, quality.id_hash() % 10 == 0, tokenizer_path("byte_bpe_50k.json"), 50256)
+
+
 #: SQL of the CRC-32 of a text: its table of 256 values, and the fold over the bytes.
 CRC_TABLE = """crc_table as (select list(v order by i) as crc_values from (select i, list_reduce([i] || range(8),
     lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i)))"""

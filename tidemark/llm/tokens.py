@@ -39,7 +39,7 @@ BYTE_LEVEL = Cuts(r" ?[^\W\d_]+(?!\w)| ?\S+|\s+(?!\S)|\s", "\n", "\n")
 WORD_END = Cuts(r"[^\W\d_İ]+(?![^\x00-\x7f]|\w)|\S+", " \x01 ", "\x01", True)
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """piece -> number, in order of first sight."""
 
     def __init__(self) -> None:
@@ -56,7 +56,7 @@ class _Numbers(dict):
 class Encoder:
     path: str
     cuts: Cuts
-    numbers: _Numbers = field(default_factory=_Numbers)
+    numbers: Numbers = field(default_factory=Numbers)
 
     def __post_init__(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,7 +73,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers = Numbers()
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.empty(0, np.int64)
