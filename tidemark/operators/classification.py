@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import canonical_json
 from tidemark.operators.ordered import first_per_key
 
 # Vocabulary of classifier answers.
@@ -180,6 +181,56 @@ def agreement_error(fields: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(~F.col(f).eqNullSafe(F.col(f"row_{f}")), F.lit(f)) for f in fields])
 
 
+#: Lineage rules in the order in which they are judged.
+LINEAGE_RULES = ("UNKNOWN_LEDGER_ROW", "UNKNOWN_FILING", "ACCESSION", "DOCUMENT_HASH", "SECTION_HASH", "REQUEST_ID", "ATTEMPT_ID", "TICKER",
+                 "FILING_METADATA", "CLASSIFICATION_PROFILE_MISMATCH", "NOT_COMPLETE", "NOT_VALID", "NOT_VALIDATED", "MISSING_AVAILABILITY")
+
+
+def lineage(saved: DataFrame, ledger: DataFrame, manifest: DataFrame, profile: dict[str, str], *, metadata: Sequence[str]) -> DataFrame:
+    """Saved classifications with the first lineage rule they break (``broken``, NULL if none), their section identity and reason.
+
+    ``saved``: classification_attempt_id, classification_request_id, accession_number, item_number,
+    document_hash, full_section_hash, ticker, status, classification_complete, the profile's fields
+    and ``metadata`` fields.  ``ledger``: classification_attempt_id, classification_request_id,
+    document_hash, status, validation_outcome, available_at.  ``manifest``: accession_number, ticker,
+    document_hash, official_document_identity and ``metadata`` fields.
+
+    One join by attempt and one by accession; comparisons are null-safe, except that a metadata field
+    missing from the manifest does not disagree.  ``reason`` is CLASSIFICATION_PROFILE_MISMATCH or
+    MISSING_AVAILABILITY for those rules, POLICY_INELIGIBLE for results that are not valid, and MALFORMED for the rest.
+    """
+    row = ledger.select(F.col("classification_attempt_id").alias("_attempt"), *(F.col(c).alias(f"row_{c}") for c in (
+        "classification_request_id", "document_hash", "status", "validation_outcome", "available_at")))
+    state = manifest.select(F.col("accession_number").alias("_accession"), *(F.col(c).alias(f"state_{c}") for c in (
+        "ticker", "document_hash", "official_document_identity", *metadata)))
+    both = saved.join(row, F.col("classification_attempt_id") == F.col("_attempt"), "left").join(state, F.col("accession_number") == F.col("_accession"), "left")
+
+    def differs(a: str, b: str) -> Column:
+        return ~F.col(a).eqNullSafe(F.col(b))
+    hashed = F.coalesce(F.col("full_section_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    other_metadata = F.lit(False)
+    for c in metadata:
+        other_metadata = other_metadata | F.coalesce(F.col(f"state_{c}") != F.col(c), F.col(f"state_{c}").isNotNull() & F.col(c).isNull())
+    profiled = F.lit(True)
+    for c, v in profile.items():
+        profiled = profiled & F.col(c).eqNullSafe(F.lit(v))
+    checks = (F.col("_attempt").isNull(), F.col("_accession").isNull(), ~F.coalesce(F.col("accession_number").rlike("^[0-9]{18}$"), F.lit(False)),
+              differs("document_hash", "row_document_hash") | differs("document_hash", "state_document_hash"), ~hashed,
+              differs("classification_request_id", "row_classification_request_id"), F.col("classification_attempt_id").isNull(),
+              differs("ticker", "state_ticker"), other_metadata, ~profiled, ~F.coalesce("classification_complete", F.lit(False)),
+              ~(F.col("status").eqNullSafe(F.lit("VALID")) & F.col("row_status").eqNullSafe(F.lit("VALID"))),
+              ~F.coalesce("row_validation_outcome", F.lit(False)), F.col("row_available_at").isNull())
+    broken = F.coalesce(*[F.when(check, F.lit(rule)) for rule, check in zip(LINEAGE_RULES, checks)])
+    identity = F.sha2(canonical_json(source=F.lit("sec_edgar"), accession_number=F.col("accession_number"),
+                                     official_document_identity=F.col("state_official_document_identity"), document_hash=F.col("document_hash"),
+                                     item_number=F.col("item_number"), full_section_hash=F.col("full_section_hash")), 256)
+    reason = (F.when(F.col("broken").isin("CLASSIFICATION_PROFILE_MISMATCH", "MISSING_AVAILABILITY"), F.col("broken"))
+              .when(F.col("broken").isin("NOT_COMPLETE", "NOT_VALID", "NOT_VALIDATED"), "POLICY_INELIGIBLE")
+              .when(F.col("broken").isNotNull(), "MALFORMED"))
+    return both.withColumn("broken", broken).withColumns({"reason": reason, "section_identity": F.when(F.col("broken").isNull(), identity)}).select(
+        *saved.columns, F.col("row_available_at").alias("available_at"), "broken", "reason", "section_identity")
+
+
 def attempt_rows(requests: DataFrame, responses: DataFrame, validations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ledger rows, rejected): request, response and validation must name each other.
 

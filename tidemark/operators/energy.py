@@ -104,3 +104,15 @@ def next_transitions(windows_df: DataFrame, now: Column) -> DataFrame:
     t = micros(now)
     edges = windows_df.select(F.explode(F.array("window_start", F.col("window_end") + 1)).alias("edge"))
     return edges.filter(F.col("edge") > t).agg(F.min("edge").alias("next_transition"))
+
+
+def transitions(probes: DataFrame, windows_df: DataFrame, *, at: str = "evaluation_time", end: str = "window_end") -> DataFrame:
+    """Adds next_transition (micros) to every probe: the first opening or first instant after a closing later than ``at``.
+
+    Openings and closings are one set of instants; the successor of each probe in it is a backward
+    scan over slices, so neither the windows nor the probes are one task's.
+    """
+    edges = windows_df.select(F.lit(1).alias("_k"), F.explode(F.array("window_start", F.col(end) + 1)).alias("_edge")).filter("_edge is not null").distinct()
+    later = probes.withColumns({"_k": F.lit(1), "_after": micros(at) + 1})
+    out = asof_join(later, edges, keys=["_k"], left_at="_after", right_at="_edge", right_cols=["_edge"], direction="forward", sliced=True)
+    return out.withColumnRenamed("_edge", "next_transition").drop("_k", "_after")

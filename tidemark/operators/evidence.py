@@ -214,6 +214,46 @@ def applicable_exclusions(decisions: DataFrame, exclusions: DataFrame, *, at: st
     return out.filter(~twice).drop("_from", "_to", "_at", "_tickers", "target")
 
 
+def hydrate(evidence: DataFrame, run: RunDefinition) -> tuple[DataFrame, DataFrame]:
+    """(admitted rows, exclusions) of a run: sources, categories, universe and coverage window.
+
+    A row's first failing rule is its reason: MALFORMED (no id, source or match key), SCOPE_MISMATCH
+    (source or category not admitted, or no listed ticker, sector or global relevance),
+    MISSING_AVAILABILITY, FUTURE (after the window), OUTSIDE_LOOKBACK (before it).
+    """
+    at = micros("available_at")
+    universe = F.array(*[F.lit(t) for t in run.tickers])
+    tickers = F.coalesce("tickers", F.array().cast("array<string>"))
+    relevant = F.coalesce("is_global", F.lit(False)) | F.col("sector").isNotNull() | F.arrays_overlap(tickers, universe)
+    reason = (F.when(F.col("evidence_id").isNull() | F.col("source").isNull() | F.col("policy_match_key").isNull(), "MALFORMED")
+              .when(~F.col("source").isin(*run.sources) | ~F.col("category").isin(*run.categories) | ~relevant, "SCOPE_MISMATCH")
+              .when(at.isNull(), "MISSING_AVAILABILITY").when(at > run.end_us, "FUTURE").when(at < run.start_us, "OUTSIDE_LOOKBACK"))
+    judged = evidence.withColumn("reason", reason)
+    return (judged.filter(F.col("reason").isNull()).drop("reason"),
+            judged.filter(F.col("reason").isNotNull()).select("evidence_id", "reason", "tickers", "sector", "is_global", "available_at"))
+
+
+def exclusion_hits(decisions: DataFrame, exclusions: DataFrame, *, id: str = "decision_id", at: str = "evaluation_time", max_age_us: int,
+                   run: RunDefinition | None = None) -> DataFrame:
+    """Per decision how many load-time exclusions concern it, how many of them for want of a time, and whether it is covered.
+
+    An exclusion concerns a decision in its scope: without availability always, else from its time
+    on for ``max_age_us``.  Counts are running sums of starts and ends, so no pairs are made.
+    ``covered``: the run's window holds all evidence that the decision could see.
+    """
+    missing = F.col("reason") == "MISSING_AVAILABILITY"
+    rows = exclusions.filter(missing | F.col("available_at").isNotNull()).select(
+        "evidence_id", "reason", "tickers", "sector", F.coalesce("is_global", F.lit(False)).alias("is_global"),
+        F.when(missing, F.timestamp_micros(F.lit(0))).otherwise(F.col("available_at")).alias("available_at"),
+        F.lit(None).cast("timestamp").alias("valid_from"),
+        F.when(missing, F.lit("9999-12-31 00:00:00").cast("timestamp")).otherwise(F.timestamp_micros(micros("available_at") + F.lit(max_age_us))).alias("valid_until"),
+        F.lit(True).alias("policy_eligible"))
+    sums = live_sums(decisions, rows, id=id, at=at, max_age_us=max_age_us, value=F.when(F.col("reason") == "MISSING_AVAILABILITY", 1).otherwise(0))
+    covered = F.lit(True) if run is None else micros(at).between(run.coverage[0], run.coverage[1])
+    return decisions.select(id, covered.alias("covered")).join(sums, id, "left").select(
+        id, "covered", F.coalesce("n", F.lit(0)).cast("long").alias("n_concerned"), F.coalesce("total", F.lit(0)).cast("long").alias("n_without_time"))
+
+
 # --- rule policy --------------------------------------------------------------------------
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("market", "trading", "context", "records", "streams")
+_MODULES = ("market", "trading", "context", "records", "upkeep", "streams")
 
 
 def load_registry():

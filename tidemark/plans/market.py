@@ -12,11 +12,13 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.labels import LabelConfig, labels as build_labels
 from tidemark.operators.live import live_totals
 from tidemark.operators.market import observations, spread_bps
-from tidemark.operators.parity import differences
+from tidemark.operators.parity import differences, name_sets, out_of_order, report
 from tidemark.operators.rolling import final_snapshot, frame_totals, rolling_features as build_features
 from tidemark.plans.registry import query
 from tidemark.plans.views import table, view, with_views
 from tidemark.sources.market import column_mapping, normalise
+from tidemark.streaming.live import live_features
+from tidemark.streaming.runner import in_slices
 
 LOOKBACK = 21_600
 
@@ -138,6 +140,61 @@ def parity_diff(spark, sf):
         F.sum("compared").cast("long").alias("compared"), F.sum("differing").cast("long").alias("differing"))
 
 
+_SIDES = {
+    "last_trade_price": "case when tr then price end", "last_trade_size": "case when tr then size end", "last_bid_price": "bid_price",
+    "last_ask_price": "ask_price", "last_bid_size": "bid_size", "last_ask_size": "ask_size", "midprice": "mid", "spread": "sp"}
+_COUNTS = {"record_count_window": "count(*)", "trade_count_window": "count(*) filter (where tr)", "quote_count_window": "count(*) filter (where qu)",
+           "volume_window": "coalesce(sum(case when tr then size end), 0)"}
+
+
+def _parity_sql() -> str:
+    """Both sides from the records: last values by event time and by arrival, in the frame that ends at the newest event."""
+    last = ", ".join(f"arg_max({v}, event_time) filter (where ({v}) is not null) as h_{n}, arg_max({v}, arrival) filter (where ({v}) is not null) as l_{n}"
+                     for n, v in _SIDES.items())
+    same = {n: f"(h_{n} is null and l_{n} is null) or coalesce(abs(h_{n} - l_{n}) <= 1e-12 * greatest(1, abs(h_{n}), abs(l_{n})), false)" for n in _SIDES}
+    names = ", ".join(f"case when not ({same[n]}) then '{n}' end" for n in sorted(_SIDES))
+    return with_views("market_records") + f""", {_OBS},
+feeds as (select 'late' as feed, {_ARRIVAL} as arrival, * from obs union all select 'ordered', ingest_seq, * from obs),
+o as (select *, max(event_time) over (partition by feed, ticker order by arrival rows between unbounded preceding and 1 preceding) as seen,
+  max(event_time) over (partition by feed, ticker) as newest from feeds),
+c as (select feed, ticker, count(*) filter (where event_time < seen) as out_of_order from o group by 1, 2),
+w as (select feed, ticker, {last} from o where event_time >= newest - interval 6 hours group by 1, 2),
+d as (select feed, ticker, list_filter([{names}], lambda x: x is not null) as names from w)
+select feed, ticker, cast({len(_SIDES) + len(_COUNTS)} as bigint) as compared, len(names) as differing, array_to_string(names, ',') as names, out_of_order from d join c using (feed, ticker)"""
+
+
+@query("X3 U2", _parity_sql())
+def feature_parity(spark, sf):
+    """Batch features by event time (prefix arrays) against the live state machine by arrival, for an ordered feed and a late one."""
+    r = records(spark, sf)
+    columns = [*_COUNTS, *_SIDES]
+    batch = final_snapshot(build_features(r, lookback_seconds=LOOKBACK)).select("ticker", *columns)
+    out = None
+    for feed, arrival in (("ordered", "ingest_seq"), ("late", _ARRIVAL)):
+        arriving = r.withColumn("arrival", F.expr(arrival))
+        live = in_slices(arriving, "arrival", 5, lambda s: live_features(s, arrival="arrival", lookback_seconds=LOOKBACK), f"parity-{feed}")
+        last = live.groupBy("ticker").agg(F.max_by(F.struct(*columns), "arrival").alias("_r")).select("ticker", "_r.*")
+        wrong = out_of_order(arriving.withColumn("_t", micros("event_time")), key="ticker", at="_t", order=["arrival"]).groupBy("ticker").agg(
+            F.count(F.lit(1)).alias("out_of_order"))
+        one = report(batch, last, ["ticker"], columns).join(wrong, "ticker", "left").select(
+            F.lit(feed).alias("feed"), "ticker", "compared", "differing", F.array_join("names", ",").alias("names"), F.coalesce("out_of_order", F.lit(0)).alias("out_of_order"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_NAMES = ["last_ask_price", "last_ask_size", "last_bid_price", "last_bid_size", "last_trade_price", "last_trade_size", "midprice", "spread"]
+
+
+@query("U2", _ROLLING.rsplit("select ingest_seq, ticker, epoch_us", 1)[0] + """, k as (select ticker, list_filter([case when a is null then 'last_ask_price' end, case when as_ is null then 'last_ask_size' end,
+  case when b is null then 'last_bid_price' end, case when bs is null then 'last_bid_size' end, case when tp is null then 'last_trade_price' end,
+  case when ts_ is null then 'last_trade_size' end, case when m is null then 'midprice' end, case when s is null then 'spread' end], lambda x: x is not null) as missing from f)
+select ticker, array_to_string(missing, ',') as missing, '' as unexpected, count(*) as rows from k group by 1, 2""")
+def feature_name_sets(spark, sf):
+    """Which features a snapshot lacks, for every set of names that occurs."""
+    df = build_features(records(spark, sf), lookback_seconds=LOOKBACK).select("ticker", *_NAMES)
+    return name_sets(df, _NAMES, ["ticker"]).select("ticker", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), "rows")
+
+
 @query("J1", with_views("market_records") + """, p as (select ingest_seq, ticker, event_time + interval 5 minutes as target from market_records where record_type = 'trade'),
 o as (select ticker, event_time, (bid_price + ask_price) / 2 as mid from market_records where bid_price is not null)
 select p.ingest_seq, p.ticker, epoch_us(p.target) as target_us, coalesce(epoch_us(o.event_time), -1) as forward_us, round(o.mid, 6) as forward_mid

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import clean_text
 from tidemark.functions.times import to_utc_iso
+from tidemark.session import stable
 from tidemark.sinks.schemas import MONTHLY, schema, time_column
 
 PARTITION = "ledger_period"
@@ -142,6 +144,27 @@ def pending(results: DataFrame) -> DataFrame:
     return results.filter(F.col("classification_complete") & ~F.col("ledger_write_status").eqNullSafe("WRITTEN"))
 
 
+def replay(results: DataFrame, table: str, root: str, *, key: str) -> DataFrame:
+    """Append the pending results that the ledger table does not hold yet; returns them.
+
+    A row counts as held by its key, whatever the results say of its write, so a replay after a
+    half-finished one appends only the rest.  A key that is pending twice is written once.
+    """
+    spark = results.sparkSession
+    todo = pending(results).dropDuplicates([key])
+    try:
+        held = read(spark, table, root).select(key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rest = todo  # the table has no rows yet
+    else:
+        rest = todo.join(held, key, "left_anti")
+    rest = stable(rest.drop("classification_complete", "ledger_write_status"), "replay")
+    append(rest, table, root)
+    return rest
+
+
 def log_decisions(decisions: DataFrame, root: str, *, strict: bool = False, write: Callable[[DataFrame, str, str], None] = append) -> DataFrame:
     """Append risk decisions; returns (risk_decision_id, log_succeeded, log_error).
 
