@@ -68,13 +68,14 @@ def expected(rows, whole_from=None):
     for known, d, _, t in docs:
         for i, raw in enumerate(t.split("\n")):
             line = raw.strip(" \t\n\r\x0b\x0c")
-            if len(line) >= ld.LEAST:
+            if line:
                 places.append(((known, d, t), i, line))
                 first.setdefault(line, len(first))
     by_length = {}
-    for line in first:
-        by_length.setdefault(len(line), []).append(line)
-    links = [(first[a], first[b]) for a in first for n in range(len(a) - ld.TAU, len(a) + 1) for b in by_length.get(n, []) if a != b and near(a, b)]
+    for line in first:  # shorter lines are repeats only if they are equal
+        if len(line) >= ld.LEAST:
+            by_length.setdefault(len(line), []).append(line)
+    links = [(first[a], first[b]) for a in first if len(a) >= ld.LEAST for n in range(len(a) - ld.TAU, len(a) + 1) for b in by_length.get(n, []) if a != b and near(a, b)]
     group = closure(range(len(first)), links)
     seen, out, chars, lost = set(), {(k, d, t): [] for k, d, _, t in docs}, {}, {}
     for doc, i, line in places:
@@ -128,20 +129,6 @@ def test_query_against_all_pairs(spark):
     assert {r.doc_id: list(r.removed) for r in op9_line_dedup(spark, SF_DIR).collect()} == want
 
 
-def with_short_lines(rows):
-    """(doc_id, text) -> removed line numbers: ``expected`` for the long lines, and equal short ones."""
-    out, seen = {k: list(v) for k, v in expected(rows).items()}, set()
-    name = lambda t: int(ld.Lines([t]).hashes(3).of(np.zeros(1, int), np.array([len(t)])).view(np.int64)[0])
-    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, name(r[1]))):
-        for i, raw in enumerate(t.split("\n")):
-            line = raw.strip(" \t\n\r\x0b\x0c")
-            if 0 < len(line) < ld.LEAST:
-                out[(d, t)] += [i] if line in seen else []
-                seen.add(line)
-        out[(d, t)].sort()
-    return out
-
-
 def test_short_lines_are_repeats_if_equal(spark):
     rows = [(1, "Les.\nLea.\n\nx"), (2, " Les.\r\nLet.\n\nx"), (3, "Nt onor. The of it.\nNt onor. The of it."), (4, "Nt onor. The of it!\nthe same line of more than twenty"),
             (5, "the same line of more than twenty\nLes."), (None, "Let.")]
@@ -151,11 +138,4 @@ def test_short_lines_are_repeats_if_equal(spark):
         1: rows[0][1], 2: "", 3: "Nt onor. The of it.", 4: rows[3][1], 5: "", None: "Let."}
     table = line_table(3)
     got = {(r.doc_id, tuple(r.removed)) for r in ld.repeated_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
-    assert got == {(d, tuple(v)) for (d, _), v in with_short_lines(table).items()}
-
-
-def test_query_with_short_lines(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
-    want = {d: v for (d, _), v in with_short_lines(rows).items()}
-    assert {r.doc_id: list(r.removed) for r in op9_line_dedup(spark, SF_DIR).collect()} == want
-    assert want != {d: v for (d, _), v in expected(rows).items()}
+    assert got == {(d, tuple(v)) for (d, _), v in expected(table).items()}

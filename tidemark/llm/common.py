@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tidemark.session import utc
 BLOCK_CHARS = 4_000_000
 #: The same where rows are passed through.
 ROW_CHARS = 500_000
+#: Rows that are turned into Python strings at a time.
+BATCH_ROWS = 128
 
 
 def ready(df: DataFrame) -> DataFrame:
@@ -41,14 +44,16 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_CHARS) ->
     texts: list = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = t or ""
-            if ids and size + len(t) > limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
+        for at in range(0, batch.num_rows, BATCH_ROWS):  # a whole batch as Python strings would be held beside the block
+            part = batch.slice(at, BATCH_ROWS)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                t = t or ""
+                if ids and size + len(t) > limit:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
     if ids:
         yield ids, texts
 
@@ -82,13 +87,12 @@ class Positional:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, texts, at = b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), 0
-                while at < len(ids):
-                    end, size = at + 1, len(texts[at] or "")
-                    while end < len(ids) and size + len(texts[end] or "") <= ROW_CHARS:
-                        size += len(texts[end] or "")
-                        end += 1
+                sizes, at = pc.binary_length(b.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False), 0
+                ends = np.cumsum(sizes)
+                while at < len(sizes):
+                    end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + ROW_CHARS, "right")))
                     part = b.slice(at, end - at)
-                    yield pa.RecordBatch.from_arrays([*part.columns, fn(ids[at:end], texts[at:end])], names=[*part.schema.names, name])
+                    new = fn(part.column(id_at).to_pylist(), part.column(text_at).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
                     at = end
         return self.df.mapInArrow(run, f"{schema}, `{name}` {kind}")

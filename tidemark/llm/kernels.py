@@ -37,6 +37,8 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers of a base that a worker keeps: those of its usual blocks.
+KEPT = 1 << 21
 
 
 def powers(n: int, base: int) -> np.ndarray:
@@ -44,7 +46,7 @@ def powers(n: int, base: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         have = _powers(max(n, 1 << 16), base)
-        if n <= 1 << 24:
+        if n <= KEPT:
             _POWERS[base] = have
     return have[:n]
 

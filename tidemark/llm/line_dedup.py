@@ -32,10 +32,12 @@ from tidemark.session import stable
 TAU = 2
 #: Shorter lines (white space around a line does not count) have an edit budget of 0: only equal ones are repeats.
 LEAST = 20
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Words of the fine signature that the second round compares.
 SIGN = 4
 BUCKET_BYTES = 8_000_000
+#: Buckets that one task takes, one after the other.
+BUCKETS_PER_TASK = 4
 #: Bits of the fixed-size filter of line hashes whose texts are fetched; only rows, never results, depend on it.
 FILTER_BITS = 1 << 24
 LOW = -(1 << 63)
@@ -327,7 +329,10 @@ def line_rows(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
     """Rows of all lines and documents, and (h1, component) of the lines that have similar ones."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * partitions, -(-bytes_of(docs) // BUCKET_BYTES))
-    rows = stable(docs.mapInArrow(_lines(tau, buckets), PACKED_DDL).groupBy("bucket").applyInArrow(_bucket(tau), LINES_DDL), "lines")
+    # as many tasks as the text asks for, not as many as there are shuffle partitions
+    tasks = max(partitions, -(-buckets // BUCKETS_PER_TASK))
+    packed = docs.mapInArrow(_lines(tau, buckets), PACKED_DDL).repartition(tasks, "bucket")
+    rows = stable(packed.groupBy("bucket").applyInArrow(_bucket(tau), LINES_DDL), "lines")
     pairs = stable(rows.where("kind = 2").select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct(), "line-pairs")
     met = rows.where("kind = 3").select("h1", F.col("n").alias("key"))
     known = _texts(docs, _filter(met.select("h1"))).join(met.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1"])
@@ -380,10 +385,13 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, whole_from: float | None = N
                       F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, tau: int = TAU, whole_from: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, tau: int = TAU, whole_from: float | None = None, id_col: str = "doc_id", text_col: str = "text",
+                           keep_emptied: bool = True) -> DataFrame:
     """All rows and columns of ``docs``, the texts without the repeated lines; a NULL text stays NULL.
 
     A column ``n_chars``, if there is one, gets the new number of characters where lines went.
+    Without ``keep_emptied``, rows that lost lines and have nothing but white space left go; texts
+    that were empty before stay.
     """
     found = repeated_lines(docs, tau, whole_from, id_col, text_col).where("n_removed > 0").select(
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed")
@@ -395,9 +403,13 @@ def without_repeated_lines(docs: DataFrame, tau: int = TAU, whole_from: float |
 
     known = rows.with_value("_hash", "long", hashed)
     both = known.join(found, F.col(rows.id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    kept = F.transform(F.filter(F.arrays_zip(F.split(rows.text, "\n", -1).alias("x"), F.sequence(F.lit(0), F.size(F.split(rows.text, "\n", -1)) - 1).alias("i")),
-                                lambda p: ~F.array_contains("removed", p["i"])), lambda p: p["x"])
-    cut = both.withColumn("_text", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(rows.text)))
+    lines = F.split(rows.text, "\n", -1)
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")))
+    # one split a row; the places that stay are looked up in it
+    kept = F.transform(F.array(F.struct(lines.alias("x"), stay.alias("i"))), lambda p: F.array_join(F.transform(p["i"], lambda i: F.get(p["x"], i)), "\n"))[0]
+    cut = both.withColumn("_text", F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(rows.text)))
+    if not keep_emptied:
+        cut = cut.where(F.col("removed").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
         own = F.col(f"c{docs.columns.index('n_chars')}")

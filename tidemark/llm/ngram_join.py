@@ -4,9 +4,9 @@ An n-gram is a 64-bit hash; two sets of n hashes are mistaken for more alike by
 chance of about n * n / 2**64.
 
 1. Frequencies.  A task reads a block of texts and sends the block's hashes, as packed arrays, to
-   buckets of the hash.  A bucket counts its hashes and answers every block with those that more
-   than one document has, and their counts.  N-grams of a single document never match, so they
-   are only counted; most documents end here.
+   buckets of the hash; a hash is sent once a block, with the number of documents that have it there.
+   A bucket adds up and answers every block with the hashes that more than one document has.
+   N-grams of a single document never match, so they are only counted; most documents end here.
 2. Prefixes.  A document's n-grams are ordered rare first (single ones, then by count and hash).
    Documents that reach the threshold share an n-gram in the first n - ceil(t * n) + 1 of both.
 3. Equal sets are one class from here on, so a group of copies is one node.
@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Positional, bytes_of, keyed_text, text_blocks
 from tidemark.llm.components import components
-from tidemark.llm.kernels import MIX_2, U, mix, words
+from tidemark.llm.kernels import MIX_2, U, mix, ranges_within, words
 from tidemark.session import stable
 
 WORDS, PERCENT = 5, 75
-BLOCK = 1_500_000
+BLOCK = 500_000
 #: Text bytes for each bucket of hashes; a bucket is counted in memory by one task at a time.
 BUCKET_BYTES = 16_000_000
+#: Buckets that one task counts, one after the other.
+BUCKETS_PER_TASK = 4
 LOW = -(1 << 63)
 
 
@@ -100,20 +102,26 @@ def _packed(blocks: Iterator[tuple[list, list]], n: int, buckets: int) -> Iterat
         leads[known_first[lead]] = True
         use = leads[owner]
         values, owner = values[use], owner[use]
-        bucket = (values >> U(33)) % U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        values, owner, bucket = values[order], owner[order].astype("<i4"), bucket[order].astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order].astype("<i4")
+        opens = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
+        # a hash is sent once with the number of its documents; who they are stays with the block
+        values, sizes = values[opens], np.diff(np.append(opens, len(values))).astype("<i4")
+        bucket = (((values >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else [], len(bucket)).astype(int)
         docs = np.array([LOW if i is None else i for i in ids], "<i8").tobytes()
         meta = docs + counts.astype("<i8").tobytes() + sums[0].tobytes() + sums[1].tobytes()
         block = (part << 32) | number
-        rows = [(-1, block, meta, leads.astype(np.uint8).tobytes())]
-        rows += [(int(bucket[a]), block, values[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        rows = [(-1, block, 0, meta, leads.astype(np.uint8).tobytes(), owner.tobytes(), sizes.tobytes())]
+        rows += [(int(bucket[a]), block, int(a), values[a:b].tobytes(), sizes[a:b].tobytes(), None, None) for a, b in zip(cuts, cuts[1:])]
         yield _arrays(rows, PACKED)
 
 
-PACKED = [("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary())]
-ANSWER = [("block", pa.int64()), ("meta", pa.binary()), ("leads", pa.binary()), ("hashes", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())]
+#: A block's row (bucket -1): ``hashes`` are ids, sizes and digests, ``counts`` the leads, ``owners`` the documents of its hashes, ``sizes`` how many each has.
+PACKED = [("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()),
+          ("owners", pa.binary()), ("sizes", pa.binary())]
+ANSWER = [("block", pa.int64()), ("meta", pa.binary()), ("leads", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()),
+          ("places", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())]
 SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("single", pa.int64()), ("grams", pa.list_(pa.int64()))]
 
 
@@ -129,23 +137,22 @@ def _count(table: pa.Table) -> pa.Table:
     """A bucket: for every block its hashes that other documents have too, with their counts."""
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
-    hashes, owners = table.column("hashes").to_pylist(), table.column("owners").to_pylist()
+    hashes, numbers = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
     if bucket < 0:
-        return pa.Table.from_batches([_arrays([(b, h, o, None, None, None) for b, h, o in zip(blocks, hashes, owners)], ANSWER)])
+        rest = (table.column(c).to_pylist() for c in ("owners", "sizes"))
+        return pa.Table.from_batches([_arrays([(*r, None, None, None) for r in zip(blocks, hashes, numbers, *rest)], ANSWER)])
     parts = [np.frombuffer(h, np.uint64) for h in hashes]
-    values = np.concatenate(parts)
+    values, number = np.concatenate(parts), np.concatenate([np.frombuffer(c, "<i4") for c in numbers])
     order = np.argsort(values, kind="stable")
     ranked = values[order]
-    opens = np.append(True, ranked[1:] != ranked[:-1])
-    sizes = np.diff(np.append(np.flatnonzero(opens), len(ranked)))
-    counts = np.empty(len(values), np.int32)
-    counts[order] = np.repeat(sizes, sizes)
+    opens = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    counts = np.empty(len(values), np.int64)
+    counts[order] = np.repeat(np.add.reduceat(number[order].astype(np.int64), opens), np.diff(np.append(opens, len(ranked))))
     rows, at = [], 0
-    for block, part, owner in zip(blocks, parts, owners):
-        mine = counts[at:at + len(part)]
-        some = mine > 1
-        if some.any():
-            rows.append((block, None, None, part[some].tobytes(), np.frombuffer(owner, "<i4")[some].tobytes(), mine[some].tobytes()))
+    for block, first, part in zip(blocks, table.column("first").to_pylist(), parts):
+        some = np.flatnonzero(counts[at:at + len(part)] > 1)
+        if len(some):
+            rows.append((block, None, None, None, None, (first + some).astype("<i4").tobytes(), part[some].tobytes(), counts[at + some].tobytes()))
         at += len(part)
     return pa.Table.from_batches([_arrays(rows, ANSWER)])
 
@@ -158,9 +165,12 @@ def _assemble(percent: int):
         docs, n, d1, d2 = np.frombuffer(head["meta"], "<i8").reshape(4, -1)
         leads = np.frombuffer(head["leads"], np.uint8) > 0
         got = [r for r in rows if r["hashes"] is not None]
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in got] or [np.zeros(0, np.uint64)])
-        owner = np.concatenate([np.frombuffer(r["owners"], "<i4") for r in got] or [np.zeros(0, np.int32)])
-        counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in got] or [np.zeros(0, np.int32)])
+        places = np.concatenate([np.frombuffer(r["places"], "<i4") for r in got] or [np.zeros(0, np.int32)])
+        sizes = np.frombuffer(head["sizes"], "<i4").astype(np.int64)
+        starts, own = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        owner = np.frombuffer(head["owners"], "<i4")[ranges_within(starts, starts + own)]
+        hashes = np.repeat(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in got] or [np.zeros(0, np.uint64)]), own)
+        counts = np.repeat(np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got] or [np.zeros(0, np.int64)]), own)
         single = n - np.bincount(owner, minlength=len(docs))
         may = leads & (docs != LOW) & (n > 0) & (n - Threshold(percent).least(n) + 1 > single)
         use = may[owner]
@@ -190,8 +200,10 @@ def gram_sets(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     packed = docs.mapInArrow(run, _ddl(PACKED))
     # block rows are dealt by block, hashes by bucket
     deal = F.when(F.col("bucket") < 0, -1 - F.pmod("block", F.lit(buckets))).otherwise(F.col("bucket"))
-    answers = packed.withColumn("deal", deal).groupBy("deal").applyInArrow(_count, _ddl(ANSWER))
-    return answers.groupBy("block").applyInArrow(_assemble(percent), _ddl(SETS))
+    # as many tasks as the text asks for, not as many as there are shuffle partitions
+    tasks = max(partitions, -(-buckets // BUCKETS_PER_TASK))
+    answers = packed.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal").applyInArrow(_count, _ddl(ANSWER))
+    return answers.repartition(tasks, "block").groupBy("block").applyInArrow(_assemble(percent), _ddl(SETS))
 
 
 def _verify(percent: int):
