@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeated_lines(docs, whole_from=COPY_FROM)
+    return line_dedup.without_repeated_lines(docs, whole_from=COPY_FROM, keep_emptied=False)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
