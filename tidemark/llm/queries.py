@@ -117,9 +117,9 @@ p as (select distinct conv_id, role as perspective from m where role <> 'system'
 s as (select m.conv_id, perspective, part, turn, role, text, role = perspective as own,
     case when role = 'system' then '<|system|>\n' when role = perspective then '<|assistant|>\n' else '<|user name=' || role || '|>\n' end as head
   from m join p on m.conv_id is not distinct from p.conv_id),
-o as (select *, coalesce(sum(length(head) + length(text) + 8) over (partition by conv_id, perspective, part order by turn nulls first, role, text
-    rows between unbounded preceding and 1 preceding), 0) as pos from s)
-select conv_id, perspective, part, count(*) as n_messages,
+o as (select *, cast(coalesce(sum(length(head) + length(text) + 8) over (partition by conv_id, perspective order by turn nulls first, role, text
+    rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from s)
+select conv_id, perspective, part, min(pos) as start, count(*) as n_messages,
   string_agg(head || text || '<|end|>\n', '' order by turn nulls first, role, text) as text,
   coalesce(string_agg(case when own then cast(pos + length(head) as varchar) || '-' || cast(pos + length(head) + length(text) as varchar) end, ','
     order by turn nulls first, role, text), '') as spans
