@@ -1,6 +1,7 @@
 """Occurrences of benchmark items against a plain alignment of every item with every text."""
 
 import random
+import time
 
 import numpy as np
 
@@ -79,3 +80,32 @@ def test_query_finds_all_verbatim_items(spark):
     for r in got:
         if r.edits == 0:
             assert docs[r.doc_id][r.start:r.end].lower() == items[r.item_id].strip().lower()
+
+
+def test_texts_that_repeat_a_pattern():
+    """A long run of one character against an item of the same: found everywhere, soon, in little memory."""
+    index = dc.build([1, 2], ["a" * 400, "ab" * 30], dc.Q, dc.RATE)
+    begin = time.perf_counter()
+    found = dc.matches(index, ["a" * 100_000, "x" + "ab" * 500], dc.Q)
+    assert time.perf_counter() - begin < 20
+    ones = [m for m in found[0] if m["item_id"] == 1]
+    assert len(ones) >= 100_000 // 432 and all(m["edits"] == 0 and m["end"] - m["start"] == 400 for m in ones)
+    assert all(a["end"] <= b["start"] for a, b in zip(ones, ones[1:]))
+    assert [m for m in found[1] if m["item_id"] == 2]
+
+
+def test_counting_by_band_finds_the_same(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(20):
+        items = ["".join(rng.choice("ab ") for _ in range(rng.choice([12, 40, 150]))) for _ in range(4)] + ["abc " * 20]
+        texts = []
+        for _ in range(5):
+            text = list("".join(rng.choice("abcdef ") for _ in range(150)) + rng.choice(items) + "ab " * rng.randrange(60) + rng.choice(items))
+            for _ in range(6):
+                text[rng.randrange(len(text))] = rng.choice("abx")
+            texts.append("".join(text))
+        index = dc.build(list(range(5)), items, dc.Q, dc.RATE)
+        monkeypatch.setattr(dc, "MANY_HITS", 10 ** 9)
+        spelled = dc.matches(index, texts, dc.Q)
+        monkeypatch.setattr(dc, "MANY_HITS", 0)
+        assert dc.matches(index, texts, dc.Q) == spelled

@@ -11,6 +11,7 @@ to all texts.  Documents are neither moved nor joined.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +32,8 @@ TABLE_BITS = 22
 NEVER = 0xFFFFFFFF
 #: Alignments that go in step.
 GROUP = 128
+#: Hits in a text from which they are counted by band at once.
+MANY_HITS = 500_000
 MATCHES = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
@@ -95,6 +98,13 @@ def candidates(index: Index, texts: list[np.ndarray], q: int) -> list[tuple[int,
     low = np.searchsorted(index.hashes, h[at])
     high = np.searchsorted(index.hashes, h[at], "right")
     n = high - low
+    # a text that repeats a q-gram of an item as often as it likes is counted band by band, hits are not spelled out
+    load = np.bincount(owner, n, len(texts))
+    crowded = np.flatnonzero(load > MANY_HITS)
+    dense = [c for t in crowded.tolist() for c in _dense(index, t, sizes[t], (at - first[owner])[owner == t], low[owner == t], high[owner == t])]
+    if len(crowded):
+        keep = ~np.isin(owner, crowded)
+        at, owner, low, n = at[keep], owner[keep], low[keep], n[keep]
     rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     who, item = np.repeat(owner, n), index.item[rows]
     pair = who * len(index.items) + item
@@ -108,7 +118,28 @@ def candidates(index: Index, texts: list[np.ndarray], q: int) -> list[tuple[int,
     keys, count = np.unique(keys, axis=0, return_counts=True)
     item = keys[:, 0] % len(index.items)
     good = count >= index.least[item]
-    return [(int(p) // len(index.items), int(i), int(b) * int(index.budget[i] + 1)) for p, i, b in zip(keys[good, 0], item[good], keys[good, 1])]
+    return dense + [(int(p) // len(index.items), int(i), int(b) * int(index.budget[i] + 1)) for p, i, b in zip(keys[good, 0], item[good], keys[good, 1])]
+
+
+def _dense(index: Index, text: int, size: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """``candidates`` of one text: for every place of a q-gram in an item, its places in the text are counted by band."""
+    counts: dict[int, np.ndarray] = {}
+    shift = {}
+    order = np.argsort(low, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(low[order])) + 1):
+        if not len(places) or high[places[0]] == low[places[0]]:
+            continue
+        for row in range(int(low[places[0]]), int(high[places[0]])):
+            i, width = int(index.item[row]), int(index.budget[index.item[row]]) + 1
+            if i not in counts:
+                shift[i] = len(index.items[i]) // width + 2
+                counts[i] = np.zeros(shift[i] + int(size) // width + 3, np.int64)
+            counts[i] += np.bincount((at[places] - int(index.place[row])) // width + shift[i], minlength=len(counts[i]))
+    out = []
+    for i, c in counts.items():
+        both = c[:-1] + c[1:]  # a band and the next one
+        out += [(text, i, int(b - shift[i]) * int(index.budget[i] + 1)) for b in np.flatnonzero(both >= index.least[i])]
+    return out
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, wide: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +175,19 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, wid
 
 
 def _aligned(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, wide: np.ndarray, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """``align`` in groups of items of like length."""
+    """``align`` in groups of items of like length; an item meets equal stretches of text once."""
     edits, ends = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-    order = np.argsort([len(x) for x in items], kind="stable")
+    seen: dict[tuple, int] = {}
+    like = np.empty(len(items), np.int64)
+    for c, (item, text) in enumerate(zip(items, texts)):
+        a, b = max(0, int(low[c])), min(len(text), int(low[c]) + len(item) + int(wide[c]) + 1)
+        like[c] = seen.setdefault((item.tobytes(), int(wide[c]), a - int(low[c]), b - int(low[c]), text[a:max(a, b)].tobytes()), c)
+    own = np.unique(like)
+    order = own[np.argsort([len(items[i]) for i in own], kind="stable")]
     for g in np.split(order, np.arange(GROUP, len(order), GROUP)):
         if len(g):
             edits[g], ends[g] = align([items[i] for i in g], [texts[i] for i in g], low[g], wide[g], anchored)
-    return edits, ends
+    return edits[like], ends[like] - low[like] + low
 
 
 def matches(index: Index, texts: list[str | None], q: int) -> list[list[dict]]:
@@ -170,11 +207,12 @@ def matches(index: Index, texts: list[str | None], q: int) -> list[list[dict]]:
         found.setdefault(tried[h][:2], []).append((int(edits[h]), int(ends[h]) - size, int(ends[h])))
     out: list[list[dict]] = [[] for _ in texts]
     for (t, i), spans in found.items():
-        kept: list[tuple[int, int, int]] = []
+        kept: list[tuple[int, int, int]] = []  # (start, end, edits), apart and in order
         for fewest, a, b in sorted(spans):
-            if all(b <= c or a >= d for _, c, d in kept):
-                kept.append((fewest, a, b))
-        out[t] += [{"item_id": index.ids[i], "start": a, "end": b, "edits": fewest} for fewest, a, b in kept]
+            at = bisect_left(kept, (a, b, fewest))
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                kept.insert(at, (a, b, fewest))
+        out[t] += [{"item_id": index.ids[i], "start": a, "end": b, "edits": fewest} for a, b, fewest in kept]
     return [sorted(m, key=lambda x: (x["start"], x["item_id"] is not None, x["item_id"] or 0)) for m in out]
 
 
