@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,12 +21,27 @@ ROW_CHARS = 500_000
 BATCH_ROWS = 128
 
 
+#: Rows of an Arrow batch where the session has Spark's own default: texts are long, and a batch is held on both sides.
+ARROW_ROWS, ARROW_DEFAULT, ARROW_KEY = 1000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(df: DataFrame) -> DataFrame:
-    """Make the package known to the executors before Python work is planned."""
-    utc(df.sparkSession)
+    """Make the package known to the executors before Python work is planned, with batches of moderate size."""
+    spark = utc(df.sparkSession)
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside its successors and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -56,6 +72,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_CHARS) ->
                 size += len(t)
     if ids:
         yield ids, texts
+    del ids, texts
+    give_back()
 
 
 def longs(column: pa.Array) -> np.ndarray:
