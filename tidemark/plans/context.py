@@ -42,7 +42,7 @@ l as (select * from w where prev is null or prev is distinct from struct_pack(a
   qualify row_number() over (partition by scope, target, name order by arrival_seq desc) = 1)"""
 
 
-@query("T8 T9 W9", _LATEST + """ select scope, target, name, value, severity, epoch_us(updated_at) as updated_us, arrival_seq from l
+@query("T8 W9", _LATEST + """ select scope, target, name, value, severity, epoch_us(updated_at) as updated_us, arrival_seq from l
   order by updated_at desc, scope desc, target desc, name desc limit 40""")
 def state_latest(spark, sf):
     return state.evict(state.latest(updates(spark, sf)), max_entries=40).select(
@@ -196,7 +196,7 @@ _REASON = f"""case when not e.policy_eligible then 'ineligible' when e.available
   when e.valid_until is not null and d.t > e.valid_until then 'expired' when e.valid_until is null and d.t - e.available_at > interval '3' day then 'outside' end"""
 
 
-@query("J9 P31 P32", _EV + f""", r as (select d.decision_id, {_REASON} as reason from d cross join e)
+@query("J9 P31", _EV + f""", r as (select d.decision_id, {_REASON} as reason from d cross join e)
 select decision_id, count(*) filter (where reason is null) as n_selected, count(*) filter (where reason = 'ineligible') as n_policy_ineligible, count(*) filter (where reason = 'missing') as n_missing_availability,
   count(*) filter (where reason = 'scope') as n_scope_mismatch, count(*) filter (where reason = 'future') as n_future, count(*) filter (where reason = 'expired') as n_expired,
   count(*) filter (where reason = 'outside') as n_outside_lookback from r group by 1""")
@@ -204,7 +204,7 @@ def evidence_select(spark, sf):
     return ev.exclusion_counts(decisions(spark, sf), evidence_rows(spark, sf), max_age_us=_AGE)
 
 
-@query("J9 P31 T2", _EV + f""" select d.decision_id, count(*) as n_selected, cast(sum(cast(substr(e.evidence_id, 2) as bigint)) as bigint) as id_sum from d join e on {_REASON} is null group by 1""")
+@query("J9 P31", _EV + f""" select d.decision_id, count(*) as n_selected, cast(sum(cast(substr(e.evidence_id, 2) as bigint)) as bigint) as id_sum from d join e on {_REASON} is null group by 1""")
 def evidence_pairs(spark, sf):
     """The selection as a count and a sum of ids per decision: the pairs themselves grow with the square of the tables."""
     sums = ev.live_sums(decisions(spark, sf), evidence_rows(spark, sf), id="decision_id", at="evaluation_time", max_age_us=_AGE, value=F.expr(_NUMBER))
@@ -215,7 +215,7 @@ _POLICY = ev.Policy((ev.Rule("halt", ("FLAG_TYPE:K3",), "BLOCK", "k3_seen"), ev.
                      ev.Rule("note", ("FLAG_TYPE:K2",), "WARN_ONLY", "k2_seen")), "desk_v1")
 
 
-@query("J22 E2 F4", _EV + f""", s as (select d.decision_id, e.evidence_id, e.available_at, case e.policy_match_key when 'FLAG_TYPE:K3' then 0 when 'FLAG_TYPE:K1' then 1 when 'FLAG_TYPE:K4' then 1 when 'FLAG_TYPE:K2' then 2 end as o
+@query("J22 E2", _EV + f""", s as (select d.decision_id, e.evidence_id, e.available_at, case e.policy_match_key when 'FLAG_TYPE:K3' then 0 when 'FLAG_TYPE:K1' then 1 when 'FLAG_TYPE:K4' then 1 when 'FLAG_TYPE:K2' then 2 end as o
   from d join e on {_REASON} is null and e.policy_match_key in ('FLAG_TYPE:K1', 'FLAG_TYPE:K2', 'FLAG_TYPE:K3', 'FLAG_TYPE:K4')),
 w as (select decision_id, min(o) as o from s group by 1),
 i as (select s.decision_id, s.o, count(*) as n, cast(sum(cast(substr(evidence_id, 2) as bigint)) as bigint) as total from s join w using (decision_id, o) group by 1, 2)
@@ -227,7 +227,7 @@ def shadow_policy(spark, sf):
                       "matched_rows", F.col("matched_total").alias("matched_ids"))
 
 
-@query("A15 A16 J18 U4", with_views("evidence") + """, e as (select *, 'R' || cast(k as string) as rec, case when k % 11 = 0 then 'eia_wpsr_v1' else 'desk_flags' end as src from evidence)
+@query("A16 J18 U4", with_views("evidence") + """, e as (select *, 'R' || cast(k as string) as rec, case when k % 11 = 0 then 'eia_wpsr_v1' else 'desk_flags' end as src from evidence)
 select 'duplicate_source_record' as problem, src || '|' || rec as key, count(*) as rows from e group by src, rec having count(*) > 1
 union all select 'structured_source', src, count(*) from e where src = 'eia_wpsr_v1' group by 2
 union all select 'source_not_admitted', src, count(*) from e where src <> 'desk_flags' group by 2
@@ -280,7 +280,7 @@ def calendar_revisions(spark, sf):
             .unionByName(kind("upcoming", calendar.upcoming(rev, ts("1996-01-01"), limit=7))).unionByName(active))
 
 
-@query("W4 P42", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, date_trunc('month', o_orderdate) as cap from orders)
+@query("W4", """with c as (select concat('occ', cast(cast(floor(o_custkey / 2.0) as bigint) as string)) as occ, o_orderkey, date_trunc('month', o_orderdate) as cap from orders)
 select occ as occurrence_id, 'duplicate_captured_at' as problem from c group by 1 having count(distinct cap) < count(*)
 union all select occ, 'duplicate_revision_id' from c group by 1 having count(distinct o_orderkey) < count(*)""")
 def calendar_problems(spark, sf):
@@ -300,7 +300,7 @@ def calendar_state(spark, sf):
     return out.select("name", "value", micros("updated_at").alias("updated_us"), micros("valid_until").alias("until_us"), "revision_id")
 
 
-@query("J4 W15 F19", """with r as (select distinct date_trunc('week', o_orderdate) as release_at from orders), w as (select *, 'r' || cast(epoch_us(release_at) as varchar) as release_id,
+@query("J4 W15", """with r as (select distinct date_trunc('week', o_orderdate) as release_at from orders), w as (select *, 'r' || cast(epoch_us(release_at) as varchar) as release_id,
   release_at - interval '90' minute as ws, release_at + interval '240' minute as we from r), t as (select distinct 'T' || cast(user_id % 10 as varchar) as ticker from events),
 p as (select event_id, timestamp '1995-02-01' + event_id * interval '37' minute as t from events)
 select p.event_id, w.release_id, t.ticker from p join w on p.t between w.ws and w.we cross join t""")
@@ -391,7 +391,7 @@ _AW = """s as (select lpad(cast(o_custkey % 200 as varchar), 12, '0') as uei, 'L
 m as (select distinct lpad(cast(c_custkey % 200 as varchar), 12, '0') as uei, 'T' || cast(c_custkey % 200 % 10 as varchar) as ticker from customer where c_custkey % 200 % 3 = 0)"""
 
 
-@query("T6 J15 J16 S13", "with " + _AW + """, r as (select s.*, m.ticker, row_number() over (partition by s.uei order by coalesce(lm, '') desc, lookup_id desc) as rk from s join m using (uei)),
+@query("T6 J15 J16", "with " + _AW + """, r as (select s.*, m.ticker, row_number() over (partition by s.uei order by coalesce(lm, '') desc, lookup_id desc) as rk from s join m using (uei)),
 k as (select *, case when o_orderkey % 7 = 0 then 'DETAIL_MISSING' when o_orderkey % 11 = 0 then 'RECIPIENT_MISMATCH' when o_orderkey % 5 = 0 then 'FUNDING_MISSING' end as issue from r where rk <= 9)
 select lookup_id, uei, coalesce(issue, 'COMPLETE') as outcome from k
 union all select cast(count(*) as varchar), uei, 'CANDIDATE_CAP_REACHED' from r group by uei having count(*) > 9""")
@@ -407,7 +407,7 @@ def award_topk(spark, sf):
             .unionByName(over.select(F.col("candidates").cast("string").alias("lookup_id"), "uei", F.col("issue_type").alias("outcome"))))
 
 
-@query("P40 P41 J17 X9 F21 J24", "with " + _AW + """, a as (select s.*, case o_orderkey % 6 when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D' when 4 then 'IDV' else 'A' end as kind, case when o_orderkey % 4 = 0 then null else 'contract' end as cat,
+@query("P40 P41 J17 X9 F21", "with " + _AW + """, a as (select s.*, case o_orderkey % 6 when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D' when 4 then 'IDV' else 'A' end as kind, case when o_orderkey % 4 = 0 then null else 'contract' end as cat,
   case when o_orderkey % 9 = 0 then null else cast(o_orderdate as date) end as bd, case when o_orderkey % 10 = 0 then 'NEW_AWARD_DISCOVERED' end as stored from s),
 e as (select *, coalesce(stored, case when bd is not null and date '1998-07-01' - bd <= 900 then 'NEW_AWARD_DISCOVERED' else 'LATE_OR_BACKFILL_DISCOVERY' end) as cls from a where kind in ('A', 'B', 'C', 'D'))
 select lookup_id, cls as classification, case when o_orderkey % 10 <> 0 then 'DISCOVERY' when o_orderkey % 20 = 0 then 'REVISION' else 'SEEN' end as event_kind, case when o_orderkey % 3 = 0 then 'TOUCHED' else 'INSERTED' end as merge_action from e
@@ -453,7 +453,7 @@ def award_funding(spark, sf):
     return awards.funding_evidence(li).select("lookup_id", "funding_records", "funding_fingerprint")
 
 
-@query("A19 A22 P49", """with s as (select user_id % 50 as source, count(*) filter (where event_type = 'error' and value > 400) as issues, count(*) filter (where event_type <> 'error') as good, max(cast(ts as date)) filter (where event_type = 'purchase') as d from events group by 1)
+@query("A19 A22", """with s as (select user_id % 50 as source, count(*) filter (where event_type = 'error' and value > 400) as issues, count(*) filter (where event_type <> 'error') as good, max(cast(ts as date)) filter (where event_type = 'purchase') as d from events group by 1)
 select source, case when good = 0 then 'FAILED' when issues > 0 or d is null then 'PARTIAL' when not (date '2024-01-31' - d between 0 and 1) then 'STALE' else 'SUCCESS' end as status, coalesce(date '2024-01-31' - d, -1) as age_days from s""")
 def run_status(spark, sf):
     e = table(spark, sf, "events")

@@ -72,7 +72,7 @@ def _flat(df: DataFrame) -> DataFrame:
                      r6(F.col("spread_bps")).alias("spread_bps"), "is_crossed_or_locked", "volume_window")
 
 
-@query("W1 W2 A9 P3 U2", _ROLLING)
+@query("W1 W2 A9 P3", _ROLLING)
 def rolling_features(spark, sf):
     return _flat(build_features(records(spark, sf), lookback_seconds=LOOKBACK))
 
@@ -127,7 +127,7 @@ def live_window(spark, sf):
     return out.select("ticker", "arrival", "t", "max_time", "live_rows", r6(F.col("live_volume")).alias("live_volume"))
 
 
-@query("X3", "select 'sliced_vs_plain' as pair, count(*) as compared, cast(0 as bigint) as differing from events")
+@query("W1", "select 'sliced_vs_plain' as pair, count(*) as compared, cast(0 as bigint) as differing from events")
 def parity_diff(spark, sf):
     r = records(spark, sf)
     plain = build_features(r, lookback_seconds=LOOKBACK, sliced=False)

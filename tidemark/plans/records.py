@@ -79,7 +79,7 @@ def section_extract(spark, sf):
     return out.select("doc_id", "item_number", "full_character_count", "full_section_hash", "excerpt_hash", "input_truncated")
 
 
-@query("P48 F9 F3 F22", None)
+@query("P48 F3", None)
 def classification_requests(spark, sf):
     docs = eight_k(spark, sf)
     sec = filings.prepare(filings.sections(docs.select("doc_id", "source", F.sha2("html", 256).alias("document_hash"), filings.document_text("html").alias("text")),
@@ -135,7 +135,7 @@ _OUT = """case doc_id % 12 when 0 then 'not json' when 1 then '{{"status":"VALID
   case doc_id % 12 when 8 then '  ' when 9 then 'Investors should buy now.' else 'Quality ' || cast(quality as {s}) || ' noted' end || '"}}' end"""
 
 
-@query("P35 P36 E1", "with l as (select doc_id, quality, toxic, " + _OUT.format(s="varchar") + """ as output from labels),
+@query("P35 P36", "with l as (select doc_id, quality, toxic, " + _OUT.format(s="varchar") + """ as output from labels),
 r as (select *, case doc_id % 12 when 0 then 'SCHEMA_INVALID' when 1 then 'SCHEMA_INVALID' when 2 then 'UNKNOWN_STATUS' when 4 then 'INVALID_ABSTAINED_SHAPE' when 5 then 'UNKNOWN_ENUM' when 6 then 'INVALID_CONFIDENCE' when 7 then 'INVALID_CONFIDENCE'
   when 8 then 'INVALID_SUMMARY' when 9 then 'TRADING_INSTRUCTION_SUMMARY' when 10 then 'INCOMPLETE_VALID_CLASSIFICATION' end as reason from l)
 select doc_id, reason, case when reason is not null then 'VALIDATION_REJECTED' when doc_id % 12 = 3 then 'ABSTAINED' else 'VALID' end as status,
@@ -160,7 +160,7 @@ def trading_instruction(spark, sf):
 _ATT = """a as (select conv_id, turn, 'A' || cast(conv_id as varchar) || '-' || cast(turn as varchar) as att, sha256(text) as fp, conv_id * 100 + turn as seen_at, case when turn % 3 = 0 then 'PROVIDER_FAILED' else 'VALID' end as status from conversations)"""
 
 
-@query("X8 F9", "with " + _ATT + """, f as (select fp, min(seen_at) as t0, arg_min(att, seen_at) as first_att from a where status = 'VALID' group by 1)
+@query("X8", "with " + _ATT + """, f as (select fp, min(seen_at) as t0, arg_min(att, seen_at) as first_att from a where status = 'VALID' group by 1)
 select att as attempt, coalesce(seen_at > t0, false) as deduplicated, case when seen_at > t0 then first_att end as reused from a left join f using (fp)""")
 def classification_reuse(spark, sf):
     a = table(spark, sf, "conversations").select(
@@ -189,7 +189,7 @@ def classification_attempts(spark, sf):
 
 # --- identifiers and formats ------------------------------------------------------------------
 
-@query("F1 F2 F3 F10 F12 F16", with_views("model_signals") + """ select signal_id, 'sig_' || substring(sha256(signal_id || '|' || ticker || '|' || cast(seq as varchar)), 1, 32) as stable,
+@query("F1 F2 F3 F10 F16", with_views("model_signals") + """ select signal_id, 'sig_' || substring(sha256(signal_id || '|' || ticker || '|' || cast(seq as varchar)), 1, 32) as stable,
   'ctx_' || sha256('{"latency":' || cast(cast(latency_ms as bigint) as varchar) || ',"side":"' || signal || '","spread":' || coalesce(cast(case when spread is not null then seq % 7 end as varchar), 'null') || ',"ticker":"' || ticker || '"}') as fingerprint,
   strftime(signal_time, '%Y-%m-%dT%H:%M:%S.%fZ') as iso, signal_id || '_' || ticker as client_id, 'UNKNOWN' as sector from model_signals""")
 def fingerprints(spark, sf):
@@ -216,7 +216,7 @@ def format_functions(spark, sf):
         tm.discovery_window(F.lit("2024-01-10 12:00:00").cast("timestamp"), 7)["start"].cast("string").alias("window_start"))
 
 
-@query("P43 P50", with_views("model_signals") + """ select signal_id, concat_ws(',', case when confidence > 0.9e0 or false then 'confidence' end, case when k % 7 = 0 then 'signal' end) as violations from model_signals
+@query("P43", with_views("model_signals") + """ select signal_id, concat_ws(',', case when confidence > 0.9e0 or false then 'confidence' end, case when k % 7 = 0 then 'signal' end) as violations from model_signals
   where confidence > 0.9e0 or k % 7 = 0""")
 def contract_checks(spark, sf):
     s = view(spark, sf, "model_signals").select("signal_id", F.col("signal_time").cast("timestamp").alias("signal_time"), "ticker",
@@ -281,7 +281,7 @@ def ledger_append(spark, sf):
             F.lit("dead_letter").alias("place"), "day", "rows", F.lit(-1).cast("long").alias("confidence_sum")))
 
 
-@query("K6 K7", """with o as (select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0), n as (select o_orderkey, case when o_orderkey % 14 = 0 then o_totalprice + 1 else o_totalprice end as p from orders)
+@query("K6", """with o as (select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0), n as (select o_orderkey, case when o_orderkey % 14 = 0 then o_totalprice + 1 else o_totalprice end as p from orders)
 select n.o_orderkey, case when o.o_orderkey is null then 'append' else 'conflict' end as outcome from n left join o on o.o_orderkey = n.o_orderkey where o.o_orderkey is null or o.o_totalprice <> n.p""")
 def archive_write_once(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import micros
-from tidemark.operators import bars, classification, energy, evidence as ev
+from tidemark.operators import bars, calendar, classification, energy, evidence as ev, quality
 from tidemark.plans.context import _DEC, decisions, evidence_rows
 from tidemark.plans.registry import query
 from tidemark.plans.views import table, view, with_views
@@ -152,3 +152,66 @@ def ledger_retry(spark, sf):
     done = first.unionByName(again).select("signal_id", F.lit(1).alias("_r"))
     return kept.join(done, "signal_id", "left").groupBy(F.to_date("signal_time").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("signal_id").alias("ids"), F.count("_r").alias("replayed"))
+
+
+_TYPES = ", ".join(f"'{t}'" for t in calendar.EVENT_TYPES)
+
+
+@query("P42", f"""with e as (select o_orderkey as id, case when o_orderkey % 13 = 1 then 'EIA_STOCKS' when o_orderkey % 2 = 0 then 'CPI' else 'GDP' end as event_type,
+  case when o_orderkey % 17 = 2 then null else 'TIER_' || (o_orderkey % 4) end as tier, case o_orderstatus when 'F' then 'CONFIRMED' when 'O' then 'TENTATIVE' else 'UNKNOWN' end as status,
+  case when o_orderkey % 19 = 3 then null else o_orderdate end as scheduled_at, case when o_orderkey % 23 = 4 then o_orderdate + interval 2 day when o_orderkey % 5 = 0 then null else o_orderdate end as published_at,
+  o_orderdate + interval 1 day as captured_at, case when o_orderkey % 29 = 5 then ' ' else 'r' || o_orderkey end as revision_id,
+  case when o_orderkey % 31 = 6 then null when o_orderkey % 37 = 7 then 'petroleum desk' else 'agency' end as source_reference from orders),
+p as (select list_filter([case when not event_type in ({_TYPES}) then 'event_type' end, case when tier is null or tier not in ('TIER_1', 'TIER_2', 'TIER_3') then 'tier' end,
+  case when event_type like '%EIA%' or upper(coalesce(source_reference, '')) like '%PETROLEUM%' then 'forbidden_family' end, case when status = 'UNKNOWN' then 'status' end,
+  case when published_at > captured_at then 'published_before_captured' end, case when scheduled_at is null then 'scheduled_at' end, case when trim(revision_id) = '' then 'revision_id' end,
+  case when source_reference is null then 'source_reference' end], lambda x: x is not null) as broken from e)
+select problem, count(*) as rows, cast(sum(n) as bigint) as problems_of_these from (select unnest(broken) as problem, len(broken) as n from p) q group by 1""")
+def calendar_event_problems(spark, sf):
+    """The constraints of a calendar event over events with planted faults: how often each is broken."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    events = table(spark, sf, "orders").select(
+        F.when(key % 13 == 1, "EIA_STOCKS").when(key % 2 == 0, "CPI").otherwise("GDP").alias("event_type"),
+        F.when(key % 17 != 2, F.concat(F.lit("TIER_"), (key % 4).cast("string"))).alias("tier"),
+        F.when(F.col("o_orderstatus") == "F", "CONFIRMED").when(F.col("o_orderstatus") == "O", "TENTATIVE").otherwise("UNKNOWN").alias("status"),
+        F.when(key % 19 != 3, day).alias("scheduled_at"), F.when(key % 23 == 4, day + F.expr("interval 2 days")).when(key % 5 != 0, day).alias("published_at"),
+        (day + F.expr("interval 1 day")).alias("captured_at"), F.when(key % 29 == 5, " ").otherwise(F.concat(F.lit("r"), key.cast("string"))).alias("revision_id"),
+        F.when(key % 37 == 7, F.when(key % 31 != 6, "petroleum desk")).when(key % 31 != 6, "agency").alias("source_reference"),
+        F.concat(F.lit("occ"), key.cast("string")).alias("occurrence_id"))
+    broken = quality.check(events, calendar.problems()).select(F.explode("violations").alias("problem"), F.size("violations").alias("n"))
+    return broken.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("problems_of_these"))
+
+
+@query("P43 P49 P50", with_views("market_records", "fills", "health_events") + """, b as (
+  select 'market_record' as kind, 'price' as rule, 'T' || 0 as x from market_records where price is not null and ingest_seq % 50 = 3
+  union all select 'market_record', 'source', '' from market_records where ingest_seq % 41 = 2
+  union all select 'fill_event', 'quantity', '' from fills where o1 % 43 = 1 union all select 'fill_event', 'fill_id', '' from fills where o1 % 47 = 2
+  union all select 'fill_event', 'side', '' from fills where o1 % 53 = 3
+  union all select 'health_event', 'component', '' from health_events where event_id % 40 = 0 union all select 'health_event', 'status', '' from health_events where event_id % 37 = 1
+  union all select 'risk_input', 'spread_bps', '' from events where event_id % 31 = 4 union all select 'risk_input', 'daily_loss_dollars', '' from events where event_id % 29 = 5
+  union all select 'risk_input', 'open_positions', '' from events where event_id % 23 = 6
+  union all select 'latency_metric', 'latency_ms', '' from events where event_id % 19 = 7 union all select 'trade_outcome', 'quantity', '' from events where event_id % 17 = 8)
+select kind as source, rule as issue_type, count(*) as rows from b group by 1, 2""")
+def record_contracts(spark, sf):
+    """Issue rows of six record kinds with planted faults, counted by kind and rule."""
+    e = table(spark, sf, "events")
+    at, i = F.col("ts").cast("timestamp"), F.col("event_id")
+    m, f, h = (view(spark, sf, name) for name in ("market_records", "fills", "health_events"))
+    one = F.lit(1.0)
+    kinds = {
+        "market_record": (m.withColumns({"price": F.when(F.col("ingest_seq") % 50 == 3, F.when(F.col("price").isNotNull(), F.lit(float("nan")))).otherwise(F.col("price")),
+                                         "source": F.when(F.col("ingest_seq") % 41 != 2, "desk")}), "ingest_seq"),
+        "fill_event": (f.withColumns({"quantity": F.when(F.col("o1") % 43 == 1, -one).otherwise(F.col("quantity")),
+                                      "fill_id": F.when(F.col("o1") % 47 == 2, " ").otherwise(F.col("fill_id")), "side": F.when(F.col("o1") % 53 == 3, "HOLD").otherwise(F.col("side"))}), "o1"),
+        "health_event": (h.withColumns({"component": F.when(F.col("event_id") % 40 != 0, F.col("component")), "status": F.when(F.col("event_id") % 37 == 1, "").otherwise(F.col("status"))}), "event_id"),
+        "risk_input": (e.select("event_id", F.lit(None).cast("double").alias("spread_dollars"), F.when(i % 31 == 4, -one).otherwise(one).alias("spread_bps"),
+                                F.lit(None).cast("double").alias("latency_ms"), F.when(i % 29 != 5, one).alias("daily_loss_dollars"), F.lit(0).alias("consecutive_losses"),
+                                F.when(i % 23 == 6, -1).otherwise(2).alias("open_positions")), "event_id"),
+        "latency_metric": (e.select("event_id", at.alias("measured_time"), F.lit("feed").alias("component"), F.when(i % 19 == 7, F.lit(float("inf"))).otherwise(one).alias("latency_ms")), "event_id"),
+        "trade_outcome": (e.select("event_id", at.alias("entry_time"), F.lit("T1").alias("ticker"), F.when(i % 17 == 8, 0 * one).otherwise(one).alias("quantity")), "event_id")}
+    out = None
+    for kind, (df, key) in kinds.items():
+        broken = quality.check(df, quality.contract(kind)).withColumn("rule", F.explode("violations"))
+        rows = quality.issues(broken, kind, F.col(key), F.col("rule"), F.concat(F.lit("rule is broken: "), F.col("rule")))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("source", "issue_type").agg(F.count(F.lit(1)).alias("rows"))
