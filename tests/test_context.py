@@ -309,3 +309,12 @@ def test_award_rules(spark):
     df = spark.createDataFrame([(None, dt.date(2026, 5, 16)), (None, dt.date(2026, 5, 15)), (None, None), ("NEW_AWARD_DISCOVERED", None)], "stored string, d date")
     got = [r.c for r in df.select(awards.classify(F.col("stored"), F.col("d"), F.lit(late).cast("timestamp"), 2).alias("c")).collect()]
     assert got == ["NEW_AWARD_DISCOVERED", "LATE_OR_BACKFILL_DISCOVERY", "LATE_OR_BACKFILL_DISCOVERY", "NEW_AWARD_DISCOVERED"]
+
+
+def test_interval_join_keeps_the_intervals_off_the_driver(spark):
+    from tidemark.operators.intervals import interval_join
+    points = spark.createDataFrame([(i % 3, i * 1000) for i in range(50)], "k int, at long")
+    spans = spark.createDataFrame([(k, a * 1000, a * 1000 + 5000) for k in range(3) for a in range(0, 50, 7)], "k int, a long, z long")
+    out = interval_join(points, spans, keys=["k"], at="at", start="a", end="z")
+    assert out.count() == sum(1 for i in range(50) for a in range(0, 50, 7) if a * 1000 <= i * 1000 <= a * 1000 + 5000)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()  # tiny sides, which a plan would broadcast

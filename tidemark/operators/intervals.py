@@ -43,5 +43,6 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, keys: Sequence[str
         F.struct(F.lit(i).alias("_level"), bucket(F.col(at), w).alias("_bucket")) for i, w in enumerate(widths)],
         F.struct(F.lit(OPEN).alias("_level"), F.lit(0).cast("long").alias("_bucket")))))
     probe = probe.select(*points.columns, "_probe.*")
-    out = probe.join(stored, [*keys, "_level", "_bucket"])
+    # a merge join: sizes estimated from files miss what aggregates and buckets make of them, and a side that only seems small would pass the driver
+    out = probe.join(stored.hint("merge"), [*keys, "_level", "_bucket"])
     return out.filter((F.col(at) >= lo) & (hi.isNull() | (F.col(at) <= hi))).drop("_level", "_bucket")
