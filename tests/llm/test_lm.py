@@ -200,3 +200,8 @@ def test_known_words_and_new_ones(monkeypatch):
 
 def test_crc_of_the_query(spark):
     assert spark.createDataFrame([(7,), (None,)], "doc_id long").select((quality.id_hash() % 10 == 0).alias("h")).collect() == [(held(7),), (True,)]
+
+
+def test_every_window_of_a_training_text_is_learned_from():
+    w = at.Windows.cut(np.arange(4000, dtype=np.uint16) % 50, np.array([3000, 1, 999]), 3)
+    assert w.every(lm.EVERY).tolist() == list(range(len(w.first)))

@@ -5,8 +5,8 @@
    its words in its block's list; per block its distinct words with their training counts.
 2. Base.  The word lists go, as packed arrays, to buckets of the word's hash.  A bucket adds up
    and answers every block with the counts of its words.
-3. Model (``attention``).  Symbols and their weights come from all training ids.  Of every training
-   text, each EVERY-th window gives targets, with the window before it as context.  After a start
+3. Model (``attention``).  Symbols and their weights come from all training ids.  Every window of
+   every training text gives targets, with the window before it as context.  After a start
    on a bounded sample, in each round every task trains its own copy on its share of the round's
    texts, and Spark averages the copies by targets; the rounds cover all training texts.
 4. Scoring reads the ids again, window by window, and meets the counts at the block.
@@ -48,8 +48,8 @@ SHARES, RATES = (3, 5), (0.006, 0.002)
 START_TEXTS, START_IDS, START_RATE, START_STEPS = 2000, 2_000_000, 0.012, 500
 #: Windows of a step, and ids that are mixed before they are dealt into steps.
 STEP, MIX_IDS = 384, 2_000_000
-#: Of a training text, every so many-th window gives targets; the window before it is their context.
-EVERY = 8
+#: Of a training text, every so many-th window gives targets: all of them, each with the window before it as context.
+EVERY = 1
 #: Windows of the smallest step.
 LEAST_STEP = 32
 #: Numbers in one row of a model on its way to the average, and models that meet at once.
