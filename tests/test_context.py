@@ -318,3 +318,23 @@ def test_interval_join_keeps_the_intervals_off_the_driver(spark):
     out = interval_join(points, spans, keys=["k"], at="at", start="a", end="z")
     assert out.count() == sum(1 for i in range(50) for a in range(0, 50, 7) if a * 1000 <= i * 1000 <= a * 1000 + 5000)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()  # tiny sides, which a plan would broadcast
+
+
+def test_live_sums_are_exact_and_one_row_per_scope_key(spark, monkeypatch):
+    t = lambda n: dt.datetime(2026, 5, 1) + dt.timedelta(minutes=n)
+    values = [3 * 2 ** 60, -5, 2 ** 33 + 7, 2 ** 62 - 1, -2 ** 62, 0, None, 2 ** 62]
+    e = spark.createDataFrame([(f"e{i}", i % 3, v, ["A"], None, False, t(i), None, t(i + 4), True) for i, v in enumerate(values)],
+                              "evidence_id string, ordinal int, v long, tickers array<string>, sector string, is_global boolean, available_at timestamp, valid_from timestamp, valid_until timestamp, policy_eligible boolean")
+    d = spark.createDataFrame([(i, "A", "G", t(i)) for i in range(12)], "decision_id long, ticker string, sector string, evaluation_time timestamp")
+    rows, scan = [], ev.OrderedScan
+    monkeypatch.setattr(ev, "OrderedScan", lambda df, *a, **k: rows.append(df.where("_kind = 1").count()) or scan(df, *a, **k))
+    got = {(r.decision_id, r.ordinal): (r.n, r.total) for r in ev.live_sums(
+        d, e, id="decision_id", at="evaluation_time", max_age_us=1, value=F.col("v"), ordinals=3).collect()}
+    want = {}
+    for i in range(12):
+        for j, v in enumerate(values):
+            if j <= i <= j + 4:
+                n, s = want.get((i, j % 3), (0, 0))
+                want[i, j % 3] = (n + 1, s + (v or 0))
+    assert got == want
+    assert rows == [4 * 12]  # a decision's four scope keys, not once more for every ordinal

@@ -306,27 +306,34 @@ def live_sums(decisions: DataFrame, evidence: DataFrame, *, id: str, at: str, ma
 
     A row counts from its start to its end, so both are running sums and no pairs are made.
     ``evidence`` may have an ``ordinal`` (0 to ordinals - 1); only decisions with rows appear.
+    Values are summed as two halves of 32 bits in longs, which cannot overflow and cost far less than decimals.
     """
     usable = evidence.filter(F.col("policy_eligible") & F.col("available_at").isNotNull())
     if "ordinal" not in usable.columns:
         usable = usable.withColumn("ordinal", F.lit(0))
-    keyed = _keys(usable.withColumn("_v", value.cast("decimal(38,0)")).withColumns(_window(max_age_us)))
-    weight = F.col("_weight").cast("decimal(38,0)")
+    keyed = _keys(usable.withColumn("_v", value.cast("long")).withColumns(_window(max_age_us)))
+    weight, names = F.col("_weight").cast("long"), ("_n", "_hi", "_lo")
     moves = keyed.select("scope", "target", "ordinal", F.explode(F.array(
-        F.struct(F.col("_from").alias("_t"), weight.alias("_n"), (weight * F.col("_v")).cast("decimal(38,0)").alias("_s")),
-        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), (-weight).cast("decimal(38,0)").alias("_n"),
-                 (-weight * F.col("_v")).cast("decimal(38,0)").alias("_s")))).alias("_m"))
-    moves = moves.select("scope", "target", "ordinal", "_m.*").groupBy("scope", "target", "ordinal", "_t").agg(
-        *[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("_n", "_s")])
-    probes = _decision_keys(decisions.select(id, "ticker", "sector", micros(at).alias("_t"))).select(
-        "scope", "target", F.explode(F.array(*[F.lit(i) for i in range(ordinals)])).alias("ordinal"), "_t", id)
-    zero = F.lit(0).cast("decimal(38,0)")
+        F.struct(F.col("_from").alias("_t"), weight.alias("_w")),
+        F.struct(F.greatest(F.col("_from"), F.col("_to") + 1).alias("_t"), (-weight).alias("_w")))).alias("_m"), "_v")
+    moves = moves.select("scope", "target", "ordinal", "_m.*", "_v")
+    parts = {"_n": F.col("_w"), "_hi": F.col("_w") * F.shiftright("_v", 32), "_lo": F.col("_w") * F.col("_v").bitwiseAND(F.lit(0xFFFFFFFF))}
+    # the ordinals stand side by side, so a decision is one row per scope key however many there are
+    sums = [f"{c}{i}" for i in range(ordinals) for c in names]
+    moves = moves.groupBy("scope", "target", "_t").agg(
+        *[F.sum(F.when(F.col("ordinal") == i, parts[c])).alias(f"{c}{i}") for i in range(ordinals) for c in names])
+    probes = _decision_keys(decisions.select(id, "ticker", "sector", micros(at).alias("_t"))).select("scope", "target", "_t", id)
     timeline = moves.withColumns({"_kind": F.lit(0), id: F.lit(None).cast(decisions.schema[id].dataType)}).unionByName(
-        probes.withColumns({"_kind": F.lit(1), "_n": zero, "_s": zero}))
-    live = OrderedScan(timeline, ["scope", "target", "ordinal"], ["_t", "_kind", id], sliced=sliced).running(
-        Running("_live", "sum", F.col("_n")), Running("_total", "sum", F.col("_s"))).result()
-    per = live.filter(F.col("_kind") == 1).groupBy(id, "ordinal").agg(F.sum("_live").cast("long").alias("n"), F.sum("_total").cast("long").alias("total"))
-    return per.filter("n > 0")
+        probes.withColumns({"_kind": F.lit(1), **{c: F.lit(0).cast("long") for c in sums}}))
+    live = OrderedScan(timeline, ["scope", "target"], ["_t", "_kind", id], sliced=sliced).running(
+        *[Running(f"{c}_live", "sum", F.col(c)) for c in sums]).result()
+    per = live.filter(F.col("_kind") == 1).groupBy(id).agg(*[F.sum(f"{c}_live").alias(c) for c in sums])
+
+    def of(i: int) -> Column:  # halves meet as decimals, where the sum of the longs is exact
+        total = F.col(f"_hi{i}").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col(f"_lo{i}")
+        return F.struct(F.lit(i).alias("ordinal"), F.col(f"_n{i}").alias("n"), total.cast("long").alias("total"))
+
+    return per.select(id, F.explode(F.array(*[of(i) for i in range(ordinals)])).alias("_o")).select(id, "_o.*").filter("n > 0")
 
 
 def winning_rules(decisions: DataFrame, evidence: DataFrame, policy: Policy, *, id: str = "decision_id", at: str = "evaluation_time",
