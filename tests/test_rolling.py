@@ -166,3 +166,20 @@ def test_frames_are_whole(spark):
             assert tuple(got) == (60_000, 60_000.0, 60_000)
     finally:
         spark.conf.unset(MAX_ROWS_KEY)
+
+
+def test_python_groups_are_bounded(spark, monkeypatch):
+    """Below the limit of a Spark task a Python task still gets few rows at a time; blocks and slices give the same values."""
+    from pyspark.sql import types as T
+    from tidemark.operators import ordered
+    from tidemark.operators.rolling import over_frames
+    r = random.Random(8)
+    df = spark.createDataFrame([("HOT" if i % 10 else None, r.randint(0, 3000), i, i % 7 / 4) for i in range(3000)], "k string, d long, seq long, q double")
+    plain = frame_totals(df, key="k", at="d", order=["seq"], value="q", lookback=2000, sliced=False).collect()
+    monkeypatch.setattr(ordered, "PYTHON_ROWS", 200)
+    schema = T.StructType([df.schema["seq"], T.StructField("n", T.LongType())])
+    got = over_frames(df, ["k"], ["d", "seq"], 50, None, lambda p: p.assign(n=len(p)), schema).collect()
+    assert sorted(x.seq for x in got) == list(range(3000))
+    assert max(x.n for x in got) < 1000
+    cut = frame_totals(df, key="k", at="d", order=["seq"], value="q", lookback=2000).collect()
+    assert sorted(map(str, cut)) == sorted(map(str, plain))

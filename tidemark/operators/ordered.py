@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import max_rows, stable
 
@@ -75,14 +76,15 @@ def _merge(how: str, carry: Column, local: Column) -> Column:
 class OrderedScan:
     """Rows ordered by ``order`` within ``keys``; the order must be total within a key."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], *, sliced: bool | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], *, sliced: bool | None = None,
+                 total: int | None = None, rows: int | None = None):
         self.keys, self.order = list(keys), list(order)
         self.spark = df.sparkSession
-        limit = max_rows(self.spark)
+        limit = max_rows(self.spark) if rows is None else rows
         if sliced is None:
             largest, total = key_sizes(df, self.keys)
             sliced = largest > limit
-        elif sliced:
+        elif sliced and total is None:
             total = df.count()
         self.sliced = sliced
         if sliced:
@@ -141,15 +143,31 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, last: bool = False) -> DataFrame:
-    """First (or last) whole row per key by order; map-side combined, so copies may be many."""
+    """First (or last) whole row per key by order; map-side combined, so copies may be many.
+
+    A row travels once, its order columns first; rows of one order are decided by their other columns.
+    """
     rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    return (df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r"))
+    plain = {c for c in rest if isinstance(df.schema[c].dataType, T.AtomicType) and df.schema[c].dataType.typeName() != "variant"}
+    if plain == set(rest) and set(order) <= set(df.columns):
+        row = F.struct(*[c for c in order if c in rest], *[c for c in rest if c not in order])
+        picked = (F.max if last else F.min)(row)
+    else:
+        picked = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*order))
+    return (df.groupBy(*keys).agg(picked.alias("_r"))
             .select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest]).select(*df.columns))
 
 
+#: Rows of a group that a Python task takes at once: it holds them several times over, in Arrow, pandas and arrays.
+PYTHON_ROWS = 200_000
+
+
+def python_rows(spark) -> int:
+    return min(max_rows(spark), PYTHON_ROWS)
+
+
 def bundles_for(df: DataFrame, total: int) -> int:
-    """Number of hash bundles for Python tasks: bounded rows each, and enough to use the cores."""
+    """Number of hash bundles for Python tasks: bounded rows each even if some keys meet, and enough to use the cores."""
     spark = df.sparkSession
-    return max(math.ceil(total / max_rows(spark)),
+    return max(math.ceil(4 * total / python_rows(spark)),
                min(spark.sparkContext.defaultParallelism, max(1, total // 20_000)))

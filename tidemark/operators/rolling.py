@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.market import observations, spread_bps
-from tidemark.operators.ordered import bundles_for, key_sizes, positions
-from tidemark.session import max_rows
+from tidemark.operators.ordered import SLICE, OrderedScan, bundles_for, key_sizes, positions, python_rows
+from tidemark.session import stable
 
 LOOKBACK_SECONDS = 60
 
@@ -106,7 +106,7 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookba
     each block included, and returns one row per own row.
     """
     spark = df.sparkSession
-    limit = max_rows(spark)
+    limit = python_rows(spark)
     largest, total = key_sizes(df, keys)
     if sliced is None:
         sliced = largest > limit
@@ -121,7 +121,7 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookba
         df = df.withColumn("_block", F.explode(F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))))
         df = df.withColumn("_own", F.col("_block") == block)
         group = [*keys, "_block"]
-        bundles *= 4                    # blocks are near the limit already: few of them per bundle
+        bundles *= 4                    # blocks are near the limit already: seldom two of them in a bundle
     else:
         df = df.withColumn("_own", F.lit(True))
         group = list(keys)
@@ -131,7 +131,7 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookba
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*keys, *part, *order], kind="stable", ignore_index=True)
-        pdf["_code"] = pdf.groupby([*keys, *part], sort=False).ngroup().to_numpy(np.int64)
+        pdf["_code"] = pdf.groupby([*keys, *part], sort=False, dropna=False).ngroup().to_numpy(np.int64)
         out = kernel(pdf)
         return out.loc[pdf["_own"].to_numpy(bool), names]
 
@@ -246,14 +246,41 @@ def frame_totals(df: DataFrame, *, key: str, at: str, order: Sequence[str], valu
                  cap: int | None = None, sliced: bool | None = None) -> DataFrame:
     """Tie-exact trailing count and sum for any ordered table: adds ``frame_rows``, ``frame_sum``.
 
-    ``at`` is a long and ``lookback`` is in its unit.
+    ``at`` is a long and ``lookback`` is in its unit.  A key that is too large for a task is cut into
+    slices; the rows of a frame that lie in earlier slices meet the slice as totals by instant, so a
+    task holds its slice and one row per earlier instant in reach, however many rows a frame has.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("frame_rows", T.LongType()),
                            T.StructField("frame_sum", T.DoubleType())])
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        lo = frame_starts(p["_code"].to_numpy(np.int64), p[at].to_numpy(np.int64), lookback, cap)
-        i, s = np.arange(len(p)), prefix(np.nan_to_num(p[value].to_numpy(float)))
-        return p.assign(frame_rows=i - lo + 1, frame_sum=(s[i + 1] - s[lo]).astype(float))
-
-    return over_frames(df, [key], [at, *order], lookback, cap, kernel, schema, sliced=sliced)
+    largest, total = (0, 0) if cap is not None or sliced is False else key_sizes(df, [key])
+    if cap is not None or sliced is False or (sliced is None and largest <= python_rows(df.sparkSession)):
+        def kernel(p: pd.DataFrame) -> pd.DataFrame:
+            lo = frame_starts(p["_code"].to_numpy(np.int64), p[at].to_numpy(np.int64), lookback, cap)
+            i, s = np.arange(len(p)), prefix(np.nan_to_num(p[value].to_numpy(float)))
+            return p.assign(frame_rows=i - lo + 1, frame_sum=(s[i + 1] - s[lo]).astype(float))
+
+        return over_frames(df, [key], [at, *order], lookback, cap, kernel, schema, sliced=sliced)
+
+    rows = OrderedScan(df, [key], [at, *order], sliced=True, total=total, rows=python_rows(df.sparkSession)).df
+    amount = F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    totals = rows.groupBy(key, SLICE, at).agg(F.count(F.lit(1)).alias("_rows"), F.sum(amount).alias("_sum"))
+    spans = stable(rows.groupBy(key, SLICE).agg(F.min(at).alias("_first"), F.max(at).alias("_last")), "spans")
+    source = spans.select(F.col(key).alias("_key"), F.col(SLICE).alias("_from"), "_last")
+    target = spans.select(key, SLICE, "_first")
+    reach = target.join(source, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_from") < F.col(SLICE)) & (F.col("_last") >= F.col("_first") - lookback))
+    reach = reach.select("_key", "_from", F.col(SLICE).alias("_to"), (F.col("_first") - lookback).alias("_low"))
+    earlier = totals.join(F.broadcast(reach), F.col(key).eqNullSafe(F.col("_key")) & (F.col(SLICE) == F.col("_from")) & (F.col(at) >= F.col("_low")))
+    earlier = earlier.select(key, F.col("_to").alias(SLICE), at, "_rows", "_sum", F.lit(False).alias("_own"))
+    own = rows.withColumns({"_rows": F.lit(1).cast("long"), "_sum": amount, "_own": F.lit(True)})
+    names = schema.names
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([key, "_own", at, *order], kind="stable", ignore_index=True)
+        code = p.groupby(key, sort=False, dropna=False).ngroup().to_numpy(np.int64)
+        lo = frame_starts(code, p[at].to_numpy(np.int64), lookback, None)
+        i, s = np.arange(len(p)), prefix(p["_sum"].to_numpy())
+        n = np.concatenate([[0], np.cumsum(p["_rows"].to_numpy(np.int64))])
+        p = p.assign(frame_rows=n[i + 1] - n[lo], frame_sum=(s[i + 1] - s[lo]).astype(float))
+        return p.loc[p["_own"].to_numpy(bool), names]
+
+    return own.unionByName(earlier, allowMissingColumns=True).groupBy(SLICE).applyInPandas(run, schema)
