@@ -210,3 +210,19 @@ def test_payload_errors(spark):
     got = fills.parse_payloads(spark.createDataFrame([(d,) for d in docs], "payload string")).collect()
     assert [r.error for r in got] == [None, "missing_fill_id", "missing_fill_id", None, "invalid_quantity", "invalid_fill_time"]
     assert (got[0].ticker, got[0].side, got[3].ticker, got[3].side, got[3].quantity) == ("ABC", "BUY", "X", "SELL", 1.5)
+
+
+def test_sliced_fold_keeps_fills_without_ticker_and_runs_its_input_once(spark, small_tasks):
+    rows = [(f"f{i}", "X" if i % 3 else None, "BUY" if i % 5 < 3 else "SELL", 2.0, 5.0 + i % 4, i) for i in range(200)]
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = positions.position_fold(df, order=["seq"], sliced=False).collect()
+    cut = positions.position_fold(df.mapInArrow(seen, df.schema), order=["seq"], sliced=True).collect()
+    assert [r[:8] for r in sorted(cut, key=lambda r: r.seq)] == [r[:8] for r in sorted(plain, key=lambda r: r.seq)]
+    assert runs.value == 200
