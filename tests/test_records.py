@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +307,21 @@ def test_classification_requests_cover_every_character(spark):
     sections = records.section_extract(spark, SF_DIR).select("full_character_count").collect()
     assert max(r[0] for r in sections) > 2000
     assert records.classification_requests(spark, SF_DIR).count() == sum(-(-r[0] // 2000) for r in sections)
+
+
+def test_narrow_rows_are_spread_by_number(spark):
+    """Rows of a few bytes with long work each are not merged into one task."""
+    from tidemark.session import spread
+
+    seen = spread(spark.range(0, 4000, 1, 1)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(seen) >= spark.sparkContext.defaultParallelism and max(r[1] for r in seen) <= 2 * 4000 / len(seen)
+
+
+def test_ownership_documents_keep_the_text_or_value_rule():
+    xml = ("<o><reportingOwner><rptOwnerCik> <value> </value><value> 3 </value></rptOwnerCik><rptOwnerCik>4</rptOwnerCik></reportingOwner><reportingOwner/>"
+           "<derivativeTransaction><transactionCode><b><value>S</value></b></transactionCode><footnoteId id=' z '/></derivativeTransaction>"
+           "<nonDerivativeTransaction/><footnote>a<b>c</b>d</footnote><issuerCik> </issuerCik><issuerCik>9</issuerCik></o>")
+    odd, broken, none = filings._read_all(pa.array([xml, "<a", None])).to_pylist()
+    assert broken == none and not any(broken.values())
+    assert odd["issuer_cik"] == "9" and [o["rptOwnerCik"] for o in odd["owners"]] == ["3", None] and odd["notes"] == [{"id": "", "text": "a c d"}]
+    assert [(t["kind"], t["transactionCode"], t["notes"]) for t in odd["transactions"]] == [("NON_DERIVATIVE", None, []), ("DERIVATIVE", "S", ["z"])]

@@ -6,6 +6,7 @@ import html
 import xml.etree.ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,21 +204,45 @@ _PARSED = (f"issuer_ticker string, issuer_cik string, plan string, owners array<
            f"transactions array<struct<kind: string, notes: array<string>, {_fields(_TEXTS)}>>, notes array<struct<id: string, text: string>>")
 
 
-def _texts(element, names) -> dict:
-    """First non-blank text per wanted element name below ``element``, own or in a ``value`` child."""
-    found: dict = {}
-    for e in element.iter():
-        name = e.tag.rsplit("}", 1)[-1]
-        if name in names and name not in found:
-            inner = [e.text, *(v.text for v in e.iter() if v is not e and v.tag.rsplit("}", 1)[-1] == "value")]
-            text = next((t.strip() for t in inner if t and t.strip()), None)
-            if text:
-                found[name] = text
-    return {n: found.get(n) for n in names}
+def _strings(*names) -> list:
+    return [(n, pa.string()) for n in names]
 
 
-def _named(root, name):
-    return [e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == name]
+#: The same as an Arrow type: the structures reach Spark without a way through pandas.
+_ARROW = pa.struct([*_strings("issuer_ticker", "issuer_cik", "plan"), ("owners", pa.list_(pa.struct(_strings(*_OWNER_TEXTS)))),
+                    ("transactions", pa.list_(pa.struct([("kind", pa.string()), ("notes", pa.list_(pa.string())), *_strings(*_TEXTS)]))),
+                    ("notes", pa.list_(pa.struct(_strings("id", "text"))))])
+
+
+class _Locals(dict):
+    """Tag -> name without its namespace."""
+
+    def __missing__(self, tag: str) -> str:
+        if len(self) > 10_000:
+            self.clear()
+        name = self[tag] = tag.rsplit("}", 1)[-1]
+        return name
+
+
+_LOCAL = _Locals()
+
+
+def _every(element) -> list[tuple]:
+    """(name, element) of ``element`` and all below it, in document order."""
+    return [(_LOCAL[e.tag], e) for e in element.iter()]
+
+
+def _texts(every: list[tuple], names) -> dict:
+    """First non-blank text per wanted name among the elements, own or in a ``value`` child."""
+    found: dict = dict.fromkeys(names)
+    for name, e in every:
+        if name in found and found[name] is None:
+            text = (e.text or "").strip()
+            if not text and len(e):
+                inner = (v.text for v in e.iter() if v is not e and _LOCAL[v.tag] == "value")
+                text = next((t.strip() for t in inner if t and t.strip()), None)
+            found[name] = text or None
+    return found
 
 
 def _read_ownership(xml: str) -> dict:
@@ -225,20 +250,22 @@ def _read_ownership(xml: str) -> dict:
         root = ET.fromstring(xml)
     except (ET.ParseError, TypeError):
         return {}
-    head = _texts(root, ("issuerTradingSymbol", "issuerCik", "aff10b5One"))
-    kinds = (("NON_DERIVATIVE", "nonDerivativeTransaction"), ("DERIVATIVE", "derivativeTransaction"))
+    every = _every(root)
+    head = _texts(every, ("issuerTradingSymbol", "issuerCik", "aff10b5One"))
+    transactions = []
+    for kind, wanted in (("NON_DERIVATIVE", "nonDerivativeTransaction"), ("DERIVATIVE", "derivativeTransaction")):
+        for name, e in every:
+            if name == wanted:
+                below = _every(e)
+                transactions.append({"kind": kind, "notes": [(f.get("id") or "").strip() for n, f in below if n == "footnoteId"], **_texts(below, _TEXTS)})
     return {
         "issuer_ticker": head["issuerTradingSymbol"], "issuer_cik": head["issuerCik"], "plan": head["aff10b5One"],
-        "owners": [_texts(e, _OWNER_TEXTS) for e in root if e.tag.rsplit("}", 1)[-1] == "reportingOwner"],
-        "transactions": [{"kind": kind, "notes": [(f.get("id") or "").strip() for f in _named(t, "footnoteId")], **_texts(t, _TEXTS)}
-                         for kind, name in kinds for t in _named(root, name)],
-        "notes": [{"id": (n.get("id") or "").strip(), "text": " ".join(n.itertext())} for n in _named(root, "footnote")]}
+        "owners": [_texts(_every(e), _OWNER_TEXTS) for e in root if _LOCAL[e.tag] == "reportingOwner"], "transactions": transactions,
+        "notes": [{"id": (e.get("id") or "").strip(), "text": " ".join(e.itertext())} for name, e in every if name == "footnote"]}
 
 
-def _read_all(xml: pd.Series) -> pd.DataFrame:
-    read = [_read_ownership(x) for x in xml]
-    names = ("issuer_ticker", "issuer_cik", "plan", "owners", "transactions", "notes")
-    return pd.DataFrame({n: pd.Series([r.get(n) for r in read], dtype=object) for n in names})
+def _read_all(xml: pa.Array) -> pa.Array:
+    return pa.array([_read_ownership(x) for x in xml.to_pylist()], _ARROW)
 
 
 def parse_ownership(c: Column | str) -> Column:
@@ -248,7 +275,7 @@ def parse_ownership(c: Column | str) -> Column:
     field costs several times more and cannot follow the either-text-or-value rule.
     """
     # marked non-deterministic so that a filter on its result does not run it a second time
-    return F.pandas_udf(_read_all, _PARSED).asNondeterministic()(c)
+    return F.arrow_udf(_read_all, _PARSED).asNondeterministic()(c)
 
 
 def _flag(c: Column) -> Column:
