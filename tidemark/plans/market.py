@@ -18,7 +18,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import table, view, with_views
 from tidemark.sources.market import column_mapping, normalise
 from tidemark.streaming.live import live_features
-from tidemark.streaming.runner import in_slices
+from tidemark.streaming.runner import in_slices, slices_for
 
 LOOKBACK = 21_600
 
@@ -172,7 +172,7 @@ def feature_parity(spark, sf):
     out = None
     for feed, arrival in (("ordered", "ingest_seq"), ("late", _ARRIVAL)):
         arriving = r.withColumn("arrival", F.expr(arrival))
-        live = in_slices(arriving, "arrival", 5, lambda s: live_features(s, arrival="arrival", lookback_seconds=LOOKBACK), f"parity-{feed}")
+        live = in_slices(arriving, "arrival", slices_for(arriving, ["ticker"], 5), lambda s: live_features(s, arrival="arrival", lookback_seconds=LOOKBACK), f"parity-{feed}")
         last = live.groupBy("ticker").agg(F.max_by(F.struct(*columns), "arrival").alias("_r")).select("ticker", "_r.*")
         wrong = out_of_order(arriving.withColumn("_t", micros("event_time")), key="ticker", at="_t", order=["arrival"]).groupBy("ticker").agg(
             F.count(F.lit(1)).alias("out_of_order"))
