@@ -103,3 +103,21 @@ def test_rows_of_one_id_go_only_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([(r.doc_id, r.text or "") for r in nj.one_of_each(docs).collect()], key=str)
     assert got == sorted([(1, text), (5, other), (6, "one more text"), (6, "and a third one"), (7, ""), (None, near)], key=str)
+
+
+def test_few_bytes_for_small_numbers():
+    for top, width in ((0, 1), (255, 1), (256, 2), (70_000, 4), (1 << 40, 8)):
+        values = np.array([0, top, 1])
+        raw = nj.narrow(values)
+        assert len(raw) == 1 + 3 * width and nj.wide(raw).tolist() == values.tolist()
+    assert nj.wide(nj.narrow(np.zeros(0, int))).tolist() == []
+
+
+def test_shuffled_bytes_of_an_ngram(monkeypatch):
+    """A hash goes to its bucket with one byte beside it, and its documents stay with the block in two."""
+    monkeypatch.setattr(nj, "TaskContext", type("T", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(20)]
+    rows = next(iter(nj._packed(iter([(list(range(20)), texts)]), 5, 4))).to_pylist()
+    grams = 20 * 296
+    assert sum(len(r["hashes"]) + len(r["counts"]) for r in rows if r["bucket"] >= 0) <= 9 * grams + 10
+    assert sum(len(r["owners"]) + len(r["sizes"]) for r in rows if r["bucket"] < 0) <= 2 * grams + 10

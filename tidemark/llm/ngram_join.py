@@ -85,6 +85,17 @@ class Threshold:
         return common * (100 + self.percent) >= (a + b) * self.percent
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest bytes that hold the largest; the first byte tells how many."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _packed(blocks: Iterator[tuple[list, list]], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for number, (ids, texts) in enumerate(blocks):
@@ -103,25 +114,26 @@ def _packed(blocks: Iterator[tuple[list, list]], n: int, buckets: int) -> Iterat
         use = leads[owner]
         values, owner = values[use], owner[use]
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order].astype("<i4")
+        values, owner = values[order], owner[order]
         opens = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
         # a hash is sent once with the number of its documents; who they are stays with the block
-        values, sizes = values[opens], np.diff(np.append(opens, len(values))).astype("<i4")
+        values, sizes = values[opens], np.diff(np.append(opens, len(values)))
         bucket = (((values >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else [], len(bucket)).astype(int)
         docs = np.array([LOW if i is None else i for i in ids], "<i8").tobytes()
         meta = docs + counts.astype("<i8").tobytes() + sums[0].tobytes() + sums[1].tobytes()
         block = (part << 32) | number
-        rows = [(-1, block, 0, meta, leads.astype(np.uint8).tobytes(), owner.tobytes(), sizes.tobytes())]
-        rows += [(int(bucket[a]), block, int(a), values[a:b].tobytes(), sizes[a:b].tobytes(), None, None) for a, b in zip(cuts, cuts[1:])]
+        rows = [(-1, block, 0, meta, leads.astype(np.uint8).tobytes(), narrow(owner), narrow(sizes))]
+        rows += [(int(bucket[a]), block, int(a), values[a:b].tobytes(), narrow(sizes[a:b]), None, None) for a, b in zip(cuts, cuts[1:])]
         yield _arrays(rows, PACKED)
 
 
 #: A block's row (bucket -1): ``hashes`` are ids, sizes and digests, ``counts`` the leads, ``owners`` the documents of its hashes, ``sizes`` how many each has.
+#: An answer names hashes of the block by the first one's place and the gaps between them.
 PACKED = [("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()),
           ("owners", pa.binary()), ("sizes", pa.binary())]
 ANSWER = [("block", pa.int64()), ("meta", pa.binary()), ("leads", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()),
-          ("places", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())]
+          ("first", pa.int64()), ("gaps", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())]
 SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("single", pa.int64()), ("grams", pa.list_(pa.int64()))]
 
 
@@ -140,19 +152,19 @@ def _count(table: pa.Table) -> pa.Table:
     hashes, numbers = table.column("hashes").to_pylist(), table.column("counts").to_pylist()
     if bucket < 0:
         rest = (table.column(c).to_pylist() for c in ("owners", "sizes"))
-        return pa.Table.from_batches([_arrays([(*r, None, None, None) for r in zip(blocks, hashes, numbers, *rest)], ANSWER)])
+        return pa.Table.from_batches([_arrays([(*r, None, None, None, None) for r in zip(blocks, hashes, numbers, *rest)], ANSWER)])
     parts = [np.frombuffer(h, np.uint64) for h in hashes]
-    values, number = np.concatenate(parts), np.concatenate([np.frombuffer(c, "<i4") for c in numbers])
+    values, number = np.concatenate(parts), np.concatenate([wide(c) for c in numbers])
     order = np.argsort(values, kind="stable")
     ranked = values[order]
     opens = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     counts = np.empty(len(values), np.int64)
-    counts[order] = np.repeat(np.add.reduceat(number[order].astype(np.int64), opens), np.diff(np.append(opens, len(ranked))))
+    counts[order] = np.repeat(np.add.reduceat(number[order], opens), np.diff(np.append(opens, len(ranked))))
     rows, at = [], 0
     for block, first, part in zip(blocks, table.column("first").to_pylist(), parts):
         some = np.flatnonzero(counts[at:at + len(part)] > 1)
         if len(some):
-            rows.append((block, None, None, None, None, (first + some).astype("<i4").tobytes(), part[some].tobytes(), counts[at + some].tobytes()))
+            rows.append((block, None, None, None, None, first, narrow(np.diff(some, prepend=0)), part[some].tobytes(), narrow(counts[at + some])))
         at += len(part)
     return pa.Table.from_batches([_arrays(rows, ANSWER)])
 
@@ -165,12 +177,12 @@ def _assemble(percent: int):
         docs, n, d1, d2 = np.frombuffer(head["meta"], "<i8").reshape(4, -1)
         leads = np.frombuffer(head["leads"], np.uint8) > 0
         got = [r for r in rows if r["hashes"] is not None]
-        places = np.concatenate([np.frombuffer(r["places"], "<i4") for r in got] or [np.zeros(0, np.int32)])
-        sizes = np.frombuffer(head["sizes"], "<i4").astype(np.int64)
+        places = np.concatenate([r["first"] + np.cumsum(wide(r["gaps"])) for r in got] or [np.zeros(0, np.int64)])
+        sizes = wide(head["sizes"])
         starts, own = (np.cumsum(sizes) - sizes)[places], sizes[places]
-        owner = np.frombuffer(head["owners"], "<i4")[ranges_within(starts, starts + own)]
+        owner = wide(head["owners"])[ranges_within(starts, starts + own)]
         hashes = np.repeat(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in got] or [np.zeros(0, np.uint64)]), own)
-        counts = np.repeat(np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got] or [np.zeros(0, np.int64)]), own)
+        counts = np.repeat(np.concatenate([wide(r["counts"]) for r in got] or [np.zeros(0, np.int64)]), own)
         single = n - np.bincount(owner, minlength=len(docs))
         may = leads & (docs != LOW) & (n > 0) & (n - Threshold(percent).least(n) + 1 > single)
         use = may[owner]
