@@ -152,3 +152,23 @@ def test_two_fit_replaces_the_smallest():
     # greedy: 6 + 3 leaves 1; replacing 3 by 2 + 2 fills the bin
     p = packing.plan({6: 1, 3: 1, 2: 2}, 10)
     assert sorted(p.length[p.sequence == 0].tolist()) == [2, 2, 6]
+
+
+def test_a_word_is_cut_into_pieces_once():
+    e, looked = Encoder(tokenizer_path("word_bpe_49k.json"), WORD_END), []
+    find, e.find = e.find, lambda text: looked.append(text) or find(text)
+    texts = ["One-two, three; one-two, x1 " * 50] * 20
+    got = split(*e.encode(texts))
+    assert got == [plain(e.tokenizer, t) for t in texts]
+    assert sorted(looked) == ["one-two,", "three;", "x1"]
+    e.encode(texts)
+    assert len(looked) == 3
+
+
+def test_words_and_pieces_start_anew(monkeypatch):
+    e = Encoder(tokenizer_path("word_bpe_49k.json"), WORD_END)
+    monkeypatch.setattr("tidemark.llm.tokens.MAX_WORDS", 2)
+    for pieces in (400_000, 1):
+        monkeypatch.setattr("tidemark.llm.tokens.MAX_PIECES", pieces)
+        for text in ("one, two. three", "three two, four", "one <|x|> four", "two, two. one"):
+            assert split(*e.encode([text, ""])) == [plain(e.tokenizer, text), []]

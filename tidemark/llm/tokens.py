@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 from unicodedata import is_normalized
 
@@ -19,8 +19,16 @@ import numpy as np
 
 #: Pieces kept by a worker before its dictionary starts anew; bounds memory, not results.
 MAX_PIECES = 400_000
+#: The same of whole words, whose ids are put together from their pieces' again.
+MAX_WORDS = 800_000
 #: White space to Python alone, or the start of a special-token string.
 UNSURE = re.compile(r"[\x1c-\x1f]|<\|")
+_SIGNS = ("<|", *"\x1c\x1d\x1e\x1f")
+
+
+def unsure(text: str) -> bool:
+    """What ``UNSURE`` finds, by searches that are faster on long texts."""
+    return any(s in text for s in _SIGNS)
 
 
 @dataclass(frozen=True)
@@ -31,12 +39,14 @@ class Cuts:
     separator: str
     mark: str
     lower: bool = False
+    #: No piece holds white space, so texts part there first and a word's pieces are looked for once.
+    by_word: bool = False
 
 
 #: Space goes with the word after it; a line end is a token of its own.
 BYTE_LEVEL = Cuts(r" ?[^\W\d_]+(?!\w)| ?\S+|\s+(?!\S)|\s", "\n", "\n")
 #: White space is dropped; accents may join the letter before them, so no cut before non-ASCII, nor after İ, which becomes two characters.
-WORD_END = Cuts(r"[^\W\d_İ]+(?![^\x00-\x7f]|\w)|\S+", " \x01 ", "\x01", True)
+WORD_END = Cuts(r"[^\W\d_İ]+(?![^\x00-\x7f]|\w)|\S+", " \x01 ", "\x01", True, True)
 
 
 class Numbers(dict):
@@ -52,11 +62,49 @@ class Numbers(dict):
         return n
 
 
+class Store:
+    """Ids of numbered pieces, one after the other."""
+
+    def __init__(self) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = Numbers()
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.used = 0
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+
+    def _add(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the next pieces: where each begins in ``flat``, and how many it has."""
+        need = self.used + len(flat)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.empty(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
+        self.flat[self.used:need] = flat
+        self.starts = np.concatenate([self.starts, self.used + starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = need
+
+    def _ids_of(self, pieces: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and their number for each run of ``counts`` pieces."""
+        sizes = self.sizes[pieces]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[pieces] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
+
+
+def _numbered(cut: list[list[str]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pieces in a row, and how many each list has."""
+    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum())), counts
+
+
 @dataclass
-class Encoder:
+class Encoder(Store):
     path: str
     cuts: Cuts
-    numbers: Numbers = field(default_factory=Numbers)
 
     def __post_init__(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,13 +119,7 @@ class Encoder:
         ids = self._ids([self.cuts.mark])[0]
         self.mark_id = int(ids[0]) if len(ids) == 1 else None
         self._clear()
-
-    def _clear(self) -> None:
-        self.numbers = Numbers()
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
+        self.words = Store()
 
     def _ids(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
         tokenizer = self.bare if bare else self.tokenizer
@@ -113,37 +155,43 @@ class Encoder:
         sizes = np.concatenate([*sizes, np.fromiter(map(len, singles), np.int64, len(singles))]).astype(np.int64)
         place = np.empty(len(new), np.int64)
         place[order + alone] = np.arange(len(new))
-        need = self.used + len(flat)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[:self.used], np.empty(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
-        self.flat[self.used:need] = flat
-        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(sizes) - sizes)[place]])
-        self.sizes = np.concatenate([self.sizes, sizes[place]])
-        self.used = need
+        self._add(flat, (np.cumsum(sizes) - sizes)[place], sizes[place])
         self.numbers.new = []
 
     def _cut(self, text: str) -> list[str]:
-        if UNSURE.search(text):
+        if unsure(text):
             return [text]
         if self.cuts.lower and (text.isascii() or ("Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", text.lower()))):
             text = text.lower()  # what the tokenizer itself would do next
-        return self.find(text)
+        return text.split() if self.cuts.by_word else self.find(text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32), and the number of ids of each text."""
+    def _learn_words(self) -> None:
+        """Ids of the new words: those of their pieces in a row."""
+        new = self.words.numbers.new
+        if not new:
+            return
+        odd = unsure("\n".join(new))
+        ids, sizes = self._encode([[w] if odd and unsure(w) else self.find(w) for w in new])
+        self.words._add(ids, np.cumsum(sizes) - sizes, sizes)
+        self.words.numbers.new = []
+
+    def _encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > MAX_PIECES:
             self._clear()
-        number = self.numbers.__getitem__
-        cut = [self._cut(t) for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        pieces = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        pieces, counts = _numbered(cut, self.numbers)
         self._learn()
-        sizes = self.sizes[pieces]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[pieces] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        return self._ids_of(pieces, counts)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (uint32), and the number of ids of each text."""
+        cut = [self._cut(t) for t in texts]
+        if not self.cuts.by_word:
+            return self._encode(cut)
+        if len(self.words.numbers) > MAX_WORDS:
+            self.words._clear()
+        words, counts = _numbered(cut, self.words.numbers)
+        self._learn_words()
+        return self.words._ids_of(words, counts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
