@@ -205,3 +205,28 @@ def test_crc_of_the_query(spark):
 def test_every_window_of_a_training_text_is_learned_from():
     w = at.Windows.cut(np.arange(4000, dtype=np.uint16) % 50, np.array([3000, 1, 999]), 3)
     assert w.every(lm.EVERY).tolist() == list(range(len(w.first)))
+
+
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    """When the worker's list of words starts anew, the pieces of its words are still known."""
+    monkeypatch.setattr(lm, "MAX_WORDS", 3)
+    known = lm._Words(tokenizer_path("byte_bpe_50k.json"))
+    text = "Seven, eight; nine (ten) eleven's end."
+    first = known.ids(*known.number([text]), END)[0]
+    calls = []
+    monkeypatch.setattr(known.encoder, "_ids", lambda texts, bare=False: calls.extend(texts) or [np.zeros(0, np.uint32) for _ in texts])
+    numbers, counts = known.number(["  " + text + "\n", "", " \t", text])
+    assert counts.tolist() == [6, 0, 0, 6] and not calls
+    assert known.ids(numbers, counts, END)[0].tolist() == [*first, END, END, *first]
+
+
+def test_pass_of_one_window_and_of_wild_parameters(small):
+    """Rows by group, softmaxes divided late: the same as the scorer, also where exponentials need the rows' maxima."""
+    p, starts, symbols, counts = small
+    w = at.Windows.cut(symbols, counts, 3)
+    for scale in (1, 4):
+        q = {k: (v * scale if k in ("group", "symbol") else v) for k, v in p.items()}
+        one = [float(at.Pass(q, starts, w, np.array([i])).logp.sum()) for i in range(len(w.first))]
+        assert np.allclose(np.bincount(w.text, one), at.Scorer(q, starts)(w), rtol=1e-3)
+        grads = at.Pass(q, starts, w, np.arange(len(w.first))).gradients()
+        assert grads.keys() == q.keys() and all(g.shape == q[k].shape and np.isfinite(g).all() for k, g in grads.items())

@@ -18,12 +18,11 @@ tokenizer's vocabulary.  A word has one entry a block in its bucket, however oft
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +30,16 @@ from pyspark.sql import functions as F
 from tidemark.llm import attention
 from tidemark.llm.common import bytes_of, keyed_text, text_blocks
 from tidemark.llm.kernels import U, words
-from tidemark.llm.tokens import BYTE_LEVEL, Encoder, Numbers
+from tidemark.llm.tokens import BYTE_LEVEL, Encoder, Numbers, Store, unsure
 from tidemark.session import stable
 
 BLOCK = 2_000_000
 #: Text bytes for each bucket of word hashes.
 BUCKET_BYTES = 24_000_000
 #: Words that a worker keeps before its numbering starts anew; bounds memory, not results.
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 #: Fixed values of the base: pseudo-count of a word.
 EXTRA = 0.1
-WORD = re.compile(r"[^\x20\x09-\x0d]+")
 #: Eighths of the training texts in each round, and the round's learning rate.
 SHARES, RATES = (3, 5), (0.006, 0.002)
 #: The start before the rounds, made by one task: at most so many texts and ids, a bounded sample; rate and least steps.
@@ -64,36 +62,49 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = Numbers()
+        """The encoder keeps its pieces, so a word that comes again is only put together."""
+        self.store = Store()
         self.hashes = np.zeros(0, np.uint64)
-        self.encoder._clear()
+
+    @property
+    def numbers(self) -> Numbers:
+        return self.store.numbers
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of the texts in a row, and how many each text has."""
         if len(self.numbers) > MAX_WORDS:
             self.clear()
-        # lower() of bytes changes A-Z alone
-        found = [WORD.findall(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in texts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
-        self._learn(self.numbers.new)
-        self.numbers.new = []
-        return numbers, counts
-
-    def _learn(self, new: list[str]) -> None:
-        """Hashes and subword ids of new words, each with a space before it."""
+        # bytes alone: A-Z and the six characters of white space, 0x20 and 0x09 to 0x0D
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        counts = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = found.flatten().dictionary_encode()
+        place, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        # words are numbered in order of first sight, as they are in the dictionary; none stands for the empty one
+        none = distinct.index("") if "" in distinct else len(distinct)
+        of = np.zeros(len(distinct), np.int64)
+        of[:none] = np.fromiter(map(self.numbers.__getitem__, distinct[:none]), np.int64, none)
+        of[none + 1:] = np.fromiter(map(self.numbers.__getitem__, distinct[none + 1:]), np.int64)
+        if none < len(distinct):  # before or after white space at an end of the text, or the text has no word
+            gone = place == none
+            counts -= np.bincount(np.repeat(np.arange(len(counts)), counts)[gone], minlength=len(counts))
+            place = place[~gone]
+        self._learn()
+        return of[place], counts
+
+    def _learn(self) -> None:
+        """Hashes and subword ids of new words, each with a space before it: those of its pieces in a row."""
+        new, self.numbers.new = self.numbers.new, []
         for at in range(0, len(new), 50_000):
-            self.hashes = np.concatenate([self.hashes, words(new[at:at + 50_000])[0]])
-        self.encoder.numbers.new = [" " + w for w in new]
-        self.encoder._learn()
+            some = new[at:at + 50_000]
+            self.hashes = np.concatenate([self.hashes, words(some)[0]])
+            odd = unsure("\n".join(some))
+            ids, sizes = self.encoder._encode([[" " + w] if odd and unsure(w) else self.encoder.find(" " + w) for w in some])
+            self.store._add(ids, np.cumsum(sizes) - sizes, sizes)
 
     def ids(self, numbers: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of all texts in a row, each text with its end id, and their number per text."""
-        sizes = self.encoder.sizes[numbers]
-        ends = np.cumsum(sizes)
-        flat = self.encoder.flat[np.repeat(self.encoder.starts[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.insert(flat.astype(np.uint16), bounds, np.uint16(end)), np.diff(bounds, prepend=0) + 1
+        flat, sizes = self.store._ids_of(numbers, counts)
+        return np.insert(flat.astype(np.uint16), np.cumsum(sizes), np.uint16(end)), sizes + 1
 
 
 _WORDS: dict[str, _Words] = {}
