@@ -183,3 +183,29 @@ def test_python_groups_are_bounded(spark, monkeypatch):
     assert max(x.n for x in got) < 1000
     cut = frame_totals(df, key="k", at="d", order=["seq"], value="q", lookback=2000).collect()
     assert sorted(map(str, cut)) == sorted(map(str, plain))
+
+
+@pytest.mark.parametrize("cap", [None, 40])
+def test_whole_keys_pass_in_pieces(spark, monkeypatch, cap):
+    """Whole keys (``sliced=False``) larger than a Python task are not held whole, and have the values of keys that are."""
+    from pyspark.sql import types as T
+    from tidemark.operators import ordered
+    from tidemark.operators.rolling import over_frames
+    r = random.Random(9)
+    df = spark.createDataFrame([("HOT" if i % 10 else None, r.randint(0, 3000), i, i % 7 / 4) for i in range(3000)], "k string, d long, seq long, q double")
+    feed = spark.createDataFrame(_records(2000, 9), SCHEMA)
+    totals = dict(key="k", at="d", order=["seq"], value="q", lookback=200, cap=cap, sliced=False)
+    plain, features = frame_totals(df, **totals).collect(), rolling_features(feed, cap=cap, sliced=False).cache()
+    features.count()
+    monkeypatch.setattr(ordered, "PYTHON_ROWS", 200)
+    schema = T.StructType([df.schema["seq"], T.StructField("n", T.LongType())])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = over_frames(df, ["k"], ["d", "seq"], 50, cap, lambda p: p.assign(n=len(p)), schema, sliced=False).collect()
+        assert sorted(x.seq for x in got) == list(range(3000))
+        assert max(x.n for x in got) < 400
+        assert sorted(map(str, frame_totals(df, **totals).collect())) == sorted(map(str, plain))
+        columns = [c for c in features.columns if c not in ("ticker", "ingest_seq", "event_time")]
+        assert differences(features, rolling_features(feed, cap=cap, sliced=False), ["ticker", "ingest_seq"], columns).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -12,11 +12,13 @@ Work is cut by position, not by time: block ``b`` of a ticker is its rows
 block and one frame even when one ticker has most of the table.  How far a frame may reach
 is measured: no more than twice the rows of the fullest stretch of one look-back.  When
 every ticker fits a task no positions are needed and whole tickers are bundled by hash.
+Whole tickers that do not fit (asked for with ``sliced=False``) are sorted by Spark and pass
+through a task piece by piece, each piece with the frame before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -97,6 +99,35 @@ def frame_bound(df: DataFrame, keys: Sequence[str], at: str, lookback: int) -> i
     return 2 * int(stretch.agg(F.max("count")).first()[0] or 1)
 
 
+def in_pieces(keys: Sequence[str], at: str, lookback: int, cap: int | None, kernel: Callable[[pd.DataFrame], pd.DataFrame],
+              names: Sequence[str], rows: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Runs ``kernel`` over sorted rows of whole keys; held are a piece of ``rows`` rows and the frame that later rows may reach."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting, count = None, [], 0
+
+        def piece() -> pd.DataFrame:
+            nonlocal held, waiting, count
+            before = 0 if held is None else len(held)
+            p = pd.concat(waiting if held is None else [held, *waiting], ignore_index=True)
+            waiting, count = [], 0
+            p["_code"] = code = p.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy(np.int64)
+            t = p[at].to_numpy(np.int64)
+            reach = np.flatnonzero((code == code[-1]) & (t >= t[-1] - lookback))
+            held = p.iloc[reach[0] if cap is None else max(reach[0], len(p) - cap):].drop(columns="_code")
+            return kernel(p).iloc[before:][names]
+
+        for b in batches:
+            if len(b):
+                waiting.append(b)
+                count += len(b)
+            if count >= max(rows, 0 if held is None else len(held)):
+                yield piece()
+        if count:
+            yield piece()
+
+    return run
+
+
 def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int, cap: int | None,
                 kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType,
                 *, sliced: bool | None = None) -> DataFrame:
@@ -111,6 +142,9 @@ def over_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookba
     if sliced is None:
         sliced = largest > limit
     bundles = bundles_for(df, total)
+    if not sliced and largest > limit:
+        rows = df.repartition(bundles, *keys).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*keys, *order)])
+        return rows.mapInPandas(in_pieces(keys, order[0], lookback, cap, kernel, [f.name for f in schema], max(1, limit // 4)), schema)
     if sliced:
         bound = frame_bound(df, keys, order[0], lookback)
         cap = bound if cap is None else min(cap, bound)
