@@ -226,3 +226,43 @@ def test_sliced_fold_keeps_fills_without_ticker_and_runs_its_input_once(spark, s
     cut = positions.position_fold(df.mapInArrow(seen, df.schema), order=["seq"], sliced=True).collect()
     assert [r[:8] for r in sorted(cut, key=lambda r: r.seq)] == [r[:8] for r in sorted(plain, key=lambda r: r.seq)]
     assert runs.value == 200
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sliced_fold_and_account_scan_their_slices(spark, small_tasks):
+    """Slices are written in order and whole, so neither fold nor account shuffles rows again; small batches go on from one another."""
+    r = random.Random(23)
+    rows = [(f"f{i}", r.choice(["X", "X", "X", "Y", None]), r.choice(["BUY", "SELL"]), float(r.randint(1, 6)), 10 + r.randint(0, 50) / 10, i) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        plain, cut = (positions.position_fold(df, order=["seq"], sliced=s) for s in (False, True))
+        assert "Exchange hashpartitioning" not in _plan(cut) and "Exchange rangepartitioning" not in _plan(cut)
+        numbers = [[tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in sorted(t.collect(), key=lambda x: x.seq)] for t in (plain, cut)]
+        assert numbers[0] == numbers[1]
+        # days that are no neighbours in the order, a day and profits that are NULL, several accounts or one
+        fold = plain.withColumns({"realized_pnl_delta": F.when(F.col("seq") % 11 != 3, F.round(F.col("realized_pnl_delta") * 10)),
+                                  "day": F.when(F.col("seq") % 7 != 5, F.date_add(F.lit("2026-05-18").cast("date"), (F.col("seq") % 3).cast("int")))}).localCheckpoint()
+        for account in ([], ["ticker"]):
+            plain, cut = (positions.account_state(fold, account=account, order=["seq"], session_day=F.col("day"), sliced=s) for s in (False, True))
+            assert "Exchange hashpartitioning" not in _plan(cut) and "Exchange rangepartitioning" not in _plan(cut)
+            assert plain.columns == cut.columns
+            assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slices_that_come_apart_are_refused(spark, small_tasks):
+    from tidemark.operators.ordered import sorted_slices, slice_runs
+    rows = sorted_slices(spark.range(200).toDF("n"), [F.col("n")], 200)
+
+    def places(batches):
+        yield from (b.select(["n"]) for b, _ in slice_runs(batches))
+
+    assert sorted(x.n for x in rows.mapInArrow(places, "n long").collect()) == list(range(200))
+    with pytest.raises(Exception, match="came apart"):
+        rows.where("n % 5 = 0").mapInArrow(places, "n long").collect()

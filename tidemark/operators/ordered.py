@@ -10,9 +10,11 @@ The result is the same; no task sees more than a slice.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,3 +173,59 @@ def bundles_for(df: DataFrame, total: int) -> int:
     spark = df.sparkSession
     return max(math.ceil(4 * total / python_rows(spark)),
                min(spark.sparkContext.defaultParallelism, max(1, total // 20_000)))
+
+
+# --- slices that a scan gives whole and in order --------------------------------------------
+
+#: Place of a row: the number of its slice in the upper bits, its place in the slice in the lower ones.
+AT = "_at"
+_PLACE_BITS = 33
+
+
+def sorted_slices(df: DataFrame, by: Sequence[Column], total: int, *, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+                  added: Sequence[T.StructField] = ()) -> DataFrame:
+    """Rows range-partitioned and sorted ``by``, written once with ``SLICE`` and ``AT``: a slice is one file with one row group.
+
+    A task that scans the table gets whole slices in order (:func:`slice_runs` makes sure), so nothing that
+    follows the order has to be shuffled again.  ``fn`` sees the sorted rows before they are written and adds columns.
+    """
+    spark = df.sparkSession
+    slices = max(2, math.ceil(total / max(1, max_rows(spark) // 2)), min(spark.sparkContext.defaultParallelism, total // 20_000))
+    rows = df.repartitionByRange(slices, *by).sortWithinPartitions(*by)
+    rows = rows.withColumn(SLICE, F.spark_partition_id()).withColumn(AT, F.monotonically_increasing_id())
+    if fn is not None:
+        rows = rows.mapInArrow(fn, T.StructType([*rows.schema.fields, *added]))
+    return stable(rows, "slices", "zstd", {"parquet.block.size": 1 << 30, "maxRecordsPerFile": 0})
+
+
+def slice_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Pieces of one slice each, in order, and whether the slice begins with the piece."""
+    due = None
+    for b in batches:
+        at = b.column(AT).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)] if len(at) else []
+        for s, e in zip(cuts, cuts[1:]):
+            begins = not at[s] & ((1 << _PLACE_BITS) - 1)
+            if not begins and at[s] != due:
+                raise RuntimeError("the rows of a slice came apart")
+            due = at[e - 1] + 1
+            yield b.slice(s, e - s), begins
+
+
+class KeyRuns:
+    """Bounds of the runs of equal keys in pieces of :func:`slice_runs`."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys, self.last = list(keys), None
+
+    def bounds(self, b: pa.RecordBatch, begins: bool) -> tuple[list[int], bool]:
+        """(start of every run and the end, whether the first run begins here)."""
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for k in self.keys:
+            codes = b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        first, last = ([(c[i].is_valid, str(c[i])) for c in map(b.column, self.keys)] for i in (0, b.num_rows - 1))
+        fresh = begins or first != self.last
+        self.last = last
+        return [*np.flatnonzero(new).tolist(), b.num_rows], fresh
