@@ -266,3 +266,9 @@ def test_slices_that_come_apart_are_refused(spark, small_tasks):
     assert sorted(x.n for x in rows.mapInArrow(places, "n long").collect()) == list(range(200))
     with pytest.raises(Exception, match="came apart"):
         rows.where("n % 5 = 0").mapInArrow(places, "n long").collect()
+
+
+def test_newest_rows_of_a_key(spark):
+    from tidemark.operators.ordered import newest
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), (None, 4, 4), (None, None, 5), ("b", None, 6)], "k string, at int, n int")
+    assert sorted(x.n for x in newest(df, ["k"], "at").collect()) == [2, 3, 4, 6]

@@ -229,3 +229,11 @@ class KeyRuns:
         fresh = begins or first != self.last
         self.last = last
         return [*np.flatnonzero(new).tolist(), b.num_rows], fresh
+
+
+def newest(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Rows with the greatest ``at`` of their key, found by hash aggregation; the table is read twice, neither sorted nor (if keys are few) shuffled."""
+    top = df.groupBy(*keys).agg(F.max(at).alias("_top")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    top = stable(top, "newest")                            # written, so its size is known
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(top, [*same, F.col(at).eqNullSafe(F.col("_top"))]).select(*df.columns)
